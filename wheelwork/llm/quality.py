@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import WHITE, apart
+from wheelwork.llm.common import apart
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -42,53 +42,43 @@ RULES = [
 ]
 
 
-def literal(text: str) -> Column:
-    return F.lit(text)
+BLANK = r"[\x20\x09-\x0D]"
 
 
-def deleted(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def repeat_words(words: Column) -> Column:
-    """Words inside windows of WINDOW words that occur twice or more, the first included."""
-    n = F.size(words) - (WINDOW - 1)
-    hashed = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.slice(words, i, WINDOW)).alias("h"), i.alias("i")))
-    by_hash = F.array_sort(hashed)
-
-    def marked(pairs: Column) -> Column:
-        same = lambda i: F.coalesce(F.get(pairs, i)["h"], F.lit(None))
-        keep = F.filter(pairs, lambda p, i: F.coalesce(p["h"] == same(i - 1), F.lit(False)) | F.coalesce(p["h"] == same(i + 1), F.lit(False)))
-        return F.array_sort(F.transform(keep, lambda p: p["i"]))
-
-    return F.when(n >= 2, by_hash), marked
+def following(hashes: Column, by: int) -> Column:
+    """Each element hashed with the one ``by`` places on; the last ``by`` have none."""
+    return F.zip_with(hashes, F.slice(hashes, by + 1, F.greatest(F.size(hashes), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with every measure of RULES and its counts."""
     keep = docs.columns
     text = F.coalesce(F.col(text_column), F.lit(""))
-    spaced = F.translate(text, WHITE, " " * len(WHITE))
-    a = docs.select(*keep, text.alias("_t"), F.array_remove(F.split(spaced, " "), "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: deleted(x, WHITE) != "").alias("_l"))
-    pairs, marked = repeat_words(F.col("_w"))
-    b = a.select("*", pairs.alias("_p"))
-    c = b.select(*[x for x in b.columns if x != "_p"], F.when(F.col("_p").isNotNull(), marked(F.col("_p"))).alias("_m"))
+    a = docs.select(*keep, text.alias("_t"), F.array_remove(F.split(text, BLANK + "+"), "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
+    # windows of 2, 4, then 8 words; those that would reach beyond the end are cut off
+    b = a.select("*", following(F.col("_w"), 1).alias("_h")).select(*a.columns, following(F.col("_h"), 2).alias("_h")).select(*a.columns, following(F.col("_h"), 4).alias("_h"))
+    b = b.select(*a.columns, F.slice("_h", 1, F.greatest(F.size("_w") - (WINDOW - 1), F.lit(0))).alias("_h"))
+    recurs = F.size(F.array_distinct("_h")) < F.size("_h")
+    pairs = F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    c = b.select("*", F.when(recurs, F.array_sort(pairs)).alias("_p"))
+    near = lambda p, i: F.coalesce(p["h"] == F.get("_p", i)["h"], F.lit(False))
+    places = F.array_sort(F.transform(F.filter("_p", lambda p, i: near(p, i - 1) | near(p, i + 1)), lambda p: p["i"]))
     covered = F.aggregate(
-        "_m", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+        places, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"],
     )
     stops = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
     d = c.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.char_length(deleted(F.col("_t"), WHITE)).cast("long").alias("word_chars"),
-        (F.char_length("_t") - F.char_length(deleted(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit("[" + SYMBOLS + "]")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("_p").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size(F.array_intersect(stops, "_w")).cast("long").alias("stop_words"),
         F.size(F.filter("_l", lambda x: F.contains(x, F.lit(" | ")))).cast("long").alias("n_table_lines"),
-        (F.char_length("_t") - F.char_length(deleted(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
+        F.regexp_count("_t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
     )
     per = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
     return d.select(
@@ -126,5 +116,36 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judge(docs).select("*", failed.alias("base_failed"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("passes")).alias("kept"),
-        F.array_join("broken_rules", ",").alias("broken_rules"),
     )
+
+
+def op5_sql(rules=RULES) -> str:
+    tests = " AND ".join(f"{name} >= {least}" for name, least, _ in rules if least is not None)
+    tests += "".join(f" AND {name} <= {most}" for name, _, most in rules if most is not None)
+    stops = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+gap AS (SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -8)) AS n FROM rep),
+cov AS (SELECT doc_id, sum(n)::BIGINT AS n_repeat_words FROM gap GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'string_agg', ''))::BIGINT AS wc,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls) AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(list_intersect([{stops}], ws)) AS stop_words, len(list_filter(ls, lambda x: contains(x, ' | '))) AS n_table,
+    len(regexp_extract_all(t, '[A-Z]')) AS n_upper
+  FROM w LEFT JOIN cov USING (doc_id)),
+r AS (
+  SELECT *, coalesce(wc, 0) AS word_chars, coalesce(wc / nullif(n_words, 0), 0.0) AS mean_word_chars,
+    coalesce(n_symbols / nullif(wc, 0), 0.0) AS symbol_ratio, coalesce(n_upper / nullif(wc, 0), 0.0) AS upper_ratio,
+    coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_line_ratio,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeat_word_ratio,
+    coalesce(n_table / nullif(n_lines, 0), 0.0) AS table_line_ratio,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept FROM r
+"""

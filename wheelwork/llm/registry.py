@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, sharding
+from wheelwork.llm import chat, quality, sharding
 
 QUERIES = {
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op7_typed_parts_chat": chat.op7_typed_parts_chat,
 }
-SQL = {"op7_typed_parts_chat": chat.OP7_SQL}
+SQL = {"op5_quality_rules": quality.op5_sql(), "op7_typed_parts_chat": chat.OP7_SQL}

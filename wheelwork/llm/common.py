@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -70,6 +71,12 @@ def apart(df: DataFrame, reserved: list[str]) -> DataFrame:
     return df.toDF(*names) if names != df.columns else df
 
 
+def extended(df: DataFrame, more: dict[str, str], drop: tuple[str, ...] = ()) -> T.StructType:
+    """The schema of ``df`` without ``drop``, followed by the columns ``more`` (name to type)."""
+    added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more.items()))
+    return T.StructType([*(f for f in df.schema if f.name not in drop), *added])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, quality, sharding
+from wheelwork.llm import chat, licenses, quality, sharding
 
 QUERIES = {
+    "op2_license_rules": licenses.op2_license_rules,
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_typed_parts_chat": chat.op7_typed_parts_chat,

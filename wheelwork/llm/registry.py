@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, licenses, quality, sharding
+from wheelwork.llm import chat, decontaminate, licenses, quality, sharding
 
 QUERIES = {
     "op2_license_rules": licenses.op2_license_rules,
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
+    "op4_suffix_automaton": decontaminate.op4_suffix_automaton,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_typed_parts_chat": chat.op7_typed_parts_chat,
 }
-SQL = {"op5_quality_rules": quality.op5_sql(), "op7_typed_parts_chat": chat.OP7_SQL}
+SQL = {"op4_suffix_automaton": decontaminate.OP4_SQL, "op5_quality_rules": quality.op5_sql(), "op7_typed_parts_chat": chat.OP7_SQL}

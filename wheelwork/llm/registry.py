@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, decontaminate, licenses, quality, sharding
+from wheelwork.llm import chat, decontaminate, licenses, quality, sharding, toxicity
 
 QUERIES = {
     "op2_license_rules": licenses.op2_license_rules,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_suffix_automaton": decontaminate.op4_suffix_automaton,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_typed_parts_chat": chat.op7_typed_parts_chat,
+    "op9_factorization_machine": toxicity.op9_factorization_machine,
 }
 SQL = {"op4_suffix_automaton": decontaminate.OP4_SQL, "op5_quality_rules": quality.op5_sql(), "op7_typed_parts_chat": chat.OP7_SQL}

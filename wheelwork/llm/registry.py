@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, decontaminate, licenses, quality, sharding, toxicity
+from wheelwork.llm import chat, decontaminate, licenses, quality, sharding, sstable, toxicity
 
 QUERIES = {
+    "op1_sstable_ids": sstable.op1_sstable_ids,
     "op2_license_rules": licenses.op2_license_rules,
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
     "op4_suffix_automaton": decontaminate.op4_suffix_automaton,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, decontaminate, licenses, quality, sharding, sstable, toxicity
+from wheelwork.llm import chat, decontaminate, licenses, packing, quality, sharding, sstable, toxicity
 
 QUERIES = {
     "op1_sstable_ids": sstable.op1_sstable_ids,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_automaton": decontaminate.op4_suffix_automaton,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_typed_parts_chat": chat.op7_typed_parts_chat,
+    "op8_nnls_packing": packing.op8_nnls_packing,
     "op9_factorization_machine": toxicity.op9_factorization_machine,
 }
 SQL = {"op4_suffix_automaton": decontaminate.OP4_SQL, "op5_quality_rules": quality.op5_sql(), "op7_typed_parts_chat": chat.OP7_SQL}

@@ -1,0 +1,38 @@
+"""Connected components of a link table, by alternating large-star and small-star rounds.
+
+Each round replaces links by links to the smallest neighbour; the number of rounds grows
+with the logarithm of the longest chain. Links stay distributed; every round is written
+to the shared folder, so a lost executor costs a task, not the lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wheelwork.llm.common import written
+
+
+def _star(both: DataFrame, keep) -> DataFrame:
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root (the smallest node it reaches) for every node of links (a, b), a != b."""
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    before = None
+    while True:
+        # large star: every larger neighbour goes to the smallest neighbour
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        edges = _star(both, F.col("v") > F.col("u")).where("a <> b").distinct()
+        # small star: smaller neighbours and the node itself go to the smallest one
+        down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = written(moved.where("a <> b").distinct(), "links")
+        # stars only: nothing points to a node that points on, and no link has changed since
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if seen == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = seen

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, decontaminate, licenses, packing, quality, sharding, sstable, toxicity
+from wheelwork.llm import chat, decontaminate, jaccard, licenses, packing, quality, sharding, sstable, toxicity
 
 QUERIES = {
     "op1_sstable_ids": sstable.op1_sstable_ids,
+    "op10_vertical_jaccard": jaccard.op10_vertical_jaccard,
     "op2_license_rules": licenses.op2_license_rules,
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
     "op4_suffix_automaton": decontaminate.op4_suffix_automaton,

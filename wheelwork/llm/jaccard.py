@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from wheelwork.llm.common import buckets_for, text_bytes, written
 from wheelwork.llm.graph import components
+from wheelwork.llm.packed import groups, pack, record, small, unpack
 from wheelwork.llm.shingles import set_digests, shingle_sets
 from wheelwork.llm.words import column_bytes
 
@@ -54,31 +55,6 @@ MOST_DOCS = 60_000
 _HASH_BITS = 48
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each with its type and length before it."""
-    return b"".join(struct.pack("<cBI", a.dtype.kind.encode(), a.dtype.itemsize, len(a)) + a.tobytes() for a in arrays)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        kind, size, n = struct.unpack_from("<cBI", data, at)
-        out.append(np.frombuffer(data, f"<{kind.decode()}{size}", n, at + 6))
-        at += 6 + size * n
-    return out
-
-
-def _small(gaps: np.ndarray) -> np.ndarray:
-    """Numbers below 2**48 in as few bytes each as the largest needs (4 at least)."""
-    if not len(gaps) or int(gaps.max()) < 1 << 32:
-        return gaps.astype("<u4")
-    return gaps.astype("<u8")
-
-
-def _record(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-
 def _cut(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
     """Shingles of portions of documents, by range; range -1 has the portion's documents."""
 
@@ -86,7 +62,7 @@ def _cut(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
         sizes, sets = shingle_sets(texts, k)
         d1, d2 = set_digests(sizes, sets)
         known = np.array([i is not None for i in ids], "u1")
-        yield -1, portion, _pack(np.array([i or 0 for i in ids], "<i8"), known, d1, d2, sizes)
+        yield -1, portion, pack(np.array([i or 0 for i in ids], "<i8"), known, d1, d2, sizes)
         first: dict[tuple[int, int], int] = {}
         own = [first.setdefault(d, i) == i for i, d in enumerate(zip(d1.tolist(), d2.tolist(), strict=True))]
         place = np.repeat(np.arange(len(ids), dtype="<u2"), sizes)
@@ -99,7 +75,7 @@ def _cut(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
         for r in np.flatnonzero(at[1:] > at[:-1]):
             h = sets[at[r] : at[r + 1]]
             gaps = np.diff(h, prepend=bounds[r])
-            yield int(r), portion, _pack(_small(gaps), place[at[r] : at[r + 1]])
+            yield int(r), portion, pack(small(gaps), place[at[r] : at[r + 1]])
 
     def run(batches):
         task, n = TaskContext.get().partitionId(), 0
@@ -111,28 +87,14 @@ def _cut(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
                 texts.append(t)
                 size += len(t or b"")
                 if size >= PORTION or len(ids) >= MOST_DOCS:
-                    yield _record(list(emit((task << 24) + n, ids, texts)), names, kinds)
+                    yield record(list(emit((task << 24) + n, ids, texts)), names, kinds)
                     ids, texts, size, n = [], [], 0, n + 1
         if ids:
-            yield _record(list(emit((task << 24) + n, ids, texts)), names, kinds)
+            yield record(list(emit((task << 24) + n, ids, texts)), names, kinds)
 
     return docs.mapInArrow(run, CUT)
 
 
-def _groups(batches, key: str):
-    """Rows of a partition sorted by ``key``, group by group, as lists of dicts."""
-    group, now = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[key] != now and group:
-                yield group
-                group = []
-            now = row[key]
-            group.append(row)
-    if group:
-        yield group
-
-
 def _shared(cut: DataFrame, n_ranges: int) -> DataFrame:
     """Per range and portion: the shingles that two documents or more have, with their frequency."""
 
@@ -143,7 +105,7 @@ def _shared(cut: DataFrame, n_ranges: int) -> DataFrame:
         low = np.uint64(rows[0]["range"] * (1 << _HASH_BITS) // n_ranges)
         hashes, owner, places = [], [], []
         for i, r in enumerate(rows):
-            gaps, place = _unpack(r["data"])
+            gaps, place = unpack(r["data"])
             hashes.append(low + np.cumsum(gaps.astype(np.uint64)))
             owner.append(np.full(len(place), i, "<u4"))
             places.append(place)
@@ -159,13 +121,13 @@ def _shared(cut: DataFrame, n_ranges: int) -> DataFrame:
         at = np.searchsorted(owner, np.arange(len(rows) + 1))
         for i in np.flatnonzero(at[1:] > at[:-1]):
             part = slice(at[i], at[i + 1])
-            yield rows[i]["range"], rows[i]["portion"], _pack(h[part], place[part], count[part])
+            yield rows[i]["range"], rows[i]["portion"], pack(h[part], place[part], count[part])
 
     def run(batches):
         names, kinds = ["range", "portion", "data"], [pa.int64(), pa.int64(), pa.binary()]
-        for group in _groups(batches, "range"):
+        for group in groups(batches, "range"):
             if out := list(reduce_range(group)):
-                yield _record(out, names, kinds)
+                yield record(out, names, kinds)
 
     # rows of documents are dealt by portion, all others by range
     return cut.repartition("range", F.when(F.col("range") < 0, F.col("portion"))).sortWithinPartitions("range", "portion").mapInArrow(run, CUT)
@@ -176,10 +138,10 @@ def _documents(shared: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         names, kinds = ["doc_id", "d1", "d2", "n", "shared"], [pa.int64()] * 4 + [pa.binary()]
-        for group in _groups(batches, "portion"):
-            ids, known, d1, d2, n = next(_unpack(r["data"]) for r in group if r["range"] < 0)
+        for group in groups(batches, "portion"):
+            ids, known, d1, d2, n = next(unpack(r["data"]) for r in group if r["range"] < 0)
             ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)]
-            parts = [_unpack(r["data"]) for r in group if r["range"] >= 0]
+            parts = [unpack(r["data"]) for r in group if r["range"] >= 0]
             packed: list[bytes | None] = [None] * len(ids)
             if parts:
                 h, place, count = (np.concatenate([p[j] for p in parts]) for j in range(3))
@@ -195,7 +157,7 @@ def _documents(shared: DataFrame, num: int, den: int) -> DataFrame:
                     packed[i] = h[at[i] : at[i + 1]].astype("<i8").tobytes()
             for lo in range(0, len(ids), 4096):
                 rows = zip(ids[lo : lo + 4096], d1[lo : lo + 4096].view("<i8").tolist(), d2[lo : lo + 4096].view("<i8").tolist(), n[lo : lo + 4096].tolist(), packed[lo : lo + 4096], strict=True)
-                yield _record(list(rows), names, kinds)
+                yield record(list(rows), names, kinds)
 
     return shared.repartition("portion").sortWithinPartitions("portion", "range").mapInArrow(run, DOCS)
 

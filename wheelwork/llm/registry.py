@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wheelwork.llm import chat, decontaminate, jaccard, licenses, packing, quality, sharding, sstable, toxicity
+from wheelwork.llm import chat, decontaminate, jaccard, licenses, packing, quality, repeats, sharding, sstable, toxicity
 
 QUERIES = {
     "op1_sstable_ids": sstable.op1_sstable_ids,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_two_pass_shuffle": sharding.op3_two_pass_shuffle,
     "op4_suffix_automaton": decontaminate.op4_suffix_automaton,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_prefix_free_parsing": repeats.op6_prefix_free_parsing,
     "op7_typed_parts_chat": chat.op7_typed_parts_chat,
     "op8_nnls_packing": packing.op8_nnls_packing,
     "op9_factorization_machine": toxicity.op9_factorization_machine,

@@ -367,8 +367,11 @@ def spans_of(ids: list, n_docs: int, parse: pa.RecordBatch, found: list[list[np.
     return out
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with n_bytes, spans (removed, in UTF-8 bytes) and kept (the remaining bytes)."""
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, spans (removed, in UTF-8 bytes) and kept (the remaining bytes).
+
+    With ``as_text``, kept is a string; bytes of characters cut in two are left out of it.
+    """
     docs = apart(docs, list(OUTPUT))
     docs = docs.withColumn(id_column, F.col(id_column).cast("long"))
     folder = fresh_path(docs.sparkSession, "portions")
@@ -394,10 +397,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield with_columns(batch, [], {
                 "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in cut] for cut in spans], span),
-                "kept": pa.array(kept, pa.binary()),
+                "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             })
 
-    return by_portion(first_documents(rows, n_ranges)).mapInArrow(run, extended(docs, OUTPUT))
+    return by_portion(first_documents(rows, n_ranges)).mapInArrow(run, extended(docs, OUTPUT | ({"kept": "string"} if as_text else {})))
 
 
 def op6_prefix_free_parsing(spark, sf_dir: str) -> DataFrame:

@@ -1,18 +1,23 @@
-"""Byte-level BPE encoding with the tokenizers library, remembering pieces of text.
-
-A text is cut before each single space. No token of a byte-level BPE with the usual
-pre-tokenizer crosses such a cut, so every piece can be encoded by itself once and
-remembered per worker process; texts with two spaces in a row are encoded whole.
-Special tokens' strings in a text are ordinary text.
+"""Byte-level BPE encoding with the tokenizers library, remembering what has been encoded.
+
+Texts are cut before each single space, and around commas, points and line breaks that
+stand after a word: no token crosses such a cut, as the pre-tokenizer cuts there too.
+Equal chunks of a batch are looked up once. Unknown words of letters go through the
+library's model, already in its byte-level alphabet; other unknown chunks go through the
+whole tokenizer. A text where a cut could be wrong (two spaces in a row, a point after a
+sign) is encoded whole. Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces remembered per generation and worker: two generations of some 80 MB.
+#: Entries remembered per generation and worker: two generations of some 60 MB.
 GENERATION = 400_000
 _loaded: dict[str, Encoder] = {}
 
@@ -37,46 +42,119 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.new: tuple[dict, dict] = ({}, {})
-        self.old: tuple[dict, dict] = ({}, {})
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        n = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        # the same model behind a split at blanks, for words that are already in the byte-level alphabet
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        parts |= {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "normalizer": None, "added_tokens": []}
+        self.split = Tokenizer.from_str(json.dumps(parts))
+        self.letters = byte_letters() | {0: " "}
+        self.opens = np.zeros(n, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith(self.letters[32])
+        #: ids of chunks, of this generation and the one before
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as packed ``dtype`` integers."""
-        if len(self.new[0]) + len(self.new[1]) > GENERATION:
-            self.old, self.new = self.new, ({}, {})
-        (first, later), (old_first, old_later) = self.new, self.old
-        cut = [None if "  " in t else t.split(" ") for t in texts]
-        miss_first, miss_later = {}, {}
-        for pieces in cut:
-            if pieces:
-                if pieces[0] not in first:
-                    miss_first[pieces[0]] = None
-                for p in pieces[1:]:
-                    if p not in later:
-                        miss_later[p] = None
-        for known, old, missing, lead in ((first, old_first, miss_first, ""), (later, old_later, miss_later, " ")):
-            unseen = []
-            for p in missing:
-                if (ids := old.get(p)) is None:
-                    unseen.append(p)
-                else:
-                    known[p] = ids
-            known.update(zip(unseen, self._ids([lead + p for p in unseen]), strict=True))
-        out = []
-        for t, pieces in zip(texts, cut, strict=True):
-            out.append(self._ids([t])[0] if pieces is None else first[pieces[0]] + b"".join([later[p] for p in pieces[1:]]))
-        return out
-
-
-def in_portions(texts: list, most: int = 4 << 20):
-    """Slices of a list of texts of about ``most`` characters each."""
+    def _words(self, words: list[str]) -> None:
+        """Learns words of letters, each with a space before it."""
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            text = ("\0".join([" " + w for w in part])).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.split.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            at = (np.flatnonzero(self.opens[ids]) * ids.itemsize).tolist()
+            packed = ids.tobytes()
+            self.new.update(zip(part, [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)], strict=True)], strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Learns chunks, those of letters in one go, all others by the library's whole path."""
+        known, before = self.new, self.old
+        words, others = [], []
+        for c in chunks:
+            if (ids := before.get(c)) is not None:
+                known[c] = ids
+            elif c.isalpha():
+                words.append(c)
+            else:
+                others.append(c)
+        self._words(words)
+        known.update(zip(others, self._whole([c[1:] if c[:1] in (MARK, HEAD) else " " + c for c in others]), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array without nulls, as packed ``dtype`` integers."""
+        if len(self.new) > GENERATION:
+            self.old, self.new = self.new, {}
+        known, width = self.new, self.dtype.itemsize
+        plain = pc.binary_join_element_wise(pa.scalar(HEAD), texts, pa.scalar(""))
+        for found, cut in ((("\n", f" {MARK}\n {HEAD}")), (", ", f" {MARK}, "), (". ", f" {MARK}. ")):
+            plain = pc.replace_substring(plain, found, cut)
+        lists = pc.split_pattern(plain, " ")
+        begin = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, chunks))
+        if None in ids:
+            self._learn([c for c, x in zip(chunks, ids, strict=True) if x is None])
+            ids = list(map(known.__getitem__, chunks))
+        # chunk by chunk, the ids of all texts one after the other
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // width
+        start = np.cumsum(size, dtype=np.int32) - size
+        index = coded.indices.to_numpy()
+        index_size = size[index]
+        past = np.cumsum(index_size, dtype=np.int32)
+        place = np.repeat(start[index] - past + index_size, index_size) + np.arange(past[-1] if len(past) else 0, dtype=np.int32)
+        out = flat[place].tobytes()
+        edge = (np.concatenate(([0], past)) * width).tolist()
+        # texts in which a cut may not fall where the pre-tokenizer's would, are encoded whole
+        kind = np.full(len(chunks), LETTER, np.uint8)
+        for i in np.flatnonzero(~pc.utf8_is_alnum(coded.dictionary).to_numpy(zero_copy_only=False)).tolist():
+            kind[i] = _kind(chunks[i])
+        kind = kind[index]
+        before = np.concatenate(([0], kind[:-1])) if len(kind) else kind
+        odd = (kind & EMPTY != 0) | ((kind & MARKED != 0) & (before & LETTER == 0)) | ((kind & BREAK != 0) & (before & SPACE != 0))
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(begin, np.flatnonzero(odd), side="right") - 1] = True
+        whole |= pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, HEAD)).to_numpy(zero_copy_only=False)
+        result = [out[edge[a] : edge[b]] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        again = np.flatnonzero(whole).tolist()
+        for i, x in zip(again, self._whole([texts[i].as_py() for i in again]), strict=True):
+            result[i] = x
+        return result
+
+
+#: Before a comma, point or line break that is a chunk of its own; before a chunk without a space before it.
+MARK, HEAD = "\x02", "\x01"
+#: What matters of a chunk: nothing in it; a mark after letters; a line break; ends with a letter or digit; ends with white space.
+EMPTY, MARKED, BREAK, LETTER, SPACE = 1, 2, 4, 8, 16
+_MARKS = {MARK + ",": MARKED, MARK + ".": MARKED, MARK + "\n": BREAK}
+
+
+def _kind(chunk: str) -> int:
+    if (k := _MARKS.get(chunk)) is not None:
+        return k
+    if not chunk or chunk == HEAD or chunk[0] == HEAD and chunk[1].isspace():
+        return EMPTY
+    last = chunk[-1]
+    return LETTER if last.isalnum() else SPACE if last.isspace() else 0
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def in_portions(texts: pa.Array, most: int = 4 << 20):
+    """Bounds of slices of a string array of about ``most`` bytes each."""
     lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
         if size >= most:
             yield lo, i + 1
             lo, size = i + 1, 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelwork.llm.bpe import default_path, encoder, in_portions
-from wheelwork.llm.common import written
+from wheelwork.llm.common import arrow_rows, written
 from wheelwork.llm.words import with_columns
 
 UNIT = 4
@@ -128,10 +128,10 @@ def encoded_pieces(docs: DataFrame, window: int, end_id: int, tokenizer: str, id
         width, stop = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
         places = [0] * (window // UNIT + 2)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_portions(texts, 2 << 20):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in in_portions(texts):
                 out = [[] for _ in range(8)]
-                for i, value in zip(ids[lo:hi], encode.encode(texts[lo:hi]), strict=True):
+                for i, value in zip(ids[lo:hi], encode.encode(texts.slice(lo, hi - lo)), strict=True):
                     value += stop
                     total = len(value) // width
                     for start in range(0, total, window):
@@ -165,7 +165,8 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str |
     ``padded_to`` is the window, or n_tokens itself where that is a power of two.
     """
     spark = docs.sparkSession
-    pieces = written(encoded_pieces(docs, window, end_id, tokenizer or default_path(), id_column, text_column), "pieces")
+    with arrow_rows(spark, 1000):
+        pieces = written(encoded_pieces(docs, window, end_id, tokenizer or default_path(), id_column, text_column), "pieces")
     counts = pieces.groupBy("task", "class").count()
     before = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(counts.select("task", "class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count"), "ranks")

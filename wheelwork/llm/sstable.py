@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelwork.llm.bpe import default_path, encoder, in_portions
-from wheelwork.llm.common import buckets_for, fresh_path, text_bytes, written
+from wheelwork.llm.common import arrow_rows, buckets_for, fresh_path, text_bytes, written
 
 MAGIC = b"WWSSTAB1"
 BLOCK, RESTART, BITS, PROBES = 64 << 10, 16, 10, 7
@@ -234,9 +234,9 @@ def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str |
         part = f"{path}.{uuid.uuid4().hex}.tmp"
         stop = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in in_portions(texts):
-                for i, value in zip(ids[lo:hi], encode.encode(texts[lo:hi]), strict=True):
+                for i, value in zip(ids[lo:hi], encode.encode(texts.slice(lo, hi - lo)), strict=True):
                     if writer is None:
                         fs.create_dir(top, recursive=True)
                         stream, first = fs.open_output_stream(part), i
@@ -250,7 +250,8 @@ def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str |
             uri = f"{folder}/shard-{shard:06d}.sst"
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (uri, pa.string()), (first, pa.int64()), (last, pa.int64()), (docs, pa.int64()), (tokens, pa.int64()))], ["shard", "path", "first_id", "last_id", "n_docs", "n_tokens"])
 
-    return written(ranged.mapInArrow(write, MANIFEST), "manifest")
+    with arrow_rows(docs.sparkSession, 1000):
+        return written(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_tables(manifest: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 r"""Suffix-array dedup by prefix-free parsing: byte strings that an earlier document has.
 
-A 50-byte string's trigger is the least rolling hash of its 12-byte windows. Strings in
+A 50-byte string's trigger is the least rolling hash of its 20-byte windows. Strings in
 a row with one trigger make a phrase; it overlaps the next by 49 bytes, so every string
 lies whole in one phrase, and equal strings have equal triggers wherever they stand.
 The distinct phrases are the dictionary, the places of phrases in documents the parse.
@@ -39,7 +39,7 @@ from wheelwork.llm.shingles import _BASE, _power, mix
 from wheelwork.llm.sstable import files
 from wheelwork.llm.words import column_bytes, with_columns
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 #: Bits of a trigger value as it is dealt out.
 BITS = 47
 PORTION, RANGE, MOST_DOCS = 4 << 20, 16 << 20, 60_000
@@ -63,7 +63,11 @@ def phrases(texts: list[bytes | None], known: list[bool]) -> tuple[bytes, np.nda
     if n <= 0:
         return data, none, none, none.astype(np.uint64), none
     grams = len(data) - GRAM + 1
-    g = mix(loads(data, "<u8")[:grams] * np.uint64(_BASE) + loads(data, "<u4")[8 : 8 + grams].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    eights = loads(data, "<u8")
+    g = eights[:grams] * np.uint64(_BASE)
+    g += eights[8 : 8 + grams] * np.uint64(0xD6E8FEB86659FD93)
+    g += loads(data, "<u4")[16 : 16 + grams] * np.uint64(0xA0761D6478BD642F)
+    g = mix(g)
     width = LENGTH - GRAM + 1
     step = 1
     while step * 2 <= width:

@@ -22,10 +22,11 @@ GENERATION = 400_000
 _loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, generation: int = GENERATION) -> Encoder:
     """The worker's encoder for a tokenizer file; lives as long as the process."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].generation = generation
     return _loaded[path]
 
 
@@ -37,6 +38,7 @@ def default_path() -> str:
 
 class Encoder:
     def __init__(self, path: str):
+        self.generation = GENERATION
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,22 +73,35 @@ class Encoder:
             self.new.update(zip(part, [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)], strict=True)], strict=True))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Learns chunks, those of letters in one go, all others by the library's whole path."""
+        """Learns chunks: words of letters in one go, words with signs after them in two parts, all others whole."""
         known, before = self.new, self.old
-        words, others = [], []
+        words, heads, parts, others = set(), [], [], []
         for c in chunks:
             if (ids := before.get(c)) is not None:
                 known[c] = ids
             elif c.isalpha():
-                words.append(c)
+                words.add(c)
+            elif c[:1] == HEAD and c[1:].isalpha():
+                heads.append(c)
+            elif (w := c.rstrip(SIGNS)).isalpha():
+                parts.append((c, w))
+                if w not in known:
+                    words.add(w)
             else:
                 others.append(c)
-        self._words(words)
+        self._words(list(words))
+        if heads:
+            plain = "\0".join(heads).replace(HEAD, "").encode().decode("latin-1").translate(self.letters).split(" ")
+            known.update(zip(heads, [np.array(e.ids, self.dtype).tobytes() for e in self.split.encode_batch_fast(plain, add_special_tokens=False)], strict=True))
+        signs = list({c[len(w) :] for c, w in parts})
+        after = dict(zip(signs, self._whole(signs), strict=True))
+        for c, w in parts:
+            known[c] = known[w] + after[c[len(w) :]]
         known.update(zip(others, self._whole([c[1:] if c[:1] in (MARK, HEAD) else " " + c for c in others]), strict=True))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of a string array without nulls, as packed ``dtype`` integers."""
-        if len(self.new) > GENERATION:
+        if len(self.new) > self.generation:
             self.old, self.new = self.new, {}
         known, width = self.new, self.dtype.itemsize
         plain = pc.binary_join_element_wise(pa.scalar(HEAD), texts, pa.scalar(""))
@@ -129,6 +144,8 @@ class Encoder:
 
 #: Before a comma, point or line break that is a chunk of its own; before a chunk without a space before it.
 MARK, HEAD = "\x02", "\x01"
+#: Signs that form one piece of their own after a word of letters.
+SIGNS = ".,;:!?#$%&*|"
 #: What matters of a chunk: nothing in it; a mark after letters; a line break; ends with a letter or digit; ends with white space.
 EMPTY, MARKED, BREAK, LETTER, SPACE = 1, 2, 4, 8, 16
 _MARKS = {MARK + ",": MARKED, MARK + ".": MARKED, MARK + "\n": BREAK}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder (a local one only where none is set)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -23,14 +23,14 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     of the longest chain. Each round is checkpointed.
     """
     nodes = edges.select(F.col(a).alias("node")).unionAll(edges.select(F.col(b).alias("node"))).distinct()
-    links = _cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    links = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     before = None
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = _cut(large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        links = cut(large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -14,9 +14,10 @@ fragments; overlaps are counted in each fragment separately and summed per pair:
 3. **Count.** Pairs that share a prefix shingle are counted fragment by fragment
    (``FRAGMENTS`` ranges of the hash), partial overlaps are summed, and the sum decides.
    Documents with equal sets are one class from the start. Pairs of one posting list
-   are first the least individual document with each other; then only pairs that are not
-   yet in one component and whose sizes still allow a link. So a group of n near copies
-   costs some n pairs, and no link between components is missed.
+   are tested in rounds, each document against one leader, the one with the fewest
+   unshared shingles; then all pairs that are not yet in one component and whose sizes
+   still allow a link. So a group of n near copies costs some n pairs, and no link
+   between components is missed.
 
 Exact up to the 48-bit hash of a shingle. Links of classes inside one component are not
 all listed: the result is the component of each document.
@@ -29,9 +30,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import struct
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,6 +44,10 @@ from wheelwork.llm.words import column_bytes
 
 #: Ranges of the global order in which overlaps are counted.
 FRAGMENTS = 8
+#: Rounds in which each document is compared with one leader, before the rest of the pairs.
+ROUNDS = 3
+#: Documents of a block in the last comparison of small components with large ones.
+BLOCK = 100
 #: Text per batch of documents in a task, and per range of the first cut.
 PORTION, RANGE = 8 << 20, 32 << 20
 CUT = "range bigint, portion bigint, data binary"
@@ -202,33 +204,98 @@ def _counted(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> Data
     return total.where(F.col("x") * den >= (F.col("an") + F.col("bn") - F.col("x")) * num).select("a", "b")
 
 
-def _links(classes: DataFrame, num: int, den: int) -> DataFrame | None:
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, an, bn) with a < b, from columns a, an, b, bn in any order."""
+    left, right = F.struct(F.col("a").alias("r"), F.col("an").alias("n")), F.struct(F.col("b").alias("r"), F.col("bn").alias("n"))
+    both = rows.select(F.least(left, right).alias("x"), F.greatest(left, right).alias("y")).distinct()
+    return both.select(F.col("x.r").alias("a"), F.col("y.r").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+
+
+def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Postings with the label of their component."""
+    if links is None:
+        return postings.withColumn("label", F.col("root"))
+    roots = components(links).select(F.col("node").alias("root"), F.col("root").alias("label"))
+    return postings.join(roots, "root", "left").withColumn("label", F.coalesce("label", "root"))
+
+
+def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Links between classes that span each component."""
     sets = written(_unpacked(classes, num, den), "sets")
     fragments = written(sets.select("root", F.explode("fragments").alias("x")).select("root", "x.f", "x.h"), "fragments")
     every = sets.where(F.size("prefix") > 0).select("root", "n", "spare", F.explode("prefix").alias("h"))
-    lists = every.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(F.col("spare") / F.col("n"), "root", "n", "spare")).alias("lead")).where("c > 1")
-    postings = written(every.join(lists.select("h", "lead"), "h"), "postings")
-    first = postings.where("root <> lead.root").select(
-        F.least("root", "lead.root").alias("a"), F.greatest("root", "lead.root").alias("b"),
-        F.when(F.col("root") < F.col("lead.root"), F.col("n")).otherwise(F.col("lead.n")).alias("an"), F.when(F.col("root") < F.col("lead.root"), F.col("lead.n")).otherwise(F.col("n")).alias("bn"),
-        F.when(F.col("root") < F.col("lead.root"), F.col("spare")).otherwise(F.col("lead.spare")).alias("aspare"), F.when(F.col("root") < F.col("lead.root"), F.col("lead.spare")).otherwise(F.col("spare")).alias("bspare"),
-    )
-    pairs = written(first.where(_possible(num, den)).distinct(), "pairs")
-    found = written(_counted(pairs, fragments, num, den), "found")
-    roots = components(found)
+    several = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    postings = written(every.join(several, "h"), "postings")
+    links, tested = None, None
+    for _ in range(ROUNDS):
+        # each document with one leader: the most central one in its lists that is in another component
+        labelled = _labelled(postings, links)
+        central = F.struct((F.col("spare") / F.col("n")).alias("s"), "root", "n", "spare", "label")
+        leads = labelled.groupBy("h", "label").agg(F.min(central).alias("lead")).groupBy("h").agg(F.count("*").alias("k"), F.min("lead").alias("lead")).where("k > 1").select("h", "lead")
+        led = labelled.join(leads, "h").where("label <> lead.label")
+        led = led.select(F.col("root").alias("a"), F.col("n").alias("an"), F.col("spare").alias("aspare"), F.col("lead.root").alias("b"), F.col("lead.n").alias("bn"), F.col("lead.spare").alias("bspare"), (F.col("lead.s")).alias("s")).where(_possible(num, den))
+        if tested is not None:
+            done = tested.select("a", "b").unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            led = led.join(done, ["a", "b"], "left_anti")
+        one = led.groupBy("a", "an").agg(F.min(F.struct("s", "b", "bn")).alias("m")).select("a", "an", F.col("m.b").alias("b"), F.col("m.bn").alias("bn"))
+        pairs = written(_ordered(one), "pairs")
+        found = written(_counted(pairs, fragments, num, den), "found")
+        tested, links = (pairs if tested is None else tested.unionAll(pairs)), (found if links is None else links.unionAll(found))
     # posting lists that still hold several components: the small ones against all others
-    labelled = postings.drop("lead").join(roots.select(F.col("node").alias("root"), F.col("root").alias("label")), "root", "left").withColumn("label", F.coalesce("label", "root"))
+    labelled = _labelled(postings, links)
     sizes = labelled.groupBy("h", "label").count().groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("count", "label")).alias("top")).where("k > 1")
     open_lists = written(labelled.join(sizes.select("h", F.col("top.label").alias("main")), "h"), "open")
-    one = open_lists.where("label <> main").select("h", F.col("root").alias("a"), F.col("n").alias("an"), F.col("spare").alias("aspare"), F.col("label").alias("alabel"))
-    two = open_lists.select("h", F.col("root").alias("b"), F.col("n").alias("bn"), F.col("spare").alias("bspare"), F.col("label").alias("blabel"), "main")
-    more = one.join(two, "h").where((F.col("alabel") != F.col("blabel")) & ((F.col("blabel") == F.col("main")) | (F.col("a") < F.col("b"))) & _possible(num, den))
-    left, right = F.struct(F.col("a").alias("r"), F.col("an").alias("n")), F.struct(F.col("b").alias("r"), F.col("bn").alias("n"))
-    more = more.select(F.least(left, right).alias("x"), F.greatest(left, right).alias("y")).distinct()
-    more = more.select(F.col("x.r").alias("a"), F.col("y.r").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    late = _counted(written(more, "pairs"), fragments, num, den)
-    return found.unionAll(late)
+    small, main = open_lists.where("label <> main"), open_lists.where("label = main")
+    one = small.select("h", F.col("root").alias("a"), F.col("n").alias("an"), F.col("spare").alias("aspare"), F.col("label").alias("alabel"))
+    two = small.select("h", F.col("root").alias("b"), F.col("n").alias("bn"), F.col("spare").alias("bspare"), F.col("label").alias("blabel"))
+    more = _ordered(one.join(two, "h").where((F.col("alabel") != F.col("blabel")) & (F.col("a") < F.col("b")) & _possible(num, den)))
+    late = _counted(written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), fragments, num, den)
+    return links.unionAll(late).unionAll(_against_main(main.select("main", "root", "n", "spare").distinct(), small.select("main", "root", "n", "spare").distinct(), classes.select("root", "shared"), num, den))
+
+
+def _against_main(main: DataFrame, small: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """A link (a, b) of each document of ``small`` to its list's main component, if it has any.
+
+    Both sides are cut into blocks of about ``BLOCK`` documents; a task counts the
+    overlaps of two blocks, fragment by fragment, so no task holds a whole group.
+    """
+    blocks = lambda rows, name: rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    counts = blocks(main, "ni").join(blocks(small, "nj"), "main")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(3), "root"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = main.join(counts, "main").select("main", "root", "n", "spare", F.lit(0).alias("side"), own("ni").alias("i"), every("nj").alias("j"))
+    right = small.join(counts, "main").select("main", "root", "n", "spare", F.lit(1).alias("side"), every("ni").alias("i"), own("nj").alias("j"))
+    rows = left.unionAll(right).join(shared, "root")
+
+    def count(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        root, n, spare, data = (table.column(c).to_pylist() for c in ("root", "n", "spare", "shared"))
+        many, few = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[tuple[int, int]] = []
+        if len(many) and len(few):
+            sets = [np.frombuffer(data[k], "<i8") for k in many]
+            h, doc = np.concatenate(sets), np.repeat(np.arange(len(many)), [len(x) for x in sets])
+            order = np.argsort(h)
+            h, doc = h[order], doc[order]
+            size, free = np.array([n[k] for k in many]), np.array([spare[k] for k in many])
+            width = (1 << _HASH_BITS) // FRAGMENTS + 1
+            cuts = np.searchsorted(h, np.arange(FRAGMENTS + 1) * width)
+            for k in few:
+                most = np.minimum(size - free, n[k] - spare[k])
+                if not (most * den >= (size + n[k] - most) * num).any():
+                    continue
+                own_set = np.sort(np.frombuffer(data[k], "<i8"))
+                mine = np.searchsorted(own_set, np.arange(FRAGMENTS + 1) * width)
+                x = np.zeros(len(many), np.int64)
+                for f in range(FRAGMENTS):
+                    part, place = h[cuts[f] : cuts[f + 1]], doc[cuts[f] : cuts[f + 1]]
+                    x += np.bincount(place[np.isin(part, own_set[mine[f] : mine[f + 1]])], minlength=len(many))
+                hit = np.flatnonzero(x * den >= (size + n[k] - x) * num)
+                if len(hit):
+                    out.append((root[k], root[many[hit[0]]]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("main", "i", "j").applyInArrow(count, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

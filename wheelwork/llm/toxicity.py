@@ -112,6 +112,8 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, rate: float = 0.02
 
 def probability(model: dict, places: set[int]) -> float:
     z = model["b"]
+    if z == -np.inf:
+        return 0.0
     if places:
         i = np.fromiter(places, np.int64, len(places))
         v = model["v"][i]

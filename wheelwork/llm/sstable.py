@@ -44,8 +44,10 @@ from wheelwork.llm.common import arrow_rows, buckets_for, fresh_path, text_bytes
 MAGIC = b"WWSSTAB1"
 BLOCK, RESTART, BITS, PROBES = 64 << 10, 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQ8s")
+#: Remembered entries per generation: fewer than elsewhere, as the sort beside it needs memory.
+GENERATION = 150_000
 #: Text per file.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 MANIFEST = "shard int, path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint"
 
 
@@ -227,7 +229,7 @@ def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str |
     ranged = pairs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def write(batches):
-        encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer, GENERATION), TaskContext.get().partitionId()
         writer, first, last, docs, tokens = None, None, None, 0, 0
         fs, top = files(folder)
         path = f"{top}/shard-{shard:06d}.sst"
@@ -254,13 +256,23 @@ def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str |
         return written(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
-def read_tables(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (packed), width of every document."""
+def read_tables(manifest: DataFrame, checksum: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids (packed), width of every document.
+
+    With ``checksum``, ids_crc32 (over the ids as 32-bit numbers) stands for the last two.
+    """
     # a row per file: small enough for one task
     starts = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     n = manifest.count()
     spread = starts.repartitionByRange(max(1, n), "shard") if n else starts
 
+    def rows(ids, start, count, values, width):
+        if checksum:
+            last = {"ids_crc32": pa.array([zlib.crc32(np.frombuffer(v, f"<u{width}").astype("<u4")) for v in values], pa.int64())}
+        else:
+            last = {"ids": pa.array(values, pa.binary()), "width": pa.array([width] * len(ids), pa.int32())}
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(count, pa.int64()), **last})
+
     def read(batches):
         for batch in batches:
             for uri, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
@@ -276,30 +288,16 @@ def read_tables(manifest: DataFrame) -> DataFrame:
                         values.append(value)
                         base += count[-1]
                         size += len(value)
-                        if size > 8 << 20:
+                        if size > 4 << 20:
                             yield rows(ids, start, count, values, width)
                             ids, start, count, values, size = [], [], [], [], 0
                     if ids:
                         yield rows(ids, start, count, values, width)
 
-    def rows(ids, start, count, values, width):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int64()), pa.array(values, pa.binary()), pa.array([width] * len(ids), pa.int32())], ["doc_id", "start", "n_tokens", "ids", "width"])
-
-    return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary, width int")
-
-
-def ids_crc32(packed: DataFrame) -> DataFrame:
-    """``packed`` (with ids and width) with ids_crc32 over 32-bit ids instead of the ids."""
-
-    def run(batches):
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(v, f"<u{w}").astype("<u4").tobytes()) for v, w in zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return packed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if checksum else "ids binary, width int"))
 
 
 def op1_sstable_ids(spark, sf_dir: str) -> DataFrame:
     """All documents' ids, written to table files and read back from them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ids_crc32(read_tables(write_tables(docs, fresh_path(spark, "tables"))))
+    return read_tables(write_tables(docs, fresh_path(spark, "tables")), checksum=True)

@@ -36,6 +36,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def forget() -> None:
+    """Drops the encoders of this process with all they remember."""
+    _loaded.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         self.generation = GENERATION

@@ -12,8 +12,8 @@ import numpy as np
 WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(32 if b in WHITE else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Bytes hashed at once: some 100 MB of arrays.
-CHUNK = 2 << 20
+#: Bytes hashed at once: some 50 MB of arrays.
+CHUNK = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -44,7 +44,7 @@ def word_terms(word: bytes) -> tuple[int, ...]:
 class Terms:
     """Hashed terms of texts; remembers what it has hashed, up to a bound."""
 
-    def __init__(self, keep=None, most: int = 400_000):
+    def __init__(self, keep=None, most: int = 150_000):
         self.keep, self.most, self.known = keep, most, {}
 
     def of(self, text: bytes | None) -> set[int]:

@@ -7,6 +7,8 @@ byte by byte, so one 256-entry table and ``bytes.split`` do it.
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
 
 
@@ -31,7 +33,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    """A string column as UTF-8 byte strings."""
+    """A string column as UTF-8 byte strings.
+
+    The operators that call this do not encode; what an encoder of an earlier stage
+    still remembers in this worker process is let go.
+    """
+    if (bpe := sys.modules.get("wheelwork.llm.bpe")) is not None:
+        bpe.forget()
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 

@@ -10,8 +10,10 @@ sign) is encoded whole. Special tokens' strings in a text are ordinary text.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,12 @@ def default_path() -> str:
 
 
 def forget() -> None:
-    """Drops the encoders of this process with all they remember."""
-    _loaded.clear()
+    """Drops the encoders of this process with all they remember, and gives the memory back."""
+    if _loaded:
+        _loaded.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Encoder:

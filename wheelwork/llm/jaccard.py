@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import buckets_for, text_bytes, written
+from wheelwork.llm.common import arrow_rows, buckets_for, text_bytes, written
 from wheelwork.llm.graph import components
 from wheelwork.llm.packed import groups, pack, record, small, unpack
 from wheelwork.llm.shingles import set_digests, shingle_sets
@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     n_ranges = buckets_for(text_bytes(rows), RANGE)
-    table = written(_documents(_shared(_cut(rows, k, n_ranges), n_ranges), num, den), "documents")
+    with arrow_rows(docs.sparkSession, 1000):
+        table = written(_documents(_shared(_cut(rows, k, n_ranges), n_ranges), num, den), "documents")
     known = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shared", ignorenulls=True).alias("shared")), "classes")
     # classes are known by their least identifier and, where one identifier has several texts, a digest

@@ -284,6 +284,16 @@ def test_jaccard(docs, rows, empty, monkeypatch, k, num, den):
         assert jaccard.near_duplicates(empty, k, num, den).count() == 0
 
 
+def test_jaccard_null_id_copy_first(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:100], "other", *words[101:]])
+    data = [(None, " ".join(words)), (10, " ".join(words)), (20, near), (None, near), (30, "alone " * 9)]
+    table = spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1)
+    got = jaccard.near_duplicates(table, 4, 85, 100).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(data, 4, 85, 100)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {10: 10, 20: 10, 30: 30}
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()

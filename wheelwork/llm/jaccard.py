@@ -66,7 +66,8 @@ def _cut(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
         known = np.array([i is not None for i in ids], "u1")
         yield -1, portion, pack(np.array([i or 0 for i in ids], "<i8"), known, d1, d2, sizes)
         first: dict[tuple[int, int], int] = {}
-        own = [first.setdefault(d, i) == i for i, d in enumerate(zip(d1.tolist(), d2.tolist(), strict=True))]
+        # rows without an identifier send nothing: they link with none, and must not stand for one that does
+        own = [ids[i] is not None and first.setdefault(d, i) == i for i, d in enumerate(zip(d1.tolist(), d2.tolist(), strict=True))]
         place = np.repeat(np.arange(len(ids), dtype="<u2"), sizes)
         keep = np.repeat(np.array(own, bool), sizes)
         sets, place = sets[keep], place[keep]

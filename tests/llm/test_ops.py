@@ -97,6 +97,38 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def alternatives(parsed):
+    """Strings that a parsed pattern matches: every branch, first and last of a set, fewest and most repeats (at most 2)."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            part = [chr(arg)]
+        elif name == "IN":
+            part = [chr(c) for k, v in arg for c in (v if str(k) == "RANGE" else (v,))]
+        elif name == "BRANCH":
+            part = [s for b in arg[1] for s in alternatives(b)]
+        elif name == "SUBPATTERN":
+            part = alternatives(arg[-1])
+        elif name == "MAX_REPEAT":
+            part = sorted({s * n for n in {arg[0], min(arg[1], 2)} for s in alternatives(arg[2])})
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            part = [""]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_every_license_alternative_opens_a_gate():
+    words = b"licensed under creative commons attribution sharealike 4 0".split()
+    assert [d[0] for d in licenses.detect(words)[1]] == ["cc-by-sa"]
+    # phrases before a name are the same for all families and hold no gate: one of each is enough
+    for _, label, gates, rx in licenses.rules():
+        pattern = rx.pattern.replace(licenses.GRANT.encode(), b"licensed under ")
+        for text in alternatives(re._parser.parse(pattern.decode())):
+            assert any(" " + g.decode() in " " + text for g in gates), (label, text)
+
+
 def test_sharding(docs, rows, empty, tmp_path):
     out = sharding.write_shards(docs, "file://" + str(tmp_path / "s"), n_shards=7, bucket_bytes=500)
     assert "shard_in" in out.columns

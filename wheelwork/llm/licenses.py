@@ -2,7 +2,7 @@ r"""License scans: ordered signature rules over normalised words.
 
 Rules are regexes over a text's lower-cased words joined by single spaces, made from
 the hand-written FAMILIES and TEMPLATES below (some hundreds). A rule is tried only if
-its gate keyword occurs in the text. Detections are resolved in the order of priority,
+one of its gate keywords begins a word of the text. Detections are resolved in the order of priority,
 then length, then place, then rule: one that lies inside an accepted interval is
 suppressed. Rows are looked at alone, whole, in Arrow batches; nothing is shuffled.
 
@@ -26,7 +26,7 @@ from wheelwork.llm.words import column_bytes, with_columns, words_of
 #: Phrases that are always reported, each place of them. Fixed values.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: label, gate keyword, name, version (None: has none). In natural order by group.
+#: label, gate keywords (any of them, with |, must begin a word), name, version (None: has none). In natural order by group.
 FAMILIES = [
     ("gpl-1", "gnu", "gnu general public", "1(?: 0)?"),
     ("gpl-2", "gnu", "gnu general public", "2(?: 0)?"),
@@ -72,12 +72,12 @@ FAMILIES = [
     ("ms-rl", "microsoft", "microsoft reciprocal", None),
     ("ncsa", "ncsa", "university of illinois ncsa open source", None),
     ("postgresql", "postgresql", "postgresql", None),
-    ("cc-by", "cc", "(?:cc|creative commons) (?:by|attribution)(?! (?:nc|nd|sa|noncommercial|noderivatives|sharealike))", "(?:[1-4] [05])"),
-    ("cc-by-sa", "cc", "(?:cc|creative commons) (?:by|attribution) (?:sa|sharealike)", "(?:[1-4] [05])"),
-    ("cc-by-nd", "cc", "(?:cc|creative commons) (?:by|attribution) (?:nd|noderivatives)", "(?:[1-4] [05])"),
-    ("cc-by-nc", "cc", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial)(?! (?:nd|sa|noderivatives|sharealike))", "(?:[1-4] [05])"),
-    ("cc-by-nc-sa", "cc", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:sa|sharealike)", "(?:[1-4] [05])"),
-    ("cc-by-nc-nd", "cc", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:nd|noderivatives)", "(?:[1-4] [05])"),
+    ("cc-by", "cc|creative", "(?:cc|creative commons) (?:by|attribution)(?! (?:nc|nd|sa|noncommercial|noderivatives|sharealike))", "(?:[1-4] [05])"),
+    ("cc-by-sa", "cc|creative", "(?:cc|creative commons) (?:by|attribution) (?:sa|sharealike)", "(?:[1-4] [05])"),
+    ("cc-by-nd", "cc|creative", "(?:cc|creative commons) (?:by|attribution) (?:nd|noderivatives)", "(?:[1-4] [05])"),
+    ("cc-by-nc", "cc|creative", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial)(?! (?:nd|sa|noderivatives|sharealike))", "(?:[1-4] [05])"),
+    ("cc-by-nc-sa", "cc|creative", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:sa|sharealike)", "(?:[1-4] [05])"),
+    ("cc-by-nc-nd", "cc|creative", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:nd|noderivatives)", "(?:[1-4] [05])"),
     ("cc0", "cc0", "cc0", "(?:1 0)"),
 ]
 GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|shared) (?:solely )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
@@ -110,8 +110,8 @@ TEXTS = [
 
 
 @functools.lru_cache(maxsize=1)
-def rules() -> list[tuple[int, str, bytes, re.Pattern]]:
-    """priority, label, gate, regex; by gate they are tried in this order."""
+def rules() -> list[tuple[int, str, frozenset[bytes], re.Pattern]]:
+    """priority, label, gates, regex; those with an open gate are tried in this order."""
     out = [(p, label, gate, pattern) for p, label, gate, pattern in TEXTS]
     for label, gate, name, version in FAMILIES:
         for p, pattern in TEMPLATES:
@@ -127,11 +127,11 @@ def rules() -> list[tuple[int, str, bytes, re.Pattern]]:
             families.setdefault((label.rsplit("-", 1)[0], gate, name), None)
     for label, gate, name in families:  # the version left open: lower in rank
         out += [(p - 30, label, gate, pattern.replace("{name}", name)) for p, pattern in TEMPLATES if "{version}" not in pattern]
-    return [(p, label, gate.encode(), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")) for p, label, gate, pattern in out]
+    return [(p, label, frozenset(gate.encode().split(b"|")), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")) for p, label, gate, pattern in out]
 
 
 def gates() -> list[bytes]:
-    return list(dict.fromkeys(g for _, _, g, _ in rules()))
+    return list(dict.fromkeys(g for _, _, several, _ in rules() for g in sorted(several)))
 
 
 def detect(words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]]]:
@@ -146,8 +146,8 @@ def detect(words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, i
     open_gates = {g for g in gates() if b" " + g in text}
     found = []
     if open_gates:
-        for k, (p, label, gate, rx) in enumerate(rules()):
-            if gate in open_gates:
+        for k, (p, label, several, rx) in enumerate(rules()):
+            if not several.isdisjoint(open_gates):
                 for m in rx.finditer(text):
                     first = text.count(b" ", 0, m.start()) - 1
                     found.append((-p, m.start() - m.end(), first, k, label, first + m[0].count(b" ") + 1))

@@ -93,6 +93,11 @@ def test_paths_and_merging(spark):
     assert {r["gap_id"]: r["merged_id"] for r in gaps.merged(parts).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_paths_of_any_length(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101)], "u bigint, v bigint").coalesce(1)
+    assert sorted(r["path"] for r in gaps.simple_paths(chain).collect()) == [list(range(71)), [100, 101]]
+
+
 def test_greedy_rank(spark):
     cells = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (2, 2, 5.0), (2, 3, 4.0), (3, 4, 6.0)], "gap_id bigint, cell bigint, population double")
     got = gaps.greedy_rank(cells, spark.createDataFrame([(9,)], "cell bigint"), 3)

@@ -240,7 +240,7 @@ def gap_rank(spark, d):
 
 @query()
 def gap_paths(spark, d):
-    """Paths over moves that only lead to higher places, taken often."""
+    """Gaps over relevant moves: those to higher places with 4 trips or more, which is what a gap is made of here."""
     e = _moves(spark, d).where("u < v AND trips >= 4").select("u", "v")
     return gaps.simple_paths(e).select("start", F.array_join("path", ",").alias("path"))
 

@@ -103,7 +103,16 @@ def both_directions(spark, d):
 
 @query(f"""WITH {MOVES} SELECT a.u AS u, a.v AS mid, b.v AS v, least(a.trips, b.trips) AS trips FROM moves a JOIN moves b ON a.v = b.u WHERE a.u <> b.v AND a.trips >= 4 AND b.trips >= 4""")
 def turn_edges(spark, d):
-    m = _moves(spark, d).where("trips >= 4")
+    return _turns(_moves(spark, d).where("trips >= 4"))
+
+
+@query()
+def turn_edges_all(spark, d):
+    """Turns between all moves."""
+    return _turns(_moves(spark, d))
+
+
+def _turns(m):
     at = lambda c: F.col(c).cast("double")
     edges = m.select("u", "v", F.lit(0).alias("key"), (F.col("u") * 1000 + F.col("v")).alias("osmid"), (at("u") / 100).alias("ux"), F.lit(0.0).alias("uy"), (at("v") / 100).alias("vx"), F.lit(0.0).alias("vy"))
     t = network.turn_edges(edges)
@@ -130,7 +139,10 @@ def components(spark, d):
 @query(f"""{_ROOTS}, l AS (SELECT component, count(*) AS n_edges, sum(length) AS length FROM gap JOIN roots ON u = node GROUP BY 1)
 SELECT count(*) AS n, avg(length) AS mean, median(length) AS median, min(length) AS least, max(length) AS most, stddev_pop(length) AS std, quantile_cont(length, 0.05) AS p5, quantile_cont(length, 0.3) AS p30 FROM l""")
 def component_stats(spark, d):
-    lengths = C.component_lengths(_gap_edges(spark, d))
+    return _length_stats(C.component_lengths(_gap_edges(spark, d)))
+
+
+def _length_stats(lengths):
     return lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.median("length").alias("median"), F.min("length").alias("least"), F.max("length").alias("most"), F.stddev_pop("length").alias("std"), F.expr("percentile(length, 0.05)").alias("p5"), F.expr("percentile(length, 0.3)").alias("p30"))
 
 
@@ -139,6 +151,26 @@ def drop_short_components(spark, d):
     return C.drop_short(_gap_edges(spark, d), 80000.0)
 
 
+def _all_edges(spark, d):
+    return streets(spark, d).select("u", "v", "length")
+
+
+@query()
+def components_all(spark, d):
+    """Components of all streets."""
+    return C.components(_all_edges(spark, d))
+
+
+@query()
+def component_stats_all(spark, d):
+    return _length_stats(C.component_lengths(_all_edges(spark, d)))
+
+
+@query()
+def drop_short_components_all(spark, d):
+    return C.drop_short(_all_edges(spark, d), 80000.0)
+
+
 _COSTS = f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v, 100.0 / trips AS w FROM moves), r(s, n, c, k) AS (
   SELECT u, u, 0.0::DOUBLE, 0 FROM (SELECT DISTINCT u FROM e WHERE u < 5) UNION ALL
   SELECT s, v, min(c + w), any_value(k) + 1 FROM r JOIN e ON r.n = e.u WHERE k < 4 GROUP BY s, v)"""

@@ -59,3 +59,19 @@ def test_turn_edges(spark):
     want = Counter((u, m, v, min(a, b)) for (u, m), a in moves.items() for (n, v), b in moves.items() if m == n and u != v)
     assert len(moves) == 926 and want
     assert Counter(map(tuple, network.turn_edges_all(spark, DATA).select("u", "mid", "v", "trips").collect())) == want
+
+
+def test_reach_in_steps(spark):
+    edges = [(r["u"], r["v"], r["weight"]) for r in network._network(spark, DATA).collect()]
+    nodes = {x for u, v, _ in edges for x in (u, v)}
+    cost = {(s, s): 0.0 for s in nodes}
+    for _ in range(4):
+        further = dict(cost)
+        for s in nodes:
+            for u, v, w in edges:
+                if (s, u) in cost:
+                    further[s, v] = min(further.get((s, v), float("inf")), cost[s, u] + w)
+        cost = further
+    got = {(r["source"], r["node"]): r["cost"] for r in network.reach_in_steps_all(spark, DATA).collect()}
+    assert len(nodes) == 100 and got.keys() == cost.keys()
+    assert all(abs(got[k] - c) < 2e-6 for k, c in cost.items())

@@ -178,8 +178,18 @@ _COSTS = f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v, 100.0 / trips AS w FROM
 
 @query(f"{_COSTS} SELECT s AS source, n AS node, round(min(c), 6) AS cost FROM r GROUP BY 1, 2")
 def reach_in_steps(spark, d):
+    return _reach(_network(spark, d).where("u < 5").select(F.col("u").alias("node")).distinct(), _network(spark, d))
+
+
+@query()
+def reach_in_steps_all(spark, d):
+    """Reach of every place, also of those that no move leaves."""
     e = _network(spark, d)
-    return routing.reach(e, e.where("u < 5").select(F.col("u").alias("node")).distinct(), "weight", 4).select("source", "node", F.round("cost", 6).alias("cost"))
+    return _reach(e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct(), e)
+
+
+def _reach(sources, e):
+    return routing.reach(e, sources, "weight", 4).select("source", "node", F.round("cost", 6).alias("cost"))
 
 
 def _routes(spark, d):

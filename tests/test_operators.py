@@ -140,6 +140,14 @@ def test_nearest_far_away(spark):
     assert sorted((r["id"], r["node"], r["distance"]) for r in nearest(pts, nodes, "id", "node", 0.5).collect()) == [(1, 7, 1.0), (2, 8, 37.0)]
 
 
+def test_nearest_at_any_distance(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 0.0), (3, None, 0.0)], "id bigint, x double, y double")
+    nodes = spark.createDataFrame([(7, 1.0, 0.0), (8, 3.0, 0.0)], "node bigint, x double, y double")
+    result = lambda n: sorted((r["id"], r["node"], r["distance"]) for r in nearest(pts, n, "id", "node", 0.5).collect())
+    assert result(nodes) == [(1, 7, 1.0), (2, 8, 4997.0), (3, None, None)]
+    assert result(nodes.limit(0)) == [(1, None, None), (2, None, None), (3, None, None)]
+
+
 def test_kmodes(spark):
     rows = spark.createDataFrame([("a", "x")] * 5 + [("a", "y")] * 2 + [("b", "z")] * 4, "p string, q string")
     centres, cost = kmodes.fit(rows, ["p", "q"], 2)

@@ -38,16 +38,20 @@ def count_in_disc(centres: DataFrame, points: DataFrame, key: str, radius: float
     return centres.select(key).join(hits, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, size: float, most_rings: int = 12) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, size: float) -> DataFrame:
     """The nearest node of each point, ties by node; exact.
 
     Nodes within one cell are searched first; a point whose best distance is beyond the
-    cell size goes on with cells of twice the size, until all are settled.
+    cell size goes on with cells of twice the size, until all are settled. Without nodes,
+    or where a coordinate is null or not finite, the node is null.
     """
-    places = points.select("x", "y").distinct()
+    finite = (F.abs("x") < math.inf) & (F.abs("y") < math.inf)
+    nodes = nodes.where(finite)
+    left = points.select("x", "y").where(finite).distinct()
+    if nodes.isEmpty():
+        left = left.limit(0)
     done = None
-    left = places
-    for _ in range(most_rings):
+    while True:
         near = with_neighbour_cells(left.select(F.col("x").alias("_x"), F.col("y").alias("_y")), "_x", "_y", size)
         spots = nodes.select(F.col(node).alias("_node"), F.col("x").alias("_nx"), F.col("y").alias("_ny")).withColumn("cx", cell(F.col("_nx"), size)).withColumn("cy", cell(F.col("_ny"), size))
         d = planar(F.col("_x"), F.col("_y"), F.col("_nx"), F.col("_ny"))

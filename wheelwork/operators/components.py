@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (a local one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wheelwork-"))
-    return df.checkpoint()
+from wheelwork.operators.lineage import drop_written, written
 
 
-def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
-    """node, component (its smallest node) for every node of the edges.
+def stars(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+    """node, component (its smallest node) for every node that has a link to a smaller one.
 
     Alternating large-star and small-star rounds; their number grows with the logarithm
-    of the longest chain. Each round is checkpointed.
+    of the longest chain. Each round is written to the shared folder, and the one before
+    it is deleted. A hub's links are joined with its smallest neighbour, a table of one
+    row a node, which adaptive execution splits or sends out where one node has most rows.
     """
-    nodes = edges.select(F.col(a).alias("node")).unionAll(edges.select(F.col(b).alias("node"))).distinct()
-    links = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    links = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
     before = None
     while True:
+        # large star: every larger neighbour goes to the smallest neighbour
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: smaller neighbours and the node itself go to the smallest one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = cut(large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        old, links = links, written(large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        drop_written(old)
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
-            break
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = seen
-    return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+    """node, component (its smallest node) for every node of the edges; null nodes are left out."""
+    nodes = edges.select(F.col(a).alias("node")).unionAll(edges.select(F.col(b).alias("node"))).where("node IS NOT NULL").distinct()
+    return nodes.join(stars(edges, a, b), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def component_lengths(edges: DataFrame, length: str = "length") -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.operators.components import cut
+from wheelwork.operators.lineage import written
 
 MOST_EDGES = 50_000_000
 
@@ -183,5 +183,5 @@ def reach(edges: DataFrame, sources: DataFrame, weight: str, steps: int) -> Data
     known = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))
     for _ in range(steps):
         further = known.join(edges, known["node"] == edges["u"]).select("source", F.col("v").alias("node"), (F.col("cost") + F.col(weight)).alias("cost"))
-        known = cut(known.unionAll(further).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+        known = written(known.unionAll(further).groupBy("source", "node").agg(F.min("cost").alias("cost")))
     return known

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wheelwork.functions.geo import cell, planar, strictly_in
-from wheelwork.operators.components import cut
+from wheelwork.operators.lineage import written
 
 
 def flag_zones(points: DataFrame, x: str, y: str, zones: dict[str, list[tuple[float, float]]]) -> DataFrame:
@@ -56,9 +56,9 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, size: floa
         spots = nodes.select(F.col(node).alias("_node"), F.col("x").alias("_nx"), F.col("y").alias("_ny")).withColumn("cx", cell(F.col("_nx"), size)).withColumn("cy", cell(F.col("_ny"), size))
         d = planar(F.col("_x"), F.col("_y"), F.col("_nx"), F.col("_ny"))
         best = near.join(spots, ["cx", "cy"]).groupBy("_x", "_y").agg(F.min(F.struct(d.alias("d"), F.col("_node"))).alias("_b"))
-        settled = cut(best.where(F.col("_b.d") <= size).select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_b._node").alias(node), F.col("_b.d").alias("distance")))
+        settled = written(best.where(F.col("_b.d") <= size).select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_b._node").alias(node), F.col("_b.d").alias("distance")))
         done = settled if done is None else done.unionAll(settled)
-        left = cut(left.join(settled.select("x", "y"), ["x", "y"], "left_anti"))
+        left = written(left.join(settled.select("x", "y"), ["x", "y"], "left_anti"))
         if left.isEmpty():
             break
         size *= 2

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheelwork.operators.components import cut
+from wheelwork.operators.lineage import fresh_path
 from wheelwork.streaming.rides import stream_rides
 
 
@@ -15,8 +13,7 @@ def replay_rides(spark: SparkSession, path: str, batches: int = 3) -> DataFrame:
     """bike, start_time, finish_time, start_place, finish_place, from files of consecutive time spans."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     rows = spark.read.parquet(path).select(F.col("user_id").alias("key"), F.col("ts").alias("time"), k.alias("place"))
-    cut(spark.range(1))  # sets a checkpoint folder where there is none
-    top = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    top = fresh_path(spark, "stream")
     cuts = rows.agg(F.expr(f"percentile_approx(time, array({', '.join(str(i / batches) for i in range(1, batches))}))").alias("c")).first()["c"]
     edges = [None, *cuts, None]
     for lo, hi in zip(edges, edges[1:], strict=False):

@@ -1,15 +1,20 @@
 """Two-pass external shuffle into shards, in DataFrame operations only.
 
-Pass one scatters whole records uniformly over memory-sized buckets by a seeded
-hash of their identifier and text. Pass two shuffles each bucket by Fisher-Yates
-(Spark's ``shuffle`` of an array is that algorithm) and writes it. The buckets laid
-one after the other are a random order of all records; cutting it into
-``n_shards`` runs gives shards whose row counts differ by one at most (law ``rows``).
+Pass one scatters whole records uniformly over memory-sized buckets by a seeded hash
+of all their columns; a task holds one bucket or a few, each sorted by a second seeded
+hash. Pass two shuffles each bucket by Fisher-Yates (Spark's ``shuffle`` of an array is
+that algorithm) and writes it. The buckets laid one after the other are a random order
+of all records; cutting it into ``n_shards`` runs gives shards whose row counts differ by
+one at most (law ``rows``).
 
-Cases: null identifiers and null texts are scattered like any others (nulls hash to
-the seed, the other column still spreads them; rows equal in both land in one bucket);
-an empty table gives empty shards; repeated rows are all kept; input columns named
-like an output column go on as ``<name>_in``.
+The number of buckets and of their partitions follows from the table alone, so the same
+table and seed give the same order whatever the session's partition settings.
+
+Cases: null identifiers and null texts are scattered like any others; repeated rows are
+all kept: of rows that are equal in every column and more than ``MOST_EQUAL``, each is
+scattered by its place in the input, so that they do not meet in one bucket (which of
+them is where makes no difference); an empty table gives empty shards; input columns
+named like an output column go on as ``<name>_in``. Map columns have no hash and are an error.
 """
 
 from __future__ import annotations
@@ -20,38 +25,41 @@ from pyspark.sql import functions as F
 from wheelwork.llm.common import apart, buckets_for, fresh_path
 
 OUTPUT = ["shard", "slot", "bucket"]
-#: Most rows of the table of bucket offsets, which is broadcast (16 bytes each).
-MOST_BUCKETS = 1 << 20
+#: Buckets up to which their offsets (16 bytes each) are broadcast, and up to which buckets keep their size.
+MANY_BUCKETS = 1 << 20
+#: Rows equal in every column that may share a bucket.
+MOST_EQUAL = 1_000
 
 
-def shuffled(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = 8 << 20,
-             id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shuffled(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = 8 << 20, most_bytes: int = 128 << 20,
+             text_column: str = "text") -> DataFrame:
     """All records with ``shard``, ``slot`` (gapless from 0 in a shard) and ``bucket``.
 
-    ``bucket_bytes`` is what one task holds in memory; the number of buckets follows
-    from the table's size. Text over 2 GB in one row is beyond Spark's row limit.
+    ``bucket_bytes`` is what one bucket holds in memory; in tables of more than
+    ``MANY_BUCKETS`` such buckets it grows up to ``most_bytes``, and then their number does.
+    Text over 2 GB in one row is beyond Spark's row limit.
     """
     docs = apart(docs, OUTPUT)
-    size = docs.agg(F.sum(F.octet_length(text_column) + 64).alias("n")).first()["n"] or 0
-    n = min(MOST_BUCKETS, buckets_for(size, bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
-    bucket = F.pmod(key, F.lit(n)).cast("int")
-    counts = docs.select(bucket.alias("bucket")).groupBy("bucket").count()
+    key = F.xxhash64(F.lit(seed), *docs.columns)
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_column), F.lit(0)) + 64).alias("n")).first()["n"] or 0
+    n = buckets_for(size, min(most_bytes, max(bucket_bytes, size // MANY_BUCKETS)))
+    # one row for MOST_EQUAL rows of the table at most
+    equal = docs.groupBy(key.alias("_key")).count().where(F.col("count") > MOST_EQUAL).select("_key", F.lit(True).alias("_many"))
+    place = F.when(F.col("_many"), F.xxhash64("_key", F.monotonically_increasing_id())).otherwise(F.col("_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_r"), key.alias("_key"))
+    keyed = (keyed.join(F.broadcast(equal), "_key", "left") if not equal.isEmpty() else keyed.withColumn("_many", F.lit(False))).withColumn("_place", place)
+    bucketed = keyed.select("_r", F.pmod("_place", F.lit(n)).cast("int").alias("bucket"), F.xxhash64(F.lit(seed + 1), "_place").alias("_h"))
+    counts = bucketed.groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    # at most MOST_BUCKETS rows
-    offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"), F.sum("count").over(whole).alias("_n"))
-    scattered = (
-        docs.select(F.struct(*docs.columns).alias("_r"), bucket.alias("bucket"), F.xxhash64(F.lit(seed + 1), F.col(id_column), F.col(text_column)).alias("_h"))
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "_h")
-    )
+    # a row of 16 bytes for each bucket
+    offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"), F.sum("count").over(Window.partitionBy()).alias("_n"))
+    # a number of partitions that is asked for stays as it is, and with it each bucket's draw
+    scattered = bucketed.repartition(n, "bucket").sortWithinPartitions("bucket", "_h")
     mixed = scattered.groupBy("bucket").agg(F.collect_list("_r").alias("_rs")).select("bucket", F.posexplode(F.shuffle("_rs", seed)).alias("_pos", "_r"))
-    at = F.col("_base") + F.col("_pos")
     shard = F.expr(f"(_at * {n_shards}) div _n")
     return (
-        mixed.join(F.broadcast(offsets), "bucket")
-        .select("_r.*", "bucket", at.alias("_at"), "_n")
+        mixed.join(F.broadcast(offsets) if n <= MANY_BUCKETS else offsets, "bucket")
+        .select("_r.*", "bucket", (F.col("_base") + F.col("_pos")).alias("_at"), "_n")
         .select(*docs.columns, "bucket", shard.cast("int").alias("shard"), "_at", "_n")
         .select(*docs.columns, "bucket", "shard", (F.col("_at") - F.expr(f"(shard * _n + {n_shards - 1}) div {n_shards}")).alias("slot"))
     )

@@ -1,10 +1,13 @@
 r"""License scans: ordered signature rules over normalised words.
 
-Rules are regexes over a text's lower-cased words joined by single spaces, made from
-the hand-written FAMILIES and TEMPLATES below (some hundreds). A rule is tried only if
-one of its gate keywords begins a word of the text. Detections are resolved in the order of priority,
-then length, then place, then rule: one that lies inside an accepted interval is
-suppressed. Rows are looked at alone, whole, in Arrow batches; nothing is shuffled.
+Rules are regexes over a text's lower-cased words joined by single spaces: the sentences
+of TEXTS and the hand-written FAMILIES in the TEMPLATES below (some hundreds). A rule is
+tried only if one of its gate keywords begins a word of the text. Detections are resolved
+in the order of priority, then length, then place, then rule: one that lies inside an
+accepted interval is suppressed (lying inside any earlier one is the same, as that one
+lies in an accepted one itself). Per rule, the work is in proportion to the text, and
+n detections are resolved in n log n steps. Rows are looked at alone, whole, in Arrow
+batches; nothing is shuffled.
 
 Cases: null or empty text has no words and no detections (score 0); nulls and extra
 columns pass through; repeated rows give repeated results; an empty table gives none;
@@ -13,14 +16,16 @@ input columns named like an output column go on as ``<name>_in``.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import apart, extended
+from wheelwork.llm.common import apart, bounded, extended, tidy
 from wheelwork.llm.words import column_bytes, with_columns, words_of
 
 #: Phrases that are always reported, each place of them. Fixed values.
@@ -95,11 +100,55 @@ TEMPLATES = [
 #: priority, label, gate keyword, pattern: texts known by their wording.
 TEXTS = [
     (100, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
+    (100, "mit", "notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    (100, "mit-0", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
     (100, "isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    (100, "0bsd", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
     (100, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
+    (100, "bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    (100, "bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    (100, "bsd-3", "neither", "neither the name of (?:the )?(?:[0-9a-z]+ ){1,8}nor the names of (?:its|any|the) contributors may be used to endorse or promote products derived from this software"),
+    (100, "bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     (100, "gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (100, "gpl-2-or-later", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or (?:at your option )?any later version"),
+    (100, "gpl-3-or-later", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version"),
+    (100, "gpl-2-only", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 (?:only )?as published by the free software foundation"),
+    (100, "lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    (100, "agpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    (100, "gpl", "received", "you should have received a copy of the gnu general public license along with this program"),
+    (100, "lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    (100, "agpl", "received", "you should have received a copy of the gnu affero general public license"),
+    (100, "gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    (100, "apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this (?:file|work|software) except in compliance with the license"),
+    (100, "apache-2", "apache", "you may obtain a copy of the license at (?:https? )?www apache org licenses license 2 0"),
+    (100, "apache-2", "basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    (100, "apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    (100, "mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (100, "mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    (100, "epl-1", "eclipse", "made available under the terms of the eclipse public license v1 0"),
+    (100, "epl-2", "eclipse", "made available under the terms of the eclipse public license (?:v )?2 0"),
+    (100, "cddl-1", "development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (100, "bsl-1", "boost", "distributed under the boost software license version 1 0"),
+    (100, "zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    (100, "zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     (100, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    (100, "unlicense", "dedicate", "the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    (100, "wtfpl", "just", "you just do what the f[a-z]* you want to"),
+    (100, "cc0", "waived", "to the extent possible under law (?:[0-9a-z]+ ){1,12}(?:has|have) waived all copyright and related or neighbou?ring rights"),
+    (100, "cc-by", "creative", "this work is licensed under (?:a|the) creative commons attribution (?:[1-4] [05] )?(?:international|unported|generic) license"),
+    (100, "cc-by-sa", "creative", "this work is licensed under (?:a|the) creative commons attribution share ?alike (?:[1-4] [05] )?(?:international|unported|generic) license"),
+    (100, "cc-by-nc", "creative", "this work is licensed under (?:a|the) creative commons attribution non ?commercial (?:[1-4] [05] )?(?:international|unported|generic) license"),
+    (100, "cc-by-nc-sa", "creative", "this work is licensed under (?:a|the) creative commons attribution non ?commercial share ?alike (?:[1-4] [05] )?(?:international|unported|generic) license"),
+    (100, "cc-by-nc-nd", "creative", "this work is licensed under (?:a|the) creative commons attribution non ?commercial no ?deriv(?:ative)?s (?:[1-4] [05] )?(?:international|unported|generic) license"),
+    (100, "python-2", "psf", "this license agreement is between the python software foundation psf and the individual or organization"),
+    (100, "ofl-1.1", "sil", "this font software is licensed under the sil open font license version 1 1"),
+    (100, "odbl-1", "database", "made available under the open database license"),
+    (100, "beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    (100, "json", "evil", "the software shall be used for good not evil"),
     (55, "spdx", "spdx", "spdx license identifier [0-9a-z]+(?: [0-9a-z]+)?"),
+    (56, "spdx-choice", "spdx", "spdx license identifier (?:[0-9a-z]+ ){1,6}or [0-9a-z]+(?: [0-9a-z]+){0,5}"),
+    (56, "spdx-all", "spdx", "spdx license identifier (?:[0-9a-z]+ ){1,6}and [0-9a-z]+(?: [0-9a-z]+){0,5}"),
+    (56, "spdx-exception", "spdx", "spdx license identifier (?:[0-9a-z]+ ){1,6}with [0-9a-z]+(?: [0-9a-z]+){0,5} exception"),
     (50, "public-domain", "domain", "(?:in|to|into) the public domain"),
     (45, "proprietary", "reserved", "all rights reserved"),
     (45, "proprietary", "proprietary", "proprietary and confidential"),
@@ -130,6 +179,7 @@ def rules() -> list[tuple[int, str, frozenset[bytes], re.Pattern]]:
     return [(p, label, frozenset(gate.encode().split(b"|")), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")) for p, label, gate, pattern in out]
 
 
+@functools.lru_cache(maxsize=1)
 def gates() -> list[bytes]:
     return list(dict.fromkeys(g for _, _, several, _ in rules() for g in sorted(several)))
 
@@ -137,11 +187,13 @@ def gates() -> list[bytes]:
 def detect(words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]]]:
     """Base places (label, first word) and resolved detections (label, first, end, priority)."""
     text = b" " + b" ".join(words) + b" "
+    begins = list(itertools.accumulate((len(w) + 1 for w in words), initial=1))  # of each word, and past the last one
+    word_at = lambda place: bisect.bisect_left(begins, place)
     base = []
     for phrase, label in BASE:
         at = text.find(pat := b" " + phrase.encode() + b" ")
         while at >= 0:
-            base.append((label, text.count(b" ", 0, at)))
+            base.append((label, word_at(at + 1)))
             at = text.find(pat, at + 1)
     open_gates = {g for g in gates() if b" " + g in text}
     found = []
@@ -149,15 +201,36 @@ def detect(words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, i
         for k, (p, label, several, rx) in enumerate(rules()):
             if not several.isdisjoint(open_gates):
                 for m in rx.finditer(text):
-                    first = text.count(b" ", 0, m.start()) - 1
-                    found.append((-p, m.start() - m.end(), first, k, label, first + m[0].count(b" ") + 1))
+                    found.append((-p, m.start() - m.end(), word_at(m.start()), k, label, word_at(m.end() + 1)))
     kept: list[tuple[str, int, int, int]] = []
+    reach = Reach(sorted({f[2] for f in found}))
     for p, _, first, _, label, end in sorted(found):
-        if not any(a <= first and end <= b for _, a, b, _ in kept):
+        if reach.of(first) < end:
             kept.append((label, first, end, -p))
+        reach.add(first, end)
     return base, sorted(kept, key=lambda d: (d[1], d[2], d[0]))
 
 
+class Reach:
+    """The furthest end of the intervals so far that begin at a place or before (a tree of partial maxima)."""
+
+    def __init__(self, begins: list[int]):
+        self.begins, self.tree = begins, [-1] * (len(begins) + 1)
+
+    def add(self, first: int, end: int) -> None:
+        i = bisect.bisect_left(self.begins, first) + 1
+        while i < len(self.tree):
+            self.tree[i] = max(self.tree[i], end)
+            i += i & -i
+
+    def of(self, first: int) -> int:
+        i, out = bisect.bisect_right(self.begins, first), -1
+        while i:
+            out = max(out, self.tree[i])
+            i -= i & -i
+        return out
+
+
 def score(base: list, found: list) -> float:
     """One less the product of what each place leaves in doubt: 0 without any."""
     doubt = 1.0
@@ -175,8 +248,10 @@ OUTPUT = {
 
 def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with n_words, base places, detections and score."""
+    bounded(docs.sparkSession)
     docs = apart(docs, list(OUTPUT))
 
+    @tidy
     def run(batches):
         for batch in batches:
             n, base, found, scores = [], [], [], []

@@ -1,19 +1,28 @@
 r"""Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct lower-cased words and their 4, 5 and 6 byte beginnings,
-hashed to 32 bits. The machine adds a weight per term and, for every pair of terms, the
-inner product of their factors, so that an insult beside the mention of a group can
-weigh more than both alone. It is fitted in numpy on a bounded sample of labelled rows;
-scoring runs over every whole text in Arrow batches with the fitted table sent to the
-workers. Nothing is shuffled but the labels.
+hashed into a table of ``SLOTS`` places, whatever the vocabulary. The machine adds a
+weight per slot and, for every pair of slots, the inner product of their factors, so
+that an insult beside the mention of a group can weigh more than both alone.
+
+It is fitted in numpy on a bounded sample of labelled rows. Two tests say which slots
+carry evidence: a slot's own toxic share, and, for every pair of slots that chance alone
+would bring together in ``LEAST_TOGETHER`` documents, the pair's toxic share beside the
+one that the sum of both slots' own effects foretells. So slots that tell nothing alone
+but something together reach the machine. Slots without evidence of either kind weigh 0.
+Scoring runs over every whole text in Arrow batches with the fitted table sent to the
+workers. Nothing is shuffled but the labels and the sample's slots.
 
 Bounds (parameters): ``MAX_PER_CLASS`` labelled rows of each class, taken in the order
-of a seeded hash of the identifier, and ``MAX_FEATURES`` terms with weights (some 1 MB).
+of a seeded hash of the identifier, and ``SLOTS`` places (20 bytes each in the model).
+What comes to the driver are the slots of the sample: one row an identifier, 4 bytes a
+distinct slot.
 
 Cases: null or empty text has no terms, its score is the intercept's; a null identifier
-is not held out and never a training row; several labels of one identifier count as
-toxic if any is; null labels are left out; without labels of both classes every score
-is 0; input columns named like an output column go on as ``<name>_in``.
+is not held out and never a training row; of several texts of one identifier one is
+learned (the least by hash); several labels of one identifier count as toxic if any is;
+null labels are left out; without labels of both classes every score is 0; input columns
+named like an output column go on as ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -25,24 +34,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import apart, extended
+from wheelwork.llm.common import apart, bounded, extended, tidy
 from wheelwork.llm.words import column_bytes, with_columns, words_of
 
 MAX_PER_CLASS = 5_000
-MAX_FEATURES = 1 << 14
+SLOTS = 1 << 20
 #: Training documents that hold a term, at least; standard errors that its share of toxic ones is off.
 LEAST_DOCS, LEAST_APART = 4, 4.0
+#: Documents in which chance alone brings a pair together, at least; standard errors off the sum of both effects.
+LEAST_TOGETHER, LEAST_JOINT = 16, 6.0
+#: Slots whose pairs are counted at once.
+BLOCK = 1024
 FACTORS = 4
 PREFIXES = (4, 5, 6)
 OUTPUT = {"toxicity": "double"}
 
 
 def word_terms(word: bytes) -> tuple[int, ...]:
-    return (zlib.crc32(b"=" + word), *(zlib.crc32(b"^" + word[:n]) for n in PREFIXES if len(word) >= n))
+    """The slots of a word and its beginnings."""
+    return tuple(zlib.crc32(t) % SLOTS for t in (b"=" + word, *(b"^" + word[:n] for n in PREFIXES if len(word) >= n)))
 
 
 class Terms:
-    """Hashed terms of texts; remembers what it has hashed, up to a bound."""
+    """Slots of texts; remembers what it has hashed, up to a bound."""
 
     def __init__(self, keep=None, most: int = 150_000):
         self.keep, self.most, self.known = keep, most, {}
@@ -62,25 +76,82 @@ class Terms:
         return out
 
 
-def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> dict:
-    """Fit on (label, hashed terms) rows; returns features, weights, factors, intercept."""
+def alone(docs: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How far the toxic share of each slot is from the overall one, in standard errors."""
+    return np.abs(toxic - docs * share) / np.sqrt(docs * share * (1 - share))
+
+
+def together(data: list[np.ndarray], y: np.ndarray, slots: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Slots that tell something in a pair beyond what both tell by themselves.
+
+    ``data`` has the places of each row in the table of ``slots``; ``docs`` and ``toxic``
+    count rows by slot. Pairs are counted in blocks of ``BLOCK`` by ``BLOCK`` slots.
+    """
+    n, share = len(data), y.mean()
+    least = np.sqrt(LEAST_TOGETHER * n)
+    some = np.flatnonzero((docs >= least) & (n - docs >= least))
+    if len(some) < 2:
+        return slots[:0]
+    place = np.full(len(slots), -1)
+    place[some] = np.arange(len(some))
+    row = np.repeat(np.arange(n), [len(t) for t in data])
+    column = place[np.concatenate(data)]
+    row, column = row[column >= 0], column[column >= 0]
+    rate = toxic[some] / docs[some]
+    found = np.zeros(len(some), bool)
+
+    def block(lo: int, hi: int) -> np.ndarray:
+        part = np.zeros((n, hi - lo), np.float32)
+        inside = (column >= lo) & (column < hi)
+        part[row[inside], column[inside] - lo] = 1
+        return part
+
+    edges = range(0, len(some), BLOCK)
+    for a in edges:
+        to_a = min(a + BLOCK, len(some))
+        left = block(a, to_a)
+        left_toxic = left[y > 0]
+        for b in range(a, len(some), BLOCK):
+            to_b = min(b + BLOCK, len(some))
+            right = left if a == b else block(b, to_b)
+            both, both_toxic = left.T @ right, left_toxic.T @ right[y > 0]
+            expected = np.clip(rate[a:to_a, None] + rate[None, b:to_b] - share, 1 / n, 1 - 1 / n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                far = np.abs(both_toxic - both * expected) / np.sqrt(both * expected * (1 - expected))
+            # a word and its own beginning stand together always: no pair
+            far[(both < LEAST_TOGETHER) | (both >= np.minimum(docs[some][a:to_a, None], docs[some][None, b:to_b]) * 0.99)] = 0
+            far[~np.isfinite(far)] = 0
+            found[a:to_a] |= (far >= LEAST_JOINT).any(1)
+            found[b:to_b] |= (far >= LEAST_JOINT).any(0)
+    return slots[some[found]]
+
+
+def sum_by(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by place."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    for f in range(rows.shape[1]):
+        out[:, f] = np.bincount(place, rows[:, f], n)
+    return out
+
+
+def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 20, rate: float = 0.02, decay: float = 1e-4, seed: int = 5, factors: int = FACTORS) -> dict:
+    """Fit on (label, slots) rows; returns features (slot to place), weights, factors, intercept."""
     rows = list({(label, t.tobytes()): (label, t) for label, t in rows}.values())  # copies count once
     y = np.array([label for label, _ in rows], dtype=np.float32)
     if not rows or y.min() == y.max():
-        return {"features": {}, "w": np.zeros(0, np.float32), "v": np.zeros((0, FACTORS), np.float32), "b": -np.inf}
-    every, docs = np.unique(np.concatenate([t for _, t in rows]), return_counts=True)
-    hit = np.unique(np.concatenate([t for label, t in rows if label]), return_counts=True)
-    toxic = np.zeros(len(every))
-    toxic[np.searchsorted(every, hit[0])] = hit[1]
-    share = y.mean()
-    # how far a term's toxic share is from the overall one, in standard errors
-    apart_by = np.abs(toxic - docs * share) / np.sqrt(docs * share * (1 - share))
-    often = np.flatnonzero((docs >= LEAST_DOCS) & (apart_by >= LEAST_APART))
-    chosen = np.sort(every[often[np.lexsort((every[often], -apart_by[often]))[:MAX_FEATURES]]])
-    place = lambda t: np.searchsorted(chosen, t[np.isin(t, chosen)])
-    data = [place(t) for _, t in rows]
+        return {"features": {}, "w": np.zeros(0, np.float32), "v": np.zeros((0, factors), np.float32), "b": -np.inf}
+    every, back, docs = np.unique(np.concatenate([t for _, t in rows]), return_inverse=True, return_counts=True)
+    data = np.split(back, np.cumsum([len(t) for _, t in rows])[:-1])
+    toxic = np.bincount(back, np.repeat(y, [len(t) for _, t in rows]), len(every))
+    share = float(y.mean())
+    own = every[(docs >= LEAST_DOCS) & (alone(docs, toxic, share) >= LEAST_APART)]
+    chosen = np.union1d(own, together(data, y, every, docs, toxic))
+    at = np.searchsorted(chosen, every)
+    at[at == len(chosen)] = 0
+    at = np.where(chosen[at] == every, at, -1) if len(chosen) else np.full(len(every), -1)
+    data = [at[t][at[t] >= 0] for t in data]
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), FACTORS)).astype(np.float32)
+    w, v = np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), factors)).astype(np.float32)
     b = np.float32(np.log(share / (1 - share)))
     class_weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     gw, gv = np.full(len(w), 1e-6, np.float32), np.full(v.shape, 1e-6, np.float32)
@@ -92,15 +163,14 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 40, rate: float = 0.02
             idx = np.concatenate([data[i] for i in part])
             seg = np.repeat(np.arange(len(part)), [len(data[i]) for i in part])
             vi = v[idx]
-            s = np.zeros((len(part), FACTORS), np.float32)
-            np.add.at(s, seg, vi)
+            s = sum_by(seg, vi, len(part))
             sq = np.bincount(seg, (vi * vi).sum(1), len(part))
             z = b + np.bincount(seg, w[idx], len(part)) + 0.5 * ((s * s).sum(1) - sq)
             d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * class_weight[part] / len(part)).astype(np.float32)
             used, back = np.unique(idx, return_inverse=True)
             dw = np.bincount(back, d[seg], len(used)).astype(np.float32) + decay * w[used]
             dv = d[seg][:, None] * (s[seg] - vi)
-            dv = np.stack([np.bincount(back, dv[:, f], len(used)) for f in range(FACTORS)], 1).astype(np.float32) + decay * v[used]
+            dv = sum_by(back, dv, len(used)) + decay * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             gb += float(d.sum()) ** 2
@@ -123,7 +193,7 @@ def probability(model: dict, places: set[int]) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text_column: str) -> list[tuple[int, np.ndarray]]:
-    """Hashed terms of the bounded sample of labelled documents."""
+    """Slots of the bounded sample of labelled documents."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y")).where(may_learn)
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     part = [marked.where(F.col("_y") == c).orderBy(order, "doc_id").limit(MAX_PER_CLASS) for c in (0, 1)]
@@ -131,14 +201,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text_co
     sample = F.broadcast(part[0].unionAll(part[1]))
     texts = docs.select("doc_id", F.col(text_column).alias("_text")).join(sample, "doc_id").select("doc_id", "_y", "_text")
 
+    @tidy
     def run(batches):
         terms = Terms()
         for batch in batches:
             packed = [np.sort(np.fromiter(terms.of(t), np.uint32)).tobytes() for t in column_bytes(batch, "_text")]
             yield with_columns(batch, ["_text"], {"t": pa.array(packed, pa.binary())})
 
-    rows = texts.mapInArrow(run, "doc_id bigint, _y int, t binary").collect()
-    return [(r["_y"], np.frombuffer(r["t"], np.uint32)) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["t"])))]
+    slots = texts.mapInArrow(run, "doc_id bigint, _y int, t binary")
+    # one text an identifier, so that repeated identifiers do not multiply what the driver gets
+    rows = slots.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "_y")).alias("x")).select("doc_id", "x.t", "x._y").collect()
+    return [(r["_y"], np.frombuffer(r["t"], np.uint32)) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def learnable(column: str = "doc_id") -> Column:
@@ -147,14 +220,17 @@ def learnable(column: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> dict:
+    bounded(docs.sparkSession)
     return fit(training_rows(docs, labels, learnable(), text_column))
 
 
 def score(docs: DataFrame, model: dict, text_column: str = "text") -> DataFrame:
     """``docs`` with ``toxicity``, from 0 to 1."""
+    bounded(docs.sparkSession)
     docs = apart(docs, list(OUTPUT))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         model = sent.value
         terms = Terms(model["features"])

@@ -6,9 +6,12 @@ item substring that ends there. Where that length reaches the window (10 words),
 last window of words occurs in the items found on the state's suffix path; an item
 shorter than the window counts as one window of its own length.
 
-The items are a stated query set; they are taken in blocks of at most ``BLOCK_WORDS``
-words, one automaton each, and every block goes over all documents. The usual benchmark
-is one block. Documents are looked at alone, whole, in Arrow batches; nothing is shuffled.
+The items are a stated query set. Tasks build them into automata of at most
+``BLOCK_WORDS`` words each and store those in the shared folder; an item that is longer
+is cut into pieces that overlap by a window less a word, so each of its windows lies
+whole in one. All documents are read once: a task takes a portion of them through one
+automaton after the other and holds one at a time. The usual benchmark is one automaton.
+Documents are looked at alone and whole; no document is shuffled.
 
 Cases: null or empty document texts have no words and no hits; items with null or
 wordless texts have no windows; a null item id is written as the empty string; repeated
@@ -18,18 +21,22 @@ hits nothing; input columns named like an output column go on as ``<name>_in``.
 
 from __future__ import annotations
 
-
+import pickle
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import apart, extended, written
+from wheelwork.llm.common import apart, bounded, buckets_for, extended, fresh_path, text_bytes, tidy
+from wheelwork.llm.sstable import files
 from wheelwork.llm.words import column_bytes, with_columns, words_of
 
 #: Words of items per automaton: some 60 MB in a Python worker.
 BLOCK_WORDS = 100_000
+#: Text that a task takes through all automata at once, where there are several.
+PORTION = 32 << 20
 OUTPUT = {"n_words": "bigint", "hits": "array<struct<first:bigint,end:bigint>>", "items": "array<string>"}
 REMOVED = {"n_hit": "bigint", "coverage": "double", "contaminated": "boolean", "clean_text": "string"}
 
@@ -131,19 +138,49 @@ class SuffixAutomaton:
         return [tuple(s) for s in spans], items
 
 
-def blocks(benchmark: DataFrame, id_column: str, text_column: str):
-    """Items as (id, words) in lists of at most BLOCK_WORDS words (one item at least)."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).toLocalIterator():
-        words = words_of((row["t"] or "").encode())
-        if not words:
-            continue
-        if block and size + len(words) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row["i"] or "", words))
-        size += len(words)
-    yield block
+def pieces(words: list[bytes], window: int):
+    """``words`` in runs of at most BLOCK_WORDS (twice the window at least) that overlap by a window less one."""
+    most = max(BLOCK_WORDS, 2 * window)
+    for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+        yield words[at : at + most]
+
+
+def automata(benchmark: DataFrame, window: int, id_column: str, text_column: str) -> list[str]:
+    """Paths of stored automata over all items; the driver sees nothing but the paths."""
+    folder = fresh_path(benchmark.sparkSession, "automata")
+    items = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("i"), F.col(text_column).alias("t"))
+    n = buckets_for(text_bytes(items, "t"), 6 * BLOCK_WORDS, least=1)
+
+    def saved(block: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        fs, place = files(path)
+        fs.create_dir(place.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(place) as out:
+            out.write(pickle.dumps(SuffixAutomaton(block, window), protocol=pickle.HIGHEST_PROTOCOL))
+        return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    @tidy
+    def run(batches):
+        block, size = [], 0
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "t"), strict=True):
+                for words in pieces(words_of(text), window):
+                    if block and size + len(words) > BLOCK_WORDS:
+                        yield saved(block)
+                        block, size = [], 0
+                    if words:
+                        block.append((item, words))
+                        size += len(words)
+        if block:
+            yield saved(block)
+
+    return [r["path"] for r in items.repartition(n).mapInArrow(run, "path string").collect()]
+
+
+def held(path: str) -> SuffixAutomaton:
+    fs, place = files(path)
+    with fs.open_input_stream(place) as source:
+        return pickle.loads(source.read())
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,78 +193,87 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with n_words, hits (spans of hit words) and items (sorted ids)."""
-    docs = apart(docs, [*OUTPUT, *REMOVED])
-    spark, out = docs.sparkSession, None
-    for block in blocks(benchmark, item_column, item_text):
-        sent = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        if out is not None:
-            out = written(out, "overlaps")
-        before = out is not None
-
-        def run(batches, sent=sent, before=before):
-            automaton = sent.value
-            for batch in batches:
-                old = list(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)) if before else None
-                n, hits, items = [], [], []
-                for k, text in enumerate(column_bytes(batch, text_column)):
-                    words = words_of(text)
-                    spans, found = automaton.matches(words)
-                    if old:
-                        spans = merge([*spans, *((s["first"], s["end"]) for s in old[k][0])])
-                        found |= set(old[k][1])
-                    n.append(len(words))
-                    hits.append([{"first": a, "end": b} for a, b in spans])
-                    items.append(sorted(found))
-                yield with_columns(batch, list(OUTPUT), {
-                    "n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                })
-
-        source = docs if out is None else out
-        out = source.mapInArrow(run, extended(source, OUTPUT, tuple(OUTPUT)))
-    return out
-
-
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
 
 
-def without(text: bytes, hits: list[dict]) -> bytes:
+def without(text: bytes, hits: list[tuple[int, int]]) -> bytes:
     """The text without each span, from its first word's start to its last word's end."""
     if not hits:
         return text
     places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
-    for s in hits:
-        out.append(text[at : places[s["first"]][0]])
-        at = places[s["end"] - 1][1]
+    for first, end in hits:
+        out.append(text[at : places[first][0]])
+        at = places[end - 1][1]
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_column: str = "text") -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float | None, text_column: str, item_column: str, item_text: str) -> DataFrame:
+    """``docs`` with OUTPUT, and with REMOVED if ``max_coverage`` is given."""
+    bounded(docs.sparkSession)
+    docs = apart(docs, [*OUTPUT, *REMOVED])
+    paths = automata(benchmark, window, item_column, item_text)
+
+    def judged(batch: pa.RecordBatch, texts: list, n: list[int], spans: list, items: list) -> pa.RecordBatch:
+        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        more = {
+            "n_words": pa.array(n, pa.int64()), "hits": pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span),
+            "items": pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+        }
+        if max_coverage is not None:
+            hit = [sum(b - a for a, b in s) for s in spans]
+            share = [h / m if m else 0.0 for h, m in zip(hit, n, strict=True)]
+            clean = [None if t is None or c > max_coverage else without(t, s).decode() for t, c, s in zip(texts, share, spans, strict=True)]
+            more |= {"n_hit": pa.array(hit, pa.int64()), "coverage": pa.array(share, pa.float64()), "contaminated": pa.array([h > 0 for h in hit], pa.bool_()), "clean_text": pa.array(clean, pa.string())}
+        return with_columns(batch, [], more)
+
+    @tidy
+    def run(batches):
+        now, automaton = None, None
+        for portion in in_portions(batches, PORTION if len(paths) > 1 else 0):
+            texts = [column_bytes(batch, text_column) for batch in portion]
+            n = [[len(words_of(t)) for t in ts] for ts in texts]
+            spans, items = [[[] for _ in ts] for ts in texts], [[set() for _ in ts] for ts in texts]
+            for path in paths:
+                if now != path:
+                    automaton = None  # one at a time
+                    now, automaton = path, held(path)
+                for k, ts in enumerate(texts):
+                    for j, text in enumerate(ts):
+                        s, i = automaton.matches(words_of(text))
+                        if s:
+                            spans[k][j] = merge([*spans[k][j], *s])
+                            items[k][j] |= i
+            yield from map(judged, portion, texts, n, spans, items)
+
+    return docs.mapInArrow(run, extended(docs, OUTPUT | (REMOVED if max_coverage is not None else {})))
+
+
+def in_portions(batches, most: int):
+    """Batches in lists of ``most`` bytes or a little more."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with n_words, hits (spans of hit words) and items (sorted ids)."""
+    return _found(docs, benchmark, window, None, text_column, item_column, item_text)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Findings plus n_hit, coverage, contaminated and clean_text.
 
     clean_text lacks every span; it is null where more than ``max_coverage`` of the
     words are hit (the document is to go).
     """
-    found = find_overlaps(docs, benchmark, window, text_column)
-
-    def run(batches):
-        for batch in batches:
-            clean, counts, shares = [], [], []
-            for text, n, hits in zip(column_bytes(batch, text_column), batch.column("n_words").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                hit = sum(s["end"] - s["first"] for s in hits)
-                share = hit / n if n else 0.0
-                counts.append(hit)
-                shares.append(share)
-                clean.append(None if text is None or share > max_coverage else without(text, hits).decode())
-            yield with_columns(batch, [], {
-                "n_hit": pa.array(counts, pa.int64()), "coverage": pa.array(shares, pa.float64()),
-                "contaminated": pa.array([c > 0 for c in counts], pa.bool_()), "clean_text": pa.array(clean, pa.string()),
-            })
-
-    return found.mapInArrow(run, extended(found, REMOVED))
+    return _found(docs, benchmark, window, max_coverage, text_column, item_column, item_text)
 
 
 def op4_suffix_automaton(spark, sf_dir: str) -> DataFrame:

@@ -5,31 +5,34 @@ stand after a word: no token crosses such a cut, as the pre-tokenizer cuts there
 Equal chunks of a batch are looked up once. Unknown words of letters go through the
 library's model, already in its byte-level alphabet; other unknown chunks go through the
 whole tokenizer. A text where a cut could be wrong (two spaces in a row, a point after a
-sign) is encoded whole. Special tokens' strings in a text are ordinary text.
+sign) is encoded whole, and so is one with the string of a special token: as the library
+does by itself, that string becomes the special token's id, unless it is asked to take it
+as ordinary text.
 """
 
 from __future__ import annotations
 
-import ctypes
+import contextlib
 import json
 import os
-import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries remembered per generation and worker: two generations of some 60 MB.
-GENERATION = 400_000
-_loaded: dict[str, Encoder] = {}
+#: Entries remembered per generation and worker: two generations of some 25 MB.
+GENERATION = 150_000
 
 
-def encoder(path: str, generation: int = GENERATION) -> Encoder:
-    """The worker's encoder for a tokenizer file; lives as long as the process."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    _loaded[path].generation = generation
-    return _loaded[path]
+@contextlib.contextmanager
+def encoder(path: str, special_as_text: bool = False):
+    """An encoder for a tokenizer file that lives as long as the task that makes it."""
+    made = Encoder(path, special_as_text)
+    try:
+        yield made
+    finally:
+        made.new.clear()
+        made.old.clear()
 
 
 def default_path() -> str:
@@ -38,28 +41,24 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def forget() -> None:
-    """Drops the encoders of this process with all they remember, and gives the memory back."""
-    if _loaded:
-        _loaded.clear()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
-
-
 class Encoder:
-    def __init__(self, path: str):
-        self.generation = GENERATION
+    """Encodes with a byte-level BPE file whose pre-tokenizer is the usual regex without a space put first; refuses others."""
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         n = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         # the same model behind a split at blanks, for words that are already in the byte-level alphabet
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
+        cut = parts.get("pre_tokenizer") or {}
+        if parts["model"].get("type", "BPE") != "BPE" or parts.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level BPE with the regex pre-tokenizer and without a prefix space")
+        self.special = [] if special_as_text else [t["content"] for t in parts["added_tokens"]]
         parts |= {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "normalizer": None, "added_tokens": []}
         self.split = Tokenizer.from_str(json.dumps(parts))
         self.letters = byte_letters() | {0: " "}
@@ -112,7 +111,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of a string array without nulls, as packed ``dtype`` integers."""
-        if len(self.new) > self.generation:
+        if len(self.new) > GENERATION:
             self.old, self.new = self.new, {}
         known, width = self.new, self.dtype.itemsize
         plain = pc.binary_join_element_wise(pa.scalar(HEAD), texts, pa.scalar(""))
@@ -145,7 +144,8 @@ class Encoder:
         odd = (kind & EMPTY != 0) | ((kind & MARKED != 0) & (before & LETTER == 0)) | ((kind & BREAK != 0) & (before & SPACE != 0))
         whole = np.zeros(len(texts), bool)
         whole[np.searchsorted(begin, np.flatnonzero(odd), side="right") - 1] = True
-        whole |= pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, HEAD)).to_numpy(zero_copy_only=False)
+        for odd_text in (MARK, HEAD, *self.special):
+            whole |= pc.match_substring(texts, odd_text).to_numpy(zero_copy_only=False)
         result = [out[edge[a] : edge[b]] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         again = np.flatnonzero(whole).tolist()
         for i, x in zip(again, self._whole([texts[i].as_py() for i in again]), strict=True):

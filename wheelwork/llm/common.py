@@ -2,59 +2,53 @@
 
 from __future__ import annotations
 
-import contextlib
+import ctypes
+import functools
 import math
-import tempfile
-import uuid
+import sys
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wheelwork.operators.lineage import drop_path, drop_written, fresh_path, shared_dir, written  # noqa: F401
+
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, a single machine) a local folder is
-    made and set, so that ``checkpoint()`` works there too.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="wheelwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+#: Bytes of an Arrow batch on its way to Python, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_UNITS = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by ``BATCH_BYTES``, unless they are smaller already.
 
+    The rows of a batch alone do not bound a worker's memory, as texts may be long. The
+    setting stays, since the operators return frames that run later.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b") or "0"
+    size = int(now[:-1]) << _UNITS[now[-1]] if now[-1] in _UNITS else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Fewer rows per Arrow batch than the session's setting, while an action runs inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
 
+def tidy(run):
+    """``run`` for mapInArrow, giving the memory that it has freed back to the system when its task ends."""
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again.
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
 
-    It cuts the lineage in a way that survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return inner
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -67,6 +61,16 @@ def buckets_for(n_bytes: int, each: int, least: int = 256) -> int:
     return max(least, math.ceil(n_bytes / each))
 
 
+def spread(total: int, portion: int, range_: int) -> tuple[int, int]:
+    """Sizes of portions and ranges so that what a portion sends to a range stays worth a row.
+
+    There are total / portion * total / range such rows; both sizes grow with the root of
+    the table once their product is below 300 times it (some 50 hashes a row).
+    """
+    by = math.sqrt(max(1.0, 300 * total / (portion * range_)))
+    return int(portion * by), int(range_ * by)
+
+
 def apart(df: DataFrame, reserved: list[str]) -> DataFrame:
     """Rename input columns whose names clash with ``reserved`` (case ignored).
 
@@ -84,6 +88,12 @@ def apart(df: DataFrame, reserved: list[str]) -> DataFrame:
     return df.toDF(*names) if names != df.columns else df
 
 
+def put_back(out: DataFrame, docs: DataFrame, reserved, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from an operator's result, under their own names; ``changed`` ones anew."""
+    kept = apart(docs, list(reserved)).columns
+    return out.select(*[changed.get(c, F.col(f"`{new}`")).alias(c) for c, new in zip(docs.columns, kept, strict=True)])
+
+
 def extended(df: DataFrame, more: dict[str, str], drop: tuple[str, ...] = ()) -> T.StructType:
     """The schema of ``df`` without ``drop``, followed by the columns ``more`` (name to type)."""
     added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more.items()))

@@ -3,11 +3,11 @@ r"""N-gram Jaccard join by vertical partitioning.
 The n-grams (word shingles) of all documents have one global order. It is cut into
 fragments; overlaps are counted in each fragment separately and summed per pair:
 
-1. **Cut.** Each document's shingle set is hashed and dealt out by range of the hash.
-   A fragment sees the posting list of each of its shingles and sends back, per
-   document, those that some other document has too, with their frequency. Only these
-   can add to an overlap. A document with fewer of them than the threshold asks of its
-   own size links with none and goes no further.
+1. **Cut.** Each document's shingle set is hashed; a portion of documents sends each
+   distinct shingle once, with its frequency there, to the range of its hash. A range
+   sums the frequencies and sends back those of shingles that two documents have. Only
+   these can add to an overlap. A document with fewer of them than the threshold asks of
+   its own size links with none and goes no further.
 2. **Prefix.** In the order rarest first a document can only link with one that shares
    one of its first n - ceil(t n) + 1 shingles; unshared ones come first and use up
    most of it.
@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import arrow_rows, buckets_for, text_bytes, written
-from wheelwork.llm.graph import components
+from wheelwork.llm.common import bounded, buckets_for, drop_written, spread, text_bytes, tidy, written
 from wheelwork.llm.packed import groups, pack, record, small, unpack
 from wheelwork.llm.shingles import set_digests, shingle_sets
 from wheelwork.llm.words import column_bytes
+from wheelwork.operators.components import stars
 
 #: Ranges of the global order in which overlaps are counted.
 FRAGMENTS = 8
@@ -48,111 +48,128 @@ FRAGMENTS = 8
 ROUNDS = 3
 #: Documents of a block in the last comparison of small components with large ones.
 BLOCK = 100
-#: Text per batch of documents in a task, and per range of the first cut.
+#: Text per portion of documents in a task and per range of the first cut; both grow with the root of the table.
 PORTION, RANGE = 8 << 20, 32 << 20
 CUT = "range bigint, portion bigint, data binary"
+NAMES, KINDS = ["range", "portion", "data"], [pa.int64(), pa.int64(), pa.binary()]
 DOCS = "doc_id bigint, d1 bigint, d2 bigint, n bigint, shared binary"
-#: Documents in a portion at most: their place in it takes two bytes.
+#: Documents in a portion at most, before it grows.
 MOST_DOCS = 60_000
 _HASH_BITS = 48
 
 
-def _cut(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
-    """Shingles of portions of documents, by range; range -1 has the portion's documents."""
+def _low(r: int, n_ranges: int) -> np.uint64:
+    """The least hash of a range."""
+    return np.uint64(r * (1 << _HASH_BITS) // n_ranges)
+
+
+def _cut(docs: DataFrame, k: int, n_ranges: int, portion_bytes: int, most_docs: int) -> DataFrame:
+    """Distinct shingles of portions of documents with their frequency there, by range; range -1 has the portion's documents."""
 
     def emit(portion: int, ids: list[int], texts: list[bytes]):
         sizes, sets = shingle_sets(texts, k)
         d1, d2 = set_digests(sizes, sets)
         known = np.array([i is not None for i in ids], "u1")
-        yield -1, portion, pack(np.array([i or 0 for i in ids], "<i8"), known, d1, d2, sizes)
         first: dict[tuple[int, int], int] = {}
         # rows without an identifier send nothing: they link with none, and must not stand for one that does
         own = [ids[i] is not None and first.setdefault(d, i) == i for i, d in enumerate(zip(d1.tolist(), d2.tolist(), strict=True))]
-        place = np.repeat(np.arange(len(ids), dtype="<u2"), sizes)
+        place = np.repeat(np.arange(len(ids), dtype="<u2" if len(ids) < 1 << 16 else "<u4"), sizes)
         keep = np.repeat(np.array(own, bool), sizes)
         sets, place = sets[keep], place[keep]
         order = np.argsort(sets)
         sets, place = sets[order], place[order]
-        bounds = (np.arange(n_ranges + 1, dtype=object) * (1 << _HASH_BITS) // n_ranges).astype(np.uint64)
-        at = np.searchsorted(sets, bounds)
-        for r in np.flatnonzero(at[1:] > at[:-1]):
-            h = sets[at[r] : at[r + 1]]
-            gaps = np.diff(h, prepend=bounds[r])
-            yield int(r), portion, pack(small(gaps), place[at[r] : at[r + 1]])
-
+        new = np.ones(len(sets), bool)
+        new[1:] = sets[1:] != sets[:-1]
+        yield -1, portion, pack(np.array([i or 0 for i in ids], "<i8"), known, d1, d2, sizes, place, np.packbits(new))
+        at = np.flatnonzero(new)
+        one, times = sets[at], np.minimum(np.diff(at, append=len(sets)), 255).astype("u1")
+        edge = np.searchsorted(one, np.array([_low(r, n_ranges) for r in range(n_ranges + 1)]))
+        for r in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            part = slice(edge[r], edge[r + 1])
+            yield r, portion, pack(edge[r : r + 1].astype("<i8"), small(np.diff(one[part], prepend=_low(r, n_ranges))), times[part])
+
+    @tidy
     def run(batches):
         task, n = TaskContext.get().partitionId(), 0
-        names, kinds = ["range", "portion", "data"], [pa.int64(), pa.int64(), pa.binary()]
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
                 ids.append(i)
                 texts.append(t)
                 size += len(t or b"")
-                if size >= PORTION or len(ids) >= MOST_DOCS:
-                    yield record(list(emit((task << 24) + n, ids, texts)), names, kinds)
+                if size >= portion_bytes or len(ids) >= most_docs:
+                    yield record(emit((task << 24) + n, ids, texts), NAMES, KINDS)
                     ids, texts, size, n = [], [], 0, n + 1
         if ids:
-            yield record(list(emit((task << 24) + n, ids, texts)), names, kinds)
+            yield record(emit((task << 24) + n, ids, texts), NAMES, KINDS)
 
     return docs.mapInArrow(run, CUT)
 
 
-def _shared(cut: DataFrame, n_ranges: int) -> DataFrame:
-    """Per range and portion: the shingles that two documents or more have, with their frequency."""
+def _shared(cut: DataFrame, n_ranges: int, n_parts: int) -> DataFrame:
+    """Per range and portion: the shingles that two documents or more have, with their frequency.
+
+    A portion sends a shingle once however many of its documents have it, so the list of
+    a shingle that all documents share is as long as there are portions.
+    """
 
     def reduce_range(rows: list[dict]):
         if rows[0]["range"] < 0:
             yield from ((-1, r["portion"], r["data"]) for r in rows)
             return
-        low = np.uint64(rows[0]["range"] * (1 << _HASH_BITS) // n_ranges)
-        hashes, owner, places = [], [], []
-        for i, r in enumerate(rows):
-            gaps, place = unpack(r["data"])
+        low = _low(rows[0]["range"], n_ranges)
+        firsts, hashes, times = [], [], []
+        for r in rows:
+            (first,), gaps, count = unpack(r["data"])
+            firsts.append(first)
             hashes.append(low + np.cumsum(gaps.astype(np.uint64)))
-            owner.append(np.full(len(place), i, "<u4"))
-            places.append(place)
-        h, owner, place = np.concatenate(hashes), np.concatenate(owner), np.concatenate(places)
+            times.append(count)
+        size = [len(x) for x in hashes]
+        h, times = np.concatenate(hashes), np.concatenate(times).astype(np.int64)
         order = np.argsort(h)
-        h = h[order]
-        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-        count = np.repeat(np.diff(edge), np.diff(edge))
-        several = count > 1
-        h, order, count = h[several], order[several], count[several].astype("<u4")
-        by = np.argsort(owner[order], kind="stable")
-        h, owner, place, count = h[by], owner[order][by], place[order][by], count[by]
-        at = np.searchsorted(owner, np.arange(len(rows) + 1))
-        for i in np.flatnonzero(at[1:] > at[:-1]):
-            part = slice(at[i], at[i + 1])
-            yield rows[i]["range"], rows[i]["portion"], pack(h[part], place[part], count[part])
-
+        edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        total = np.empty(len(h), np.int64)
+        total[order] = np.repeat(np.add.reduceat(times[order], edge), np.diff(edge, append=len(h)))
+        past = np.cumsum(size)
+        for r, first, n, end in zip(rows, firsts, size, past.tolist(), strict=True):
+            at = np.flatnonzero(total[end - n : end] > 1)
+            if len(at):
+                mine = at + end - n
+                yield r["range"], r["portion"], pack((first + at).astype("<u4"), small(np.diff(h[mine], prepend=low)), np.minimum(total[mine], (1 << 32) - 1).astype("<u4"))
+
+    @tidy
     def run(batches):
-        names, kinds = ["range", "portion", "data"], [pa.int64(), pa.int64(), pa.binary()]
         for group in groups(batches, "range"):
             if out := list(reduce_range(group)):
-                yield record(out, names, kinds)
+                yield record(out, NAMES, KINDS)
 
     # rows of documents are dealt by portion, all others by range
-    return cut.repartition("range", F.when(F.col("range") < 0, F.col("portion"))).sortWithinPartitions("range", "portion").mapInArrow(run, CUT)
+    return cut.repartition(n_parts, "range", F.when(F.col("range") < 0, F.col("portion"))).sortWithinPartitions("range", "portion").mapInArrow(run, CUT)
 
 
-def _documents(shared: DataFrame, num: int, den: int) -> DataFrame:
+def _documents(shared: DataFrame, n_ranges: int, n_parts: int, num: int, den: int) -> DataFrame:
     """A row per document; ``shared`` holds its shared shingles rarest first, if they can suffice for a link."""
 
+    @tidy
     def run(batches):
         names, kinds = ["doc_id", "d1", "d2", "n", "shared"], [pa.int64()] * 4 + [pa.binary()]
         for group in groups(batches, "portion"):
-            ids, known, d1, d2, n = next(unpack(r["data"]) for r in group if r["range"] < 0)
+            ids, known, d1, d2, n, place, new = next(unpack(r["data"]) for r in group if r["range"] < 0)
             ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)]
-            parts = [unpack(r["data"]) for r in group if r["range"] >= 0]
             packed: list[bytes | None] = [None] * len(ids)
+            parts = [(_low(r["range"], n_ranges), *unpack(r["data"])) for r in group if r["range"] >= 0]
             if parts:
-                h, place, count = (np.concatenate([p[j] for p in parts]) for j in range(3))
+                which = np.cumsum(np.unpackbits(new, count=len(place)).astype(bool)) - 1
+                h, count = np.zeros(int(which[-1]) + 1, np.uint64), np.zeros(int(which[-1]) + 1, "<u4")
+                for low, at, gaps, total in parts:
+                    h[at], count[at] = low + np.cumsum(gaps.astype(np.uint64)), total
+                common = count[which] > 0
+                place, which = place[common], which[common]
                 have = np.bincount(place, minlength=len(ids))
                 # a link needs overlap >= t * union >= t * own size
-                able = have * den >= num * n
-                keep = able[place]
-                h, place, count = h[keep], place[keep], count[keep]
+                keep = (have * den >= num * n)[place]
+                place, which = place[keep], which[keep]
+                h, count = h[which], count[which]
                 order = np.lexsort((h, count, place))
                 h, place = h[order], place[order]
                 at = np.searchsorted(place, np.arange(len(ids) + 1))
@@ -160,14 +177,15 @@ def _documents(shared: DataFrame, num: int, den: int) -> DataFrame:
                     packed[i] = h[at[i] : at[i + 1]].astype("<i8").tobytes()
             for lo in range(0, len(ids), 4096):
                 rows = zip(ids[lo : lo + 4096], d1[lo : lo + 4096].view("<i8").tolist(), d2[lo : lo + 4096].view("<i8").tolist(), n[lo : lo + 4096].tolist(), packed[lo : lo + 4096], strict=True)
-                yield record(list(rows), names, kinds)
+                yield record(rows, names, kinds)
 
-    return shared.repartition("portion").sortWithinPartitions("portion", "range").mapInArrow(run, DOCS)
+    return shared.repartition(n_parts, "portion").sortWithinPartitions("portion", "range").mapInArrow(run, DOCS)
 
 
 def _unpacked(classes: DataFrame, num: int, den: int) -> DataFrame:
     """root, n, spare (unshared), and shared shingles as arrays: by fragment and as prefix."""
 
+    @tidy
     def run(batches):
         longs = pa.list_(pa.int64())
         for b in batches:
@@ -216,18 +234,18 @@ def _labelled(postings: DataFrame, links: DataFrame | None) -> DataFrame:
     """Postings with the label of their component."""
     if links is None:
         return postings.withColumn("label", F.col("root"))
-    roots = components(links).select(F.col("node").alias("root"), F.col("root").alias("label"))
+    roots = stars(links, "a", "b").select(F.col("node").alias("root"), F.col("component").alias("label"))
     return postings.join(roots, "root", "left").withColumn("label", F.coalesce("label", "root"))
 
 
-def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between classes that span each component."""
+def _links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between classes that span each component, and the written tables that they are read from."""
     sets = written(_unpacked(classes, num, den), "sets")
     fragments = written(sets.select("root", F.explode("fragments").alias("x")).select("root", "x.f", "x.h"), "fragments")
     every = sets.where(F.size("prefix") > 0).select("root", "n", "spare", F.explode("prefix").alias("h"))
     several = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     postings = written(every.join(several, "h"), "postings")
-    links, tested = None, None
+    links, tested, used = None, None, [sets, fragments, postings]
     for _ in range(ROUNDS):
         # each document with one leader: the most central one in its lists that is in another component
         labelled = _labelled(postings, links)
@@ -241,6 +259,7 @@ def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
         one = led.groupBy("a", "an").agg(F.min(F.struct("s", "b", "bn")).alias("m")).select("a", "an", F.col("m.b").alias("b"), F.col("m.bn").alias("bn"))
         pairs = written(_ordered(one), "pairs")
         found = written(_counted(pairs, fragments, num, den), "found")
+        used += [pairs, found]
         tested, links = (pairs if tested is None else tested.unionAll(pairs)), (found if links is None else links.unionAll(found))
     # posting lists that still hold several components: the small ones against all others
     labelled = _labelled(postings, links)
@@ -250,8 +269,9 @@ def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
     one = small.select("h", F.col("root").alias("a"), F.col("n").alias("an"), F.col("spare").alias("aspare"), F.col("label").alias("alabel"))
     two = small.select("h", F.col("root").alias("b"), F.col("n").alias("bn"), F.col("spare").alias("bspare"), F.col("label").alias("blabel"))
     more = _ordered(one.join(two, "h").where((F.col("alabel") != F.col("blabel")) & (F.col("a") < F.col("b")) & _possible(num, den)))
-    late = _counted(written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), fragments, num, den)
-    return links.unionAll(late).unionAll(_against_main(main.select("main", "root", "n", "spare").distinct(), small.select("main", "root", "n", "spare").distinct(), classes.select("root", "shared"), num, den))
+    pairs = written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    late = _counted(pairs, fragments, num, den)
+    return links.unionAll(late).unionAll(_against_main(main.select("main", "root", "n", "spare").distinct(), small.select("main", "root", "n", "spare").distinct(), classes.select("root", "shared"), num, den)), [*used, open_lists, pairs]
 
 
 def _against_main(main: DataFrame, small: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
@@ -306,15 +326,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     least num / den; component_id is the smallest identifier reachable by links.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    n_ranges = buckets_for(text_bytes(rows), RANGE)
-    with arrow_rows(docs.sparkSession, 1000):
-        table = written(_documents(_shared(_cut(rows, k, n_ranges), n_ranges), num, den), "documents")
+    bounded(docs.sparkSession)
+    total = text_bytes(rows)
+    portion_bytes, range_bytes = spread(total, PORTION, RANGE)
+    n_ranges = buckets_for(total, range_bytes)
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(total, range_bytes, least=1))
+    cut = _cut(rows, k, n_ranges, portion_bytes, MOST_DOCS * portion_bytes // PORTION)
+    table = written(_documents(_shared(cut, n_ranges, n_parts), n_ranges, n_parts, num, den), "documents")
     known = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shared", ignorenulls=True).alias("shared")), "classes")
     # classes are known by their least identifier and, where one identifier has several texts, a digest
-    links = _links(classes.where("shared IS NOT NULL").select(F.col("d1").alias("root"), "n", "shared"), num, den)
-    roots = components(links)
-    rooted = classes.select("d1", "d2", "least").join(roots.select(F.col("node").alias("d1"), "root"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
+    links, used = _links(classes.where("shared IS NOT NULL").select(F.col("d1").alias("root"), "n", "shared"), num, den)
+    roots = stars(links, "a", "b")
+    drop_written(*used)
+    rooted = classes.select("d1", "d2", "least").join(roots.select(F.col("node").alias("d1"), F.col("component").alias("root")), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = rooted.join(least, "root").select("d1", "d2", "component_id")
     return (

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelwork.llm.bpe import default_path, encoder, in_portions
-from wheelwork.llm.common import arrow_rows, written
+from wheelwork.llm.common import bounded, tidy, written
 from wheelwork.llm.words import with_columns
 
 UNIT = 4
@@ -40,7 +40,10 @@ PIECES = "doc_id bigint, start bigint, length int, doc_tokens bigint, ids binary
 
 
 def nnls(a: np.ndarray, target: np.ndarray, most: int = 600) -> np.ndarray:
-    """Lawson-Hanson active set: x >= 0 that minimises |ax - target|."""
+    """Lawson-Hanson active set: x >= 0 that minimises |ax - target|.
+
+    After ``most`` steps it takes what it has; the greedy rest packs what is then left over.
+    """
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     rest, enough = target.copy(), 1e-6 * max(1.0, target.max())
     for _ in range(most):
@@ -119,12 +122,17 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
     return out
 
 
-def encoded_pieces(docs: DataFrame, window: int, end_id: int, tokenizer: str, id_column: str, text_column: str) -> DataFrame:
+def encoded_pieces(docs: DataFrame, window: int, end_id: int, tokenizer: str, special_as_text: bool, id_column: str, text_column: str) -> DataFrame:
     """Whole windows and rests of all documents, numbered by class within each task."""
     pairs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
+    @tidy
     def run(batches):
-        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
+        with encoder(tokenizer, special_as_text) as encode:
+            yield from cut(batches, encode)
+
+    def cut(batches, encode):
+        task = TaskContext.get().partitionId()
         width, stop = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
         places = [0] * (window // UNIT + 2)
         for batch in batches:
@@ -158,15 +166,16 @@ def runs(patterns: list[tuple[tuple[int, ...], int]]):
         base += times
 
 
-def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str | None = None, special_as_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Sequences: sequence_id, n_tokens, padded_to, ids (packed), pieces in order.
 
     A piece has doc_id, start, length, doc_tokens and its offset in the sequence.
     ``padded_to`` is the window, or n_tokens itself where that is a power of two.
+    With ``special_as_text`` the strings of special tokens in texts are ordinary text.
     """
     spark = docs.sparkSession
-    with arrow_rows(spark, 1000):
-        pieces = written(encoded_pieces(docs, window, end_id, tokenizer or default_path(), id_column, text_column), "pieces")
+    bounded(spark)
+    pieces = written(encoded_pieces(docs, window, end_id, tokenizer or default_path(), special_as_text, id_column, text_column), "pieces")
     counts = pieces.groupBy("task", "class").count()
     before = Window.partitionBy("class").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(counts.select("task", "class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count"), "ranks")
@@ -203,6 +212,7 @@ def unpacked(sequences: DataFrame) -> DataFrame:
         "sequence_id", F.col("p.offset").cast("long").alias("offset"), "w", F.expr("substring(ids, cast(p.offset * w + 1 as int), cast(p.length * w as int))").alias("ids"),
     )
 
+    @tidy
     def run(batches):
         for b in batches:
             crc = [zlib.crc32(np.frombuffer(v, f"<u{w}").astype("<u4").tobytes()) for v, w in zip(b.column("ids").to_pylist(), b.column("w").to_pylist(), strict=True)]

@@ -33,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.llm.common import apart, buckets_for, extended, fresh_path, text_bytes, written
+from wheelwork.llm.common import apart, bounded, buckets_for, extended, fresh_path, spread, text_bytes, tidy, written
 from wheelwork.llm.packed import groups, pack, record, small, unpack
-from wheelwork.llm.shingles import _BASE, _power, mix
+from wheelwork.llm.shingles import BASE, CHUNK, mix, stretch_hashes
 from wheelwork.llm.sstable import files
 from wheelwork.llm.words import column_bytes, with_columns
 
@@ -64,7 +64,7 @@ def phrases(texts: list[bytes | None], known: list[bool]) -> tuple[bytes, np.nda
         return data, none, none, none.astype(np.uint64), none
     grams = len(data) - GRAM + 1
     eights = loads(data, "<u8")
-    g = eights[:grams] * np.uint64(_BASE)
+    g = eights[:grams] * np.uint64(BASE)
     g += eights[8 : 8 + grams] * np.uint64(0xD6E8FEB86659FD93)
     g += loads(data, "<u4")[16 : 16 + grams] * np.uint64(0xA0761D6478BD642F)
     g = mix(g)
@@ -90,11 +90,19 @@ def phrases(texts: list[bytes | None], known: list[bool]) -> tuple[bytes, np.nda
 
 
 def hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of ``data``."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power("down", pow(_BASE, -1, 1 << 64), n)[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of stretches of ``data``, a chunk of it at a time."""
+    out = np.empty(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    begins = start[order]
+    lo = 0
+    while lo < len(order):
+        base = int(begins[lo])
+        hi = int(np.searchsorted(begins, base + CHUNK // 2, side="right"))
+        some = order[lo:hi]
+        part = np.frombuffer(data, np.uint8, int(end[some].max()) - base, base)
+        out[some] = mix(stretch_hashes(part, start[some] - base, end[some] - base) + (end[some] - start[some]).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def bounds(n_ranges: int) -> np.ndarray:
@@ -120,7 +128,7 @@ def portion_phrases(batch: pa.RecordBatch, id_column: str, text_column: str):
     return ids, texts, phrases(texts, [i is not None for i in ids])
 
 
-def parsed(docs: DataFrame, folder: str, n_ranges: int, id_column: str, text_column: str) -> DataFrame:
+def parsed(docs: DataFrame, folder: str, n_ranges: int, portion_bytes: int, id_column: str, text_column: str) -> DataFrame:
     """Stores portions; their trigger values by range, and a row of range -1 with the path."""
     cuts = bounds(n_ranges)
 
@@ -141,6 +149,7 @@ def parsed(docs: DataFrame, folder: str, n_ranges: int, id_column: str, text_col
             part = slice(at[r], at[r + 1])
             yield int(r), portion, pack(small(np.diff(value[part], prepend=cuts[r])), np.packbits(several[part]))
 
+    @tidy
     def run(batches):
         task, n, kept, size, count = TaskContext.get().partitionId(), 0, [], 0, 0
         for batch in batches:
@@ -148,7 +157,7 @@ def parsed(docs: DataFrame, folder: str, n_ranges: int, id_column: str, text_col
             lo = 0
             for i, s in enumerate(sizes):
                 size, count = size + s, count + 1
-                if size >= PORTION or count >= MOST_DOCS:
+                if size >= portion_bytes or count >= MOST_DOCS * portion_bytes // PORTION:
                     yield record(emit((task << 24) + n, [*kept, batch.slice(lo, i + 1 - lo)]), NAMES, KINDS)
                     lo, n, kept, size, count = i + 1, n + 1, [], 0, 0
             if lo < len(sizes):
@@ -159,16 +168,16 @@ def parsed(docs: DataFrame, folder: str, n_ranges: int, id_column: str, text_col
     return docs.mapInArrow(run, ROWS)
 
 
-def by_range(rows: DataFrame) -> DataFrame:
-    """Rows of portions (range -1) are dealt by portion, all others by range."""
-    return rows.repartition("range", F.when(F.col("range") < 0, F.col("portion"))).sortWithinPartitions("range", "portion")
+def by_range(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of portions (range -1) are dealt by portion, all others by range, to ``n`` partitions."""
+    return rows.repartition(n, "range", F.when(F.col("range") < 0, F.col("portion"))).sortWithinPartitions("range", "portion")
 
 
-def by_portion(rows: DataFrame) -> DataFrame:
-    return rows.repartition("portion").sortWithinPartitions("portion", "range")
+def by_portion(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, "portion").sortWithinPartitions("portion", "range")
 
 
-def shared_triggers(rows: DataFrame, n_ranges: int) -> DataFrame:
+def shared_triggers(rows: DataFrame, n_ranges: int, n_parts: int) -> DataFrame:
     """Per range and portion, the trigger values that two documents have."""
     cuts = bounds(n_ranges)
 
@@ -191,16 +200,17 @@ def shared_triggers(rows: DataFrame, n_ranges: int) -> DataFrame:
         for i in np.flatnonzero(at[1:] > at[:-1]):
             yield group[i]["range"], group[i]["portion"], pack(small(np.diff(value[keep[at[i] : at[i + 1]]], prepend=cuts[group[i]["range"]])))
 
+    @tidy
     def run(batches):
         for group in groups(batches, "range"):
             out = [(r["range"], r["portion"], r["data"]) for r in group] if group[0]["range"] < 0 else list(one(group))
             if out:
                 yield record(out, NAMES, KINDS)
 
-    return by_range(rows).mapInArrow(run, ROWS)
+    return by_range(rows, n_parts).mapInArrow(run, ROWS)
 
 
-def shared_phrases(rows: DataFrame, n_ranges: int, id_column: str, text_column: str) -> DataFrame:
+def shared_phrases(rows: DataFrame, n_ranges: int, n_parts: int, id_column: str, text_column: str) -> DataFrame:
     """Per range and portion, the distinct phrases of shared triggers; the parse is stored by portion."""
     import zstandard
 
@@ -238,11 +248,12 @@ def shared_phrases(rows: DataFrame, n_ranges: int, id_column: str, text_column:
             part = pack(np.array([a], "<i8"), count[a:b].astype("<u4"), low[a:b], high[a:b] - low[a:b], small(np.diff(value[a:b], prepend=cuts[r])), np.frombuffer(text, np.uint8))
             yield int(r), portion, zip_.compress(part)
 
+    @tidy
     def run(batches):
         for group in groups(batches, "portion"):
             yield record(one(group), NAMES, KINDS)
 
-    return by_portion(rows).mapInArrow(run, ROWS)
+    return by_portion(rows, n_parts).mapInArrow(run, ROWS)
 
 
 def ranks(key: np.ndarray) -> np.ndarray:
@@ -268,7 +279,7 @@ def suffix_ranks(text: bytes) -> np.ndarray:
     return r
 
 
-def first_documents(rows: DataFrame, n_ranges: int) -> DataFrame:
+def first_documents(rows: DataFrame, n_ranges: int, n_parts: int) -> DataFrame:
     """Per range and portion: for stretches of strings of its phrases, the first document that has them."""
     import zstandard
 
@@ -334,13 +345,14 @@ def first_documents(rows: DataFrame, n_ranges: int) -> DataFrame:
             w, t = which[at[i] : at[i + 1]], s[at[i] : at[i + 1]]
             yield group[i]["range"], group[i]["portion"], pack(base[w].astype("<u4"), a[t].astype("<u4"), b[t].astype("<u4"), doc[t])
 
+    @tidy
     def run(batches):
         for group in groups(batches, "range"):
             out = [(r["range"], r["portion"], r["data"]) for r in group] if group[0]["range"] < 0 else list(one(group))
             if out:
                 yield record(out, NAMES, KINDS)
 
-    return by_range(rows).mapInArrow(run, ROWS)
+    return by_range(rows, n_parts).mapInArrow(run, ROWS)
 
 
 def spans_of(ids: list, n_docs: int, parse: pa.RecordBatch, found: list[list[np.ndarray]]) -> list[list[tuple[int, int]]]:
@@ -379,10 +391,15 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = apart(docs, list(OUTPUT))
     docs = docs.withColumn(id_column, F.col(id_column).cast("long"))
     folder = fresh_path(docs.sparkSession, "portions")
-    n_ranges = buckets_for(text_bytes(docs, text_column), RANGE)
-    rows = written(parsed(docs, folder, n_ranges, id_column, text_column), "triggers")
-    rows = shared_phrases(shared_triggers(rows, n_ranges), n_ranges, id_column, text_column)
-
+    bounded(docs.sparkSession)
+    total = text_bytes(docs, text_column)
+    portion_bytes, range_bytes = spread(total, PORTION, RANGE)
+    n_ranges = buckets_for(total, range_bytes)
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets_for(total, range_bytes, least=1))
+    rows = written(parsed(docs, folder, n_ranges, portion_bytes, id_column, text_column), "triggers")
+    rows = shared_phrases(shared_triggers(rows, n_ranges, n_parts), n_ranges, n_parts, id_column, text_column)
+
+    @tidy
     def run(batches):
         for group in groups(batches, "portion"):
             path = next(r["data"] for r in group if r["range"] < 0).decode()
@@ -404,7 +421,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             })
 
-    return by_portion(first_documents(rows, n_ranges)).mapInArrow(run, extended(docs, OUTPUT | ({"kept": "string"} if as_text else {})))
+    return by_portion(first_documents(rows, n_ranges, n_parts), n_parts).mapInArrow(run, extended(docs, OUTPUT | ({"kept": "string"} if as_text else {})))
 
 
 def op6_prefix_free_parsing(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,15 @@ different shingles of one pair of texts meet by chance once in some 10**9 pairs.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(32 if b in WHITE else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once: some 50 MB of arrays.
 CHUNK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,15 +27,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK * 2)
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        _powers[name] = have = np.multiply.accumulate(out)
-    return have[:n]
+@functools.lru_cache(maxsize=2)
+def _chunk_powers(base: int) -> np.ndarray:
+    return _accumulated(base, CHUNK + 1)
+
+
+def _accumulated(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; those of a chunk (8 MB for each base) are kept, longer ones made anew."""
+    return _chunk_powers(base)[:n] if n <= CHUNK + 1 else _accumulated(base, n)
+
+
+def stretch_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of stretches of a byte buffer, before the last mixing."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(buf)), out=sums[1:])
+    return (sums[end] - sums[start]) * powers(pow(BASE, -1, 1 << 64), len(buf) + 1)[start]
 
 
 def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,9 +55,7 @@ def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = np.concatenate(([False], buf != 32, [False]))
     edge = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(buf)), out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * _power("down", pow(_BASE, -1, 1 << 64), len(buf))[starts])
+    return starts, mix(stretch_hashes(buf, starts, ends))
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:

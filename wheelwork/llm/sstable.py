@@ -1,7 +1,8 @@
 r"""Token ids in sorted-string-table shards.
 
-Documents are range-partitioned and sorted by identifier; each partition is encoded
-and written as one table file. A file holds, in this order:
+Documents are range-partitioned and sorted by identifier. A task encodes one partition
+and writes it as table files of about ``TABLE_BYTES`` of ids, one after the other, so the
+number of tasks follows the data at ``TASK_BYTES`` of text each. A file holds, in this order:
 
 * data blocks of about 64 KB: entries (shared key length, own key length, value length
   as varints, own key bytes, value), every 16th with its whole key, then the places of
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -39,16 +41,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelwork.llm.bpe import default_path, encoder, in_portions
-from wheelwork.llm.common import arrow_rows, buckets_for, fresh_path, text_bytes, written
+from wheelwork.llm.common import bounded, buckets_for, fresh_path, text_bytes, tidy, written
 
 MAGIC = b"WWSSTAB1"
 BLOCK, RESTART, BITS, PROBES = 64 << 10, 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQ8s")
-#: Remembered entries per generation: fewer than elsewhere, as the sort beside it needs memory.
-GENERATION = 150_000
-#: Text per file.
-SHARD_BYTES = 12 << 20
-MANIFEST = "shard int, path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint"
+#: Text per task, and bytes of ids in a file.
+TASK_BYTES, TABLE_BYTES = 64 << 20, 16 << 20
+MANIFEST = "task int, part int, path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint"
 
 
 def key_of(identifier: int | None) -> bytes:
@@ -79,8 +79,12 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def probes(key: bytes, bits: int) -> list[int]:
-    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+def key_hash(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def probes(digest: bytes, bits: int) -> list[int]:
+    a, b = struct.unpack("<QQ", digest)
     return [(a + i * (b | 1)) % bits for i in range(PROBES)]
 
 
@@ -92,8 +96,9 @@ class Writer:
 
         self.out, self.at, self.zip = stream, 0, zstandard.ZstdCompressor(level=1)
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes, self.n_keys = bytearray(), 0
         self._start()
+        self.before: bytes | None = None
         self._put(MAGIC)
 
     def _start(self):
@@ -115,8 +120,9 @@ class Writer:
                 shared += 1
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.last, self.n = key, self.n + 1
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
+        if self.before != key:
+            self.hashes += key_hash(key)
+            self.before, self.n_keys = key, self.n_keys + 1
         if len(self.block) >= BLOCK:
             self._flush()
 
@@ -129,10 +135,10 @@ class Writer:
 
     def close(self, **facts) -> None:
         self._flush()
-        bits = max(64, BITS * len(self.keys))
+        bits = max(64, BITS * self.n_keys)
         bloom = bytearray((bits + 7) // 8)
-        for key in self.keys:
-            for p in probes(key, bits):
+        for i in range(0, len(self.hashes), 16):
+            for p in probes(self.hashes[i : i + 16], bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         places = [*self._put(struct.pack("<Q", bits) + bytes(bloom))]
         places += self._put(b"".join(varint(len(k)) + k + varint(at) + varint(n) for k, at, n in self.index))
@@ -188,7 +194,7 @@ class Reader:
             at += own + size
 
     def maybe(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(key, self.bits))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(key_hash(key), self.bits))
 
     def get(self, identifier: int | None) -> list[bytes]:
         """Values of an identifier (none, one, or several where rows repeat)."""
@@ -220,51 +226,73 @@ def files(uri: str):
     return FileSystem.from_uri(uri)
 
 
-def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode and write all documents; returns the manifest, one row per file in key order."""
+def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str | None = None, special_as_text: bool = False, id_column: str = "doc_id", text_column: str = "text",
+                 task_bytes: int = TASK_BYTES, table_bytes: int = TABLE_BYTES, least_tasks: int = 24) -> DataFrame:
+    """Encode and write all documents; returns the manifest, one row per file in the order (task, part) of the keys.
+
+    With ``special_as_text`` the strings of special tokens in texts are ordinary text.
+    """
+    bounded(docs.sparkSession)
     tokenizer = tokenizer or default_path()
-    n = buckets_for(text_bytes(docs, text_column), shard_bytes, least=24)
+    n = buckets_for(text_bytes(docs, text_column), task_bytes, least=least_tasks)
     pairs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     # the hash deals out rows that share an identifier
     ranged = pairs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["task", "part", "path", "first_id", "last_id", "n_docs", "n_tokens"]
 
-    def write(batches):
-        encode, shard = encoder(tokenizer, GENERATION), TaskContext.get().partitionId()
-        writer, first, last, docs, tokens = None, None, None, 0, 0
-        fs, top = files(folder)
-        path = f"{top}/shard-{shard:06d}.sst"
-        part = f"{path}.{uuid.uuid4().hex}.tmp"
+    def entries(batches, encode):
         stop = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in in_portions(texts):
                 for i, value in zip(ids[lo:hi], encode.encode(texts.slice(lo, hi - lo)), strict=True):
-                    if writer is None:
-                        fs.create_dir(top, recursive=True)
-                        stream, first = fs.open_output_stream(part), i
-                        writer = Writer(stream)
-                    writer.add(key_of(i), value + stop)
-                    last, docs, tokens = i, docs + 1, tokens + (len(value) + len(stop)) // encode.dtype.itemsize
-        if writer:
-            writer.close(docs=docs, tokens=tokens, width=encode.dtype.itemsize)
-            stream.close()
-            fs.move(part, path)
-            uri = f"{folder}/shard-{shard:06d}.sst"
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (uri, pa.string()), (first, pa.int64()), (last, pa.int64()), (docs, pa.int64()), (tokens, pa.int64()))], ["shard", "path", "first_id", "last_id", "n_docs", "n_tokens"])
-
-    with arrow_rows(docs.sparkSession, 1000):
-        return written(ranged.mapInArrow(write, MANIFEST), "manifest")
+                    yield i, value + stop
+
+    def table(task: int, part: int, first: tuple[int | None, bytes], rest, width: int) -> pa.RecordBatch:
+        """Writes one file of ``first`` and what follows, until it is full; the row of the manifest."""
+        fs, top = files(folder)
+        fs.create_dir(top, recursive=True)
+        name = f"table-{task:06d}-{part:04d}.sst"
+        hidden = f"{top}/{name}.{uuid.uuid4().hex}.tmp"
+        docs = size = 0
+        with fs.open_output_stream(hidden) as stream:
+            writer = Writer(stream)
+            for i, value in itertools.chain([first], rest):
+                writer.add(key_of(i), value)
+                docs, size = docs + 1, size + len(value)
+                if size >= table_bytes:
+                    break
+            writer.close(docs=docs, tokens=size // width, width=width)
+        fs.move(hidden, f"{top}/{name}")
+        row = (task, part, f"{folder}/{name}", first[0], i, docs, size // width)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+
+    @tidy
+    def write(batches):
+        with encoder(tokenizer, special_as_text) as encode:
+            rows, task = entries(batches, encode), TaskContext.get().partitionId()
+            for part in itertools.count():
+                if (first := next(rows, None)) is None:
+                    return
+                yield table(task, part, first, rows, encode.dtype.itemsize)
+
+    return written(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_tables(manifest: DataFrame, checksum: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids (packed), width of every document.
 
     With ``checksum``, ids_crc32 (over the ids as 32-bit numbers) stands for the last two.
+    A task reads the files of one writing task.
     """
-    # a row per file: small enough for one task
-    starts = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    n = manifest.count()
-    spread = starts.repartitionByRange(max(1, n), "shard") if n else starts
+    bounded(manifest.sparkSession)
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    # a row per writing task goes through one task, not one per file
+    tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n")).select("task", F.coalesce(F.sum("n").over(before().orderBy("task")), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum("n_tokens").over(before("task").orderBy("part")), F.lit(0))
+    n = manifest.select("task").distinct().count()
+    spread = manifest.join(tasks, "task").select("task", "part", "path", (F.col("_base") + within).alias("base")).repartitionByRange(max(1, n), "task").sortWithinPartitions("task", "part")
 
     def rows(ids, start, count, values, width):
         if checksum:
@@ -273,6 +301,7 @@ def read_tables(manifest: DataFrame, checksum: bool = False) -> DataFrame:
             last = {"ids": pa.array(values, pa.binary()), "width": pa.array([width] * len(ids), pa.int32())}
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(count, pa.int64()), **last})
 
+    @tidy
     def read(batches):
         for batch in batches:
             for uri, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):

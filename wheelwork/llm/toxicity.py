@@ -27,6 +27,7 @@ named like an output column go on as ``<name>_in``.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -44,7 +45,7 @@ LEAST_DOCS, LEAST_APART = 4, 4.0
 #: Documents in which chance alone brings a pair together, at least; standard errors off the sum of both effects.
 LEAST_TOGETHER, LEAST_JOINT = 16, 6.0
 #: Slots whose pairs are counted at once.
-BLOCK = 1024
+BLOCK = 512
 FACTORS = 4
 PREFIXES = (4, 5, 6)
 OUTPUT = {"toxicity": "double"}
@@ -81,23 +82,21 @@ def alone(docs: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
     return np.abs(toxic - docs * share) / np.sqrt(docs * share * (1 - share))
 
 
-def together(data: list[np.ndarray], y: np.ndarray, slots: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def together(rows: list[np.ndarray], y: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Slots that tell something in a pair beyond what both tell by themselves.
 
-    ``data`` has the places of each row in the table of ``slots``; ``docs`` and ``toxic``
-    count rows by slot. Pairs are counted in blocks of ``BLOCK`` by ``BLOCK`` slots.
+    ``docs`` and ``toxic`` count rows by slot. Pairs are counted in blocks of ``BLOCK`` by
+    ``BLOCK`` slots, so memory follows the rows alone.
     """
-    n, share = len(data), y.mean()
+    n, share = len(rows), y.mean()
     least = np.sqrt(LEAST_TOGETHER * n)
     some = np.flatnonzero((docs >= least) & (n - docs >= least))
-    if len(some) < 2:
-        return slots[:0]
-    place = np.full(len(slots), -1)
+    place = np.full(SLOTS, -1, np.int32)
     place[some] = np.arange(len(some))
-    row = np.repeat(np.arange(n), [len(t) for t in data])
-    column = place[np.concatenate(data)]
-    row, column = row[column >= 0], column[column >= 0]
-    rate = toxic[some] / docs[some]
+    places = [p[p >= 0] for p in (place[t] for t in rows)]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in places])
+    column = np.concatenate(places)
+    docs, rate = docs[some], toxic[some] / docs[some]
     found = np.zeros(len(some), bool)
 
     def block(lo: int, hi: int) -> np.ndarray:
@@ -106,24 +105,22 @@ def together(data: list[np.ndarray], y: np.ndarray, slots: np.ndarray, docs: np.
         part[row[inside], column[inside] - lo] = 1
         return part
 
-    edges = range(0, len(some), BLOCK)
-    for a in edges:
+    for a in range(0, len(some), BLOCK):
         to_a = min(a + BLOCK, len(some))
         left = block(a, to_a)
-        left_toxic = left[y > 0]
         for b in range(a, len(some), BLOCK):
             to_b = min(b + BLOCK, len(some))
             right = left if a == b else block(b, to_b)
-            both, both_toxic = left.T @ right, left_toxic.T @ right[y > 0]
+            both, both_toxic = left.T @ right, (left * y[:, None]).T @ right
             expected = np.clip(rate[a:to_a, None] + rate[None, b:to_b] - share, 1 / n, 1 - 1 / n)
             with np.errstate(divide="ignore", invalid="ignore"):
                 far = np.abs(both_toxic - both * expected) / np.sqrt(both * expected * (1 - expected))
             # a word and its own beginning stand together always: no pair
-            far[(both < LEAST_TOGETHER) | (both >= np.minimum(docs[some][a:to_a, None], docs[some][None, b:to_b]) * 0.99)] = 0
+            far[(both < LEAST_TOGETHER) | (both >= np.minimum(docs[a:to_a, None], docs[None, b:to_b]) * 0.99)] = 0
             far[~np.isfinite(far)] = 0
             found[a:to_a] |= (far >= LEAST_JOINT).any(1)
             found[b:to_b] |= (far >= LEAST_JOINT).any(0)
-    return slots[some[found]]
+    return some[found]
 
 
 def sum_by(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -136,20 +133,21 @@ def sum_by(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 20, rate: float = 0.02, decay: float = 1e-4, seed: int = 5, factors: int = FACTORS) -> dict:
     """Fit on (label, slots) rows; returns features (slot to place), weights, factors, intercept."""
-    rows = list({(label, t.tobytes()): (label, t) for label, t in rows}.values())  # copies count once
-    y = np.array([label for label, _ in rows], dtype=np.float32)
+    once = {(label, hashlib.blake2b(t.tobytes(), digest_size=16).digest()): (label, t) for label, t in rows}  # copies count once
+    y = np.array([label for label, _ in once.values()], dtype=np.float32)
+    rows = [t for _, t in once.values()]
     if not rows or y.min() == y.max():
         return {"features": {}, "w": np.zeros(0, np.float32), "v": np.zeros((0, factors), np.float32), "b": -np.inf}
-    every, back, docs = np.unique(np.concatenate([t for _, t in rows]), return_inverse=True, return_counts=True)
-    data = np.split(back, np.cumsum([len(t) for _, t in rows])[:-1])
-    toxic = np.bincount(back, np.repeat(y, [len(t) for _, t in rows]), len(every))
+    docs, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
+    for label, t in zip(y, rows, strict=True):  # a row has each slot once
+        docs[t] += 1
+        toxic[t] += label
     share = float(y.mean())
-    own = every[(docs >= LEAST_DOCS) & (alone(docs, toxic, share) >= LEAST_APART)]
-    chosen = np.union1d(own, together(data, y, every, docs, toxic))
-    at = np.searchsorted(chosen, every)
-    at[at == len(chosen)] = 0
-    at = np.where(chosen[at] == every, at, -1) if len(chosen) else np.full(len(every), -1)
-    data = [at[t][at[t] >= 0] for t in data]
+    often = np.flatnonzero(docs >= LEAST_DOCS)
+    chosen = np.union1d(often[alone(docs[often], toxic[often], share) >= LEAST_APART], together(rows, y, docs, toxic))
+    place = np.full(SLOTS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    data = [p[p >= 0] for p in (place[t] for t in rows)]
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), factors)).astype(np.float32)
     b = np.float32(np.log(share / (1 - share)))

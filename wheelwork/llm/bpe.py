@@ -12,7 +12,6 @@ as ordinary text.
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
 
@@ -20,19 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries remembered per generation and worker: two generations of some 25 MB.
-GENERATION = 150_000
+from wheelwork.llm.common import kept_for_stage
 
+#: Entries remembered per generation and worker: two generations of some 80 MB.
+GENERATION = 400_000
 
-@contextlib.contextmanager
-def encoder(path: str, special_as_text: bool = False):
-    """An encoder for a tokenizer file that lives as long as the task that makes it."""
-    made = Encoder(path, special_as_text)
-    try:
-        yield made
-    finally:
-        made.new.clear()
-        made.old.clear()
+
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The worker's encoder for a tokenizer file; it lives as long as the stage of the task that asks (in ``tidy``)."""
+    return kept_for_stage((path, special_as_text), lambda: Encoder(path, special_as_text))
 
 
 def default_path() -> str:
@@ -46,7 +41,7 @@ class Encoder:
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
@@ -59,8 +54,8 @@ class Encoder:
         if parts["model"].get("type", "BPE") != "BPE" or parts.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
             raise ValueError(f"{path} is no byte-level BPE with the regex pre-tokenizer and without a prefix space")
         self.special = [] if special_as_text else [t["content"] for t in parts["added_tokens"]]
-        parts |= {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "normalizer": None, "added_tokens": []}
-        self.split = Tokenizer.from_str(json.dumps(parts))
+        self.split = Tokenizer(self.tokenizer.model)
+        self.split.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = byte_letters() | {0: " "}
         self.opens = np.zeros(n, bool)
         for token, i in self.tokenizer.get_vocab().items():

@@ -8,6 +8,7 @@ import math
 import sys
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +37,30 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: What tasks of one stage leave in their worker process for the next ones, and the stage.
+_kept: dict = {}
+_stage: list = [None]
+
+
+def kept_for_stage(name, make):
+    """What ``make`` gives, made once in a worker for all its tasks of the running stage."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
 def tidy(run):
-    """``run`` for mapInArrow, giving the memory that it has freed back to the system when its task ends."""
+    """``run`` for mapInArrow, minding the memory of its worker process.
+
+    It drops what tasks of an earlier stage have kept there, and gives the memory that it
+    has freed back to the system when its task ends.
+    """
 
     @functools.wraps(run)
     def inner(batches):
+        if (stage := TaskContext.get().stageId()) != _stage[0]:
+            _kept.clear()
+            _stage[0] = stage
         try:
             yield from run(batches)
         finally:

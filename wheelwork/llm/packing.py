@@ -128,11 +128,7 @@ def encoded_pieces(docs: DataFrame, window: int, end_id: int, tokenizer: str, sp
 
     @tidy
     def run(batches):
-        with encoder(tokenizer, special_as_text) as encode:
-            yield from cut(batches, encode)
-
-    def cut(batches, encode):
-        task = TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer, special_as_text), TaskContext.get().partitionId()
         width, stop = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
         places = [0] * (window // UNIT + 2)
         for batch in batches:

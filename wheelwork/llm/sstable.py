@@ -270,12 +270,12 @@ def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str |
 
     @tidy
     def write(batches):
-        with encoder(tokenizer, special_as_text) as encode:
-            rows, task = entries(batches, encode), TaskContext.get().partitionId()
-            for part in itertools.count():
-                if (first := next(rows, None)) is None:
-                    return
-                yield table(task, part, first, rows, encode.dtype.itemsize)
+        encode = encoder(tokenizer, special_as_text)
+        rows, task = entries(batches, encode), TaskContext.get().partitionId()
+        for part in itertools.count():
+            if (first := next(rows, None)) is None:
+                return
+            yield table(task, part, first, rows, encode.dtype.itemsize)
 
     return written(ranged.mapInArrow(write, MANIFEST), "manifest")
 

@@ -40,17 +40,17 @@ def lengths(edges, roots):
 
 
 def test_components(spark, roots):
-    assert Counter(tuple(r) for r in network.components_all(spark, DATA).select("node", "component").collect()) == Counter(roots.items())
+    assert Counter(tuple(r) for r in network.components(spark, DATA).select("node", "component").collect()) == Counter(roots.items())
 
 
 def test_component_stats(spark, lengths):
-    r, want = network.component_stats_all(spark, DATA).first(), list(lengths.values())
+    r, want = network.component_stats(spark, DATA).first(), list(lengths.values())
     assert r["n"] == len(want)
     assert (r["mean"], r["median"], r["least"], r["most"]) == pytest.approx((statistics.fmean(want), statistics.median(want), min(want), max(want)))
 
 
 def test_drop_short_components(spark, edges, roots, lengths):
-    got = network.drop_short_components_all(spark, DATA).select("u", "v", "length").collect()
+    got = network.drop_short_components(spark, DATA).select("u", "v", "length").collect()
     assert Counter(map(tuple, got)) == Counter(e for e in edges if lengths[roots[e[0]]] >= 80000)
 
 
@@ -58,7 +58,7 @@ def test_turn_edges(spark):
     moves = {(r["u"], r["v"]): r["trips"] for r in network._moves(spark, DATA).collect()}
     want = Counter((u, m, v, min(a, b)) for (u, m), a in moves.items() for (n, v), b in moves.items() if m == n and u != v)
     assert len(moves) == 926 and want
-    assert Counter(map(tuple, network.turn_edges_all(spark, DATA).select("u", "mid", "v", "trips").collect())) == want
+    assert Counter(map(tuple, network.turn_edges(spark, DATA).select("u", "mid", "v", "trips").collect())) == want
 
 
 def test_reach_in_steps(spark):
@@ -72,6 +72,6 @@ def test_reach_in_steps(spark):
                 if (s, u) in cost:
                     further[s, v] = min(further.get((s, v), float("inf")), cost[s, u] + w)
         cost = further
-    got = {(r["source"], r["node"]): r["cost"] for r in network.reach_in_steps_all(spark, DATA).collect()}
+    got = {(r["source"], r["node"]): r["cost"] for r in network.reach_in_steps(spark, DATA).collect()}
     assert len(nodes) == 100 and got.keys() == cost.keys()
     assert all(abs(got[k] - c) < 2e-6 for k, c in cost.items())

@@ -67,3 +67,8 @@ def monday_of(ts: Column) -> Column:
 def minutes_of_day(seconds: Column) -> Column:
     """Whole minutes of a duration, whole days left out."""
     return F.floor(F.pmod(seconds, F.lit(86400)) / 60).cast("int")
+
+
+def date_range(rows: DataFrame, day: str) -> DataFrame:
+    """Every day from the first to the last of a column, as ``day``."""
+    return rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day"))

@@ -113,3 +113,45 @@ def merge_chains(edges: DataFrame) -> DataFrame:
     inner = joints.select("node")
     outer = ends.join(marked.select("id", "chain"), "id").join(inner, "node", "left_anti").groupBy("chain").agg(F.min("node").alias("u"), F.max("node").alias("v"))
     return marked.groupBy("chain").agg(F.first("osmid").alias("osmid"), F.sum("length").alias("length")).join(outer, "chain", "left")
+
+
+def with_straight_geometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A missing geometry is the straight line between both ends; ``nodes`` has node, x, y."""
+    end = lambda name: nodes.select(F.col("node").alias(name), F.struct("x", "y").alias(f"_{name}"))
+    placed = edges.join(end("u"), "u", "left").join(end("v"), "v", "left")
+    return placed.withColumn("geometry", F.coalesce("geometry", F.array("_u", "_v"))).select(*edges.columns)
+
+
+def with_node_elevation(nodes: DataFrame, raster: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Nodes with the value of the raster cell (col, row, value) they lie in."""
+    at = nodes.withColumn("col", F.floor(F.col("x") / dx).cast("bigint")).withColumn("row", F.floor(F.col("y") / dy).cast("bigint"))
+    return at.join(raster.select("col", "row", F.col("value").alias("elevation")), ["col", "row"], "left").drop("col", "row")
+
+
+def edge_slope(tags, slopes, rise, length):
+    """0 in tunnels, on bridges and below ground (layer -1); else the robust slope."""
+    flat = F.coalesce(T.tag(tags, "tunnel").isNotNull() | T.tag(tags, "bridge").isNotNull(), F.lit(False)) | F.coalesce(T.tag(tags, "layer") == "-1", F.lit(False))
+    return F.when(flat, 0.0).otherwise(robust_slope(slopes, rise, length))
+
+
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that an edge touches."""
+    ends = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
+    return nodes.join(ends, "node", "left_semi")
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes``."""
+    known = nodes.select("node").distinct()
+    return edges.join(known.withColumnRenamed("node", "u"), "u", "left_semi").join(known.withColumnRenamed("node", "v"), "v", "left_semi").select(*edges.columns)
+
+
+def common_filters(turns: DataFrame) -> DataFrame:
+    """Turns with the filter names that both of their edges have (filters_in, filters_out)."""
+    return turns.withColumn("filters", F.array_intersect("filters_in", "filters_out"))
+
+
+def reversed_key(edge):
+    """An edge key with its ends swapped; the ends of a turn's edge are edges themselves."""
+    swap = lambda e: F.struct(e["v"].alias("u"), e["u"].alias("v"), e["key"].alias("key"))
+    return swap(edge)

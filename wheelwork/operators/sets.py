@@ -30,3 +30,8 @@ def composed(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def full_sum(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Per key, the sum over both tables; missing counts as 0."""
     return a.select(key, value).unionByName(b.select(key, value)).groupBy(key).agg(F.sum(value).alias(value))
+
+
+def unique_lines(rows: DataFrame, lines: str) -> DataFrame:
+    """The parts of arrays of lines, each once."""
+    return rows.select(F.explode(lines).alias("line")).distinct()

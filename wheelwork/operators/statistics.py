@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wheelwork.operators.lineage import written
+
 
 def extremes(daily: DataFrame, day: str, n: str) -> DataFrame:
     """min, max, mean, median of daily counts, with the earliest day of least and most."""
@@ -14,11 +16,6 @@ def extremes(daily: DataFrame, day: str, n: str) -> DataFrame:
     )
 
 
-def percentiles(x: str, at: list[int]) -> list[Column]:
-    """Linear-interpolated percentiles as p50, p75, ..."""
-    return [F.expr(f"percentile({x}, {p / 100})").alias(f"p{p}") for p in at]
-
-
 def fixed_histogram(rows: DataFrame, x: str, width: float, least: float, most: float) -> DataFrame:
     """Counts per bin of ``width`` in [least, most]; the last bin is closed, others are half open."""
     last = int((most - least) / width) - 1
@@ -57,21 +54,42 @@ def top_k(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(k)
 
 
-def running_share(totals: DataFrame, x: str, ties: list[str], share: float) -> DataFrame:
-    """The largest values whose running sum stays within ``share`` of the total.
+def ranked(rows: DataFrame, order: list[Column], x: str) -> DataFrame:
+    """Rows with ``_rn`` (from 1 in a total order), ``_n``, the running sum ``_run`` of ``x`` and its whole sum ``_all``.
 
-    For aggregated tables: the running sum is over one ordered list.
+    Ranges of the order are ranked side by side; only their counts and sums, a row a
+    range, pass through one task. The ranges are written once, so both see the same.
     """
-    w = Window.orderBy(F.desc(x), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = totals.select("*", F.sum(x).over(w).alias("_run"), F.sum(x).over(Window.partitionBy()).alias("_all"))
-    return out.where(F.col("_run") <= F.col("_all") * share).drop("_run", "_all")
+    parts = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = parts.groupBy("_range").agg(F.count("*").alias("c"), F.coalesce(F.sum(x), F.lit(0)).alias("s"))
+    offsets = totals.select("_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_c"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"), F.sum("c").over(whole).alias("_n"), F.sum("s").over(whole).alias("_all"))
+    local = parts.select("*", F.row_number().over(within).alias("_k"), F.coalesce(F.sum(x).over(within), F.lit(0)).alias("_r"))
+    return local.join(F.broadcast(offsets), "_range").select(*rows.columns, (F.col("_k") + F.col("_c")).alias("_rn"), "_n", (F.col("_r") + F.col("_s")).alias("_run"), "_all")
+
+
+def running_share(totals: DataFrame, x: str, ties: list[str], share: float) -> DataFrame:
+    """The largest values whose running sum stays within ``share`` of the total."""
+    return ranked(totals, [F.desc(x), *map(F.col, ties)], x).where(F.col("_run") <= F.col("_all") * share).select(*totals.columns)
 
 
 def tail_share(totals: DataFrame, x: str, ties: list[str], cut: float) -> DataFrame:
     """Share of the sum that lies beyond place int(n * cut) of the ascending order."""
-    rn = F.row_number().over(Window.orderBy(x, *ties))
-    ranked = totals.select(x, rn.alias("_rn"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    return ranked.agg((F.sum(F.when(F.col("_rn") > F.floor(F.col("_n") * cut), F.col(x))) / F.sum(x)).alias("share"))
+    out = ranked(totals, [F.col(x), *map(F.col, ties)], x)
+    return out.agg((F.sum(F.when(F.col("_rn") > F.floor(F.col("_n") * cut), F.col(x))) / F.sum(x)).alias("share"))
+
+
+def from_rank(totals: DataFrame, x: str, ties: list[str], cut: float) -> DataFrame:
+    """Rows whose value is that at place int(n * cut) of the ascending order (from 0) or more."""
+    at = ranked(totals, [F.col(x), *map(F.col, ties)], x).where(F.col("_rn") == F.floor(F.col("_n") * cut) + 1).select(F.col(x).alias("_cut"))
+    return totals.join(F.broadcast(at)).where(F.col(x) >= F.col("_cut")).select(*totals.columns)
+
+
+def normalised_difference(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows with ``diff``: ``a`` over its greatest value less ``b`` over its own."""
+    most = rows.agg(F.max(a).alias("_a"), F.max(b).alias("_b"))
+    return rows.join(F.broadcast(most)).withColumn("diff", F.col(a) / F.col("_a") - F.col(b) / F.col("_b")).drop("_a", "_b")
 
 
 def od_matrix(rows: DataFrame, origin: str, destination: str, zones: list[str]) -> DataFrame:
@@ -97,3 +115,41 @@ def tag_profile(rows: DataFrame, tags: str) -> DataFrame:
 def quality_checks(rows: DataFrame, **checks: Column) -> DataFrame:
     """How many rows break each named check; all checks in one pass."""
     return rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()])
+
+
+def both_histograms(rows: DataFrame, columns: list[str], width: float, below: float) -> DataFrame:
+    """column, bin, n: equal bins over several columns at once; nulls and values from ``below`` on are left out."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.column", "r.x")
+    return long.where((F.col("x") < below) & (F.col("x") >= 0)).groupBy("column", F.floor(F.col("x") / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def summary(rows: DataFrame, x: str, at: list[int], by: list[str] = ()) -> DataFrame:
+    """n, mean, median, most, least and percentiles of a column, per group, over one sorted set of values a group."""
+    cuts = F.expr(f"percentile({x}, array(0.5, {', '.join(str(p / 100) for p in at)}))")
+    found = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("most"), F.min(x).alias("least"), cuts.alias("_c"))
+    return found.select(*by, "n", "mean", "most", "least", F.get("_c", F.lit(0)).alias("median"), *[F.get("_c", F.lit(i + 1)).alias(f"p{p}") for i, p in enumerate(at)])
+
+
+def exact_percentiles(rows: DataFrame, by: str, x: str, at: list[int], buckets: int = 4096) -> DataFrame:
+    """group, p, value: interpolated percentiles without all values of a group in one task.
+
+    A histogram per group says in which bucket each wanted rank lies; the values of those
+    buckets alone are then counted and ranked. For groups that outgrow ``summary``.
+    """
+    known = rows.select(F.col(by).alias("g"), F.col(x).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = known.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    placed = known.join(ends.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).select("g", "x", place.alias("b"))
+    upto = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, 0)
+    # at most ``buckets`` rows a group
+    histogram = placed.groupBy("g", "b").agg(F.count("*").alias("c")).select("g", "b", F.sum("c").over(upto("g").orderBy("b")).alias("past"), "c")
+    ranks = F.array(*[F.struct(F.lit(p).alias("p"), ((F.col("n") - 1) * (p / 100)).alias("h")) for p in at])
+    wanted = ends.select(F.col("g").alias("wg"), F.explode(ranks).alias("r")).select("wg", "r.p", "r.h", F.explode(F.array(F.floor("r.h"), F.ceil("r.h"))).alias("rank")).distinct()
+    held = wanted.join(histogram, F.col("wg").eqNullSafe(F.col("g")) & (F.col("rank") < F.col("past")) & (F.col("rank") >= F.col("past") - F.col("c"))).select("g", "b", "p", "h", "rank", (F.col("rank") - F.col("past") + F.col("c")).alias("k"))
+    few = held.select(F.col("g").alias("hg"), F.col("b").alias("hb")).distinct()
+    values = placed.join(few, F.col("g").eqNullSafe(F.col("hg")) & (F.col("b") == F.col("hb"))).groupBy("g", "b", "x").agg(F.count("*").alias("c"))
+    ranked = values.select(F.col("g").alias("vg"), F.col("b").alias("vb"), "x", F.sum("c").over(upto("g", "b").orderBy("x")).alias("past"), "c")
+    found = held.join(ranked, F.col("g").eqNullSafe(F.col("vg")) & (F.col("b") == F.col("vb")) & (F.col("k") < F.col("past")) & (F.col("k") >= F.col("past") - F.col("c")))
+    part = F.col("h") - F.floor("h")
+    value = F.sum(F.when(F.col("rank") == F.floor("h"), F.col("x") * (1 - part)).otherwise(F.col("x") * part))
+    return found.groupBy("g", "p", "h").agg(value.alias("value")).select(F.col("g").alias("grp"), "p", "value")

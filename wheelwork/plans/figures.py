@@ -30,12 +30,13 @@ def _q(x: str, at: list[int]) -> str:
 
 @query(f"SELECT count(*) AS n, median(o_totalprice) AS median, min(o_totalprice) AS least, max(o_totalprice) AS most, {_q('o_totalprice', [50, 75, 90, 95, 99])} FROM orders")
 def duration_percentiles(spark, d):
-    return rentals(spark, d).agg(F.count("*").alias("n"), F.median("price").alias("median"), F.min("price").alias("least"), F.max("price").alias("most"), *S.percentiles("price", [50, 75, 90, 95, 99]))
+    return S.summary(rentals(spark, d), "price", [50, 75, 90, 95, 99]).drop("mean")
 
 
 @query(f"SELECT l_returnflag AS flag, avg(l_extendedprice) AS mean, {_q('l_extendedprice', [75, 85, 95, 99])} FROM lineitem GROUP BY 1")
 def length_percentiles(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.avg("l_extendedprice").alias("mean"), *S.percentiles("l_extendedprice", [75, 85, 95, 99]))
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return S.summary(rows, "l_extendedprice", [75, 85, 95, 99], ["flag"]).select("flag", "mean", "p75", "p85", "p95", "p99")
 
 
 @query("SELECT median(l_extendedprice / l_quantity * 3.6) AS median_speed FROM lineitem WHERE l_quantity > 0")
@@ -152,18 +153,14 @@ def top20_share(spark, d):
 
 @query(f"WITH {PARTS}, r AS (SELECT total, row_number() OVER (ORDER BY total, part) AS rn, count(*) OVER () AS n FROM parts), c AS (SELECT total FROM r WHERE rn = floor(n * 0.95) + 1) SELECT part, total FROM parts WHERE total >= (SELECT total FROM c)")
 def top_five_percent(spark, d):
-    p = _parts(spark, d)
-    r = p.select("total", F.row_number().over(Window.orderBy("total", "part")).alias("rn"), F.count("*").over(Window.partitionBy()).alias("n"))
-    cut = r.where(F.col("rn") == F.floor(F.col("n") * 0.95) + 1).select(F.col("total").alias("cut"))
-    return p.join(F.broadcast(cut)).where("total >= cut").select("part", "total")
+    return S.from_rank(_parts(spark, d), "total", ["part"], 0.95)
 
 
 @query("""WITH a AS (SELECT l_suppkey AS k, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT k, round(q / max(q) OVER () - n / max(n) OVER (), 9) AS diff FROM a""")
 def normalise_diff(spark, d):
     a = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
-    w = Window.partitionBy()
-    return a.select("k", F.round(F.col("q") / F.max("q").over(w) - F.col("n") / F.max("n").over(w), 9).alias("diff"))
+    return S.normalised_difference(a, "q", "n").select("k", F.round("diff", 9).alias("diff"))
 
 
 @query("SELECT n_name AS nation, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 9) AS share FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

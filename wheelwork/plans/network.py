@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from wheelwork.functions import tags as T
 from wheelwork.operators import components as C
 from wheelwork.operators import gaps, kmodes, network, routing
+from wheelwork.operators.lineage import written
 from wheelwork.plans.inputs import STREETS, positions, streets, table
+from wheelwork.plans.mobility import RIDES_SQL
 
 QUERIES, SQL = {}, {}
 
@@ -93,7 +95,11 @@ def _moves(spark, d):
 
 
 def _network(spark, d):
-    return _moves(spark, d).select("u", "v", (100.0 / F.col("trips")).alias("length"), (100.0 / F.col("trips")).alias("weight"))
+    return _priced(_moves(spark, d))
+
+
+def _priced(moves):
+    return moves.select("u", "v", (100.0 / F.col("trips")).alias("length"), (100.0 / F.col("trips")).alias("weight"))
 
 
 @query(f"WITH {MOVES} SELECT least(u, v) AS u, greatest(u, v) AS v, sum(trips) AS trips FROM moves GROUP BY 1, 2")
@@ -101,15 +107,10 @@ def both_directions(spark, d):
     return network.one_direction(_moves(spark, d), "trips")
 
 
-@query(f"""WITH {MOVES} SELECT a.u AS u, a.v AS mid, b.v AS v, least(a.trips, b.trips) AS trips FROM moves a JOIN moves b ON a.v = b.u WHERE a.u <> b.v AND a.trips >= 4 AND b.trips >= 4""")
+@query(f"""WITH {MOVES} SELECT a.u AS u, a.v AS mid, b.v AS v, least(a.trips, b.trips) AS trips FROM moves a JOIN moves b ON a.v = b.u WHERE a.u <> b.v""")
 def turn_edges(spark, d):
-    return _turns(_moves(spark, d).where("trips >= 4"))
-
-
-@query()
-def turn_edges_all(spark, d):
     """Turns between all moves."""
-    return _turns(_moves(spark, d))
+    return _turns(written(_moves(spark, d), "moves"))
 
 
 def _turns(m):
@@ -122,79 +123,56 @@ def _turns(m):
     return flat.join(a, ["_u", "_m"]).join(b, ["_m", "_v"]).select(F.col("_u").alias("u"), F.col("_m").alias("mid"), F.col("_v").alias("v"), F.least("_a", "_b").alias("trips"))
 
 
-RELEVANT = f"{STREETS}, gap AS (SELECT u, v, length FROM streets WHERE quantity >= 49 AND share >= 0.1 AND tax >= 0.07)"
-_ROOTS = f"""WITH RECURSIVE {RELEVANT}, e AS (SELECT u AS a, v AS b FROM gap UNION SELECT v, u FROM gap), r(node, root) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.root),
-roots AS (SELECT node, min(root) AS component FROM r GROUP BY 1)"""
+_ROOTS = f"""WITH RECURSIVE {STREETS}, e AS (SELECT u AS a, v AS b FROM streets UNION SELECT v, u FROM streets),
+r(node, root) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM e GROUP BY 1 UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.root < k.root GROUP BY 1),
+roots AS (SELECT node, root AS component FROM r)"""
 
 
-def _gap_edges(spark, d):
-    return streets(spark, d).where("quantity >= 49 AND share >= 0.1 AND tax >= 0.07").select("u", "v", "length")
+def _all_edges(spark, d):
+    return streets(spark, d).select("u", "v", "length")
 
 
 @query(f"{_ROOTS} SELECT node, component FROM roots")
 def components(spark, d):
-    return C.components(_gap_edges(spark, d))
+    """Components of all streets."""
+    return C.components(_all_edges(spark, d))
 
 
-@query(f"""{_ROOTS}, l AS (SELECT component, count(*) AS n_edges, sum(length) AS length FROM gap JOIN roots ON u = node GROUP BY 1)
-SELECT count(*) AS n, avg(length) AS mean, median(length) AS median, min(length) AS least, max(length) AS most, stddev_pop(length) AS std, quantile_cont(length, 0.05) AS p5, quantile_cont(length, 0.3) AS p30 FROM l""")
+@query(f"""{_ROOTS}, l AS (SELECT component, count(*) AS n_edges, sum(length) AS length FROM streets JOIN roots ON u = node GROUP BY 1)
+SELECT count(*) AS n, avg(length) AS mean, median(length) AS median, min(length) AS least, max(length) AS most, stddev_pop(length) AS std, quantile_cont(length, 0.05) AS p5, quantile_cont(length, 0.3) AS p30, sum(n_edges)::BIGINT AS n_edges, max(length) / sum(length) AS share FROM l""")
 def component_stats(spark, d):
-    return _length_stats(C.component_lengths(_gap_edges(spark, d)))
-
+    """Lengths of components, all edges, and the largest one's share of the network."""
+    cuts = F.expr("percentile(length, array(0.05, 0.3, 0.5))")
+    out = C.component_lengths(_all_edges(spark, d)).agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.min("length").alias("least"), F.max("length").alias("most"), F.stddev_pop("length").alias("std"), cuts.alias("c"), F.sum("n_edges").alias("n_edges"), (F.max("length") / F.sum("length")).alias("share"))
+    return out.select("n", "mean", F.get("c", F.lit(2)).alias("median"), "least", "most", "std", F.get("c", F.lit(0)).alias("p5"), F.get("c", F.lit(1)).alias("p30"), "n_edges", "share")
 
-def _length_stats(lengths):
-    return lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.median("length").alias("median"), F.min("length").alias("least"), F.max("length").alias("most"), F.stddev_pop("length").alias("std"), F.expr("percentile(length, 0.05)").alias("p5"), F.expr("percentile(length, 0.3)").alias("p30"))
 
-
-@query(f"{_ROOTS}, l AS (SELECT component, sum(length) AS s FROM gap JOIN roots ON u = node GROUP BY 1) SELECT u, v, length FROM gap JOIN roots ON u = node JOIN l USING (component) WHERE s >= 80000")
+@query(f"{_ROOTS}, l AS (SELECT component, sum(length) AS s FROM streets JOIN roots ON u = node GROUP BY 1) SELECT u, v, length FROM streets JOIN roots ON u = node JOIN l USING (component) WHERE s >= 80000")
 def drop_short_components(spark, d):
-    return C.drop_short(_gap_edges(spark, d), 80000.0)
-
-
-def _all_edges(spark, d):
-    return streets(spark, d).select("u", "v", "length")
-
-
-@query()
-def components_all(spark, d):
-    """Components of all streets."""
-    return C.components(_all_edges(spark, d))
-
-
-@query()
-def component_stats_all(spark, d):
-    return _length_stats(C.component_lengths(_all_edges(spark, d)))
+    return C.drop_short(_all_edges(spark, d), 80000.0)
 
 
-@query()
-def drop_short_components_all(spark, d):
-    return C.drop_short(_all_edges(spark, d), 80000.0)
+@query(f"{_ROOTS}, l AS (SELECT component, count(*) AS n_edges, sum(length) AS length FROM streets JOIN roots ON u = node GROUP BY 1) SELECT component, n_edges, round(length, 2) AS length FROM l ORDER BY l.length DESC, component LIMIT 10")
+def longest_components(spark, d):
+    return C.component_lengths(_all_edges(spark, d)).orderBy(F.desc("length"), "component").limit(10).select("component", "n_edges", F.round("length", 2).alias("length"))
 
 
 _COSTS = f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v, 100.0 / trips AS w FROM moves), r(s, n, c, k) AS (
-  SELECT u, u, 0.0::DOUBLE, 0 FROM (SELECT DISTINCT u FROM e WHERE u < 5) UNION ALL
+  SELECT u, u, 0.0::DOUBLE, 0 FROM (SELECT u FROM e UNION SELECT v FROM e) UNION ALL
   SELECT s, v, min(c + w), any_value(k) + 1 FROM r JOIN e ON r.n = e.u WHERE k < 4 GROUP BY s, v)"""
 
 
 @query(f"{_COSTS} SELECT s AS source, n AS node, round(min(c), 6) AS cost FROM r GROUP BY 1, 2")
 def reach_in_steps(spark, d):
-    return _reach(_network(spark, d).where("u < 5").select(F.col("u").alias("node")).distinct(), _network(spark, d))
-
-
-@query()
-def reach_in_steps_all(spark, d):
-    """Reach of every place, also of those that no move leaves."""
-    e = _network(spark, d)
-    return _reach(e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct(), e)
-
-
-def _reach(sources, e):
+    """Reach of every place over four moves, also of those that no move leaves."""
+    e = written(_network(spark, d), "network")
+    sources = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
     return routing.reach(e, sources, "weight", 4).select("source", "node", F.round("cost", 6).alias("cost"))
 
 
 def _routes(spark, d):
-    m = _moves(spark, d)
-    return routing.shortest_paths(_network(spark, d), m.select(F.col("u").alias("origin"), F.col("v").alias("destination")))
+    m = written(_moves(spark, d), "moves")
+    return routing.shortest_paths(_priced(m), m.select(F.col("u").alias("origin"), F.col("v").alias("destination")))
 
 
 @query()
@@ -202,6 +180,17 @@ def shortest_paths(spark, d):
     return _routes(spark, d).select("origin", "destination", F.array_join("route", ",").alias("route"), F.round("cost", 6).alias("cost"))
 
 
+_DISTANCES = f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v, 100.0 / trips AS w FROM moves),
+dist(s, n, c) USING KEY (s, n) AS (SELECT u, u, 0.0::DOUBLE FROM (SELECT u FROM e UNION SELECT v FROM e) UNION
+  SELECT dist.s, e.v, min(dist.c + e.w) FROM dist JOIN e ON e.u = dist.n LEFT JOIN recurring.dist AS k ON k.s = dist.s AND k.n = e.v WHERE k.c IS NULL OR dist.c + e.w < k.c - 1e-12 GROUP BY 1, 2)"""
+
+
+@query(f"{_DISTANCES} SELECT m.u AS origin, m.v AS destination, round(c, 6) AS cost FROM moves m LEFT JOIN dist ON s = m.u AND n = m.v")
+def path_costs(spark, d):
+    """The cost of the shortest path of every pair that has a move."""
+    return _routes(spark, d).select("origin", "destination", F.round("cost", 6).alias("cost"))
+
+
 @query()
 def edge_usage(spark, d):
     return routing.edge_usage(_network(spark, d), _routes(spark, d))
@@ -223,9 +212,10 @@ def betweenness_gravity(spark, d):
     return routing.betweenness(_network(spark, d), lower=1.0, upper=200.0, pair_weight="gravity", normalized=True).select("u", "v", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query()
+@query(f"""{_DISTANCES}, a AS (SELECT s AS node, least(1.0, (30.0 - c) / w) AS share FROM dist JOIN e ON e.u = dist.n WHERE c <= 30.0 AND s IN (SELECT u FROM e))
+SELECT node, count(*) AS n_edges, round(sum(share), 6) AS shares FROM a WHERE share > 0 GROUP BY 1""")
 def service_area(spark, d):
-    e = _network(spark, d)
+    e = written(_network(spark, d), "network")
     return routing.service_area(e, e.select(F.col("u").alias("node")), 30.0).groupBy("node").agg(F.count("*").alias("n_edges"), F.round(F.sum("share"), 6).alias("shares"))
 
 
@@ -268,7 +258,11 @@ def _overlap_edges(spark, d):
     return table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("gap_id"), F.col("l_partkey").alias("edge"), (F.col("l_partkey") % 1000 + 1.0).cast("double").alias("length")).distinct()
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey AS gap_id, l_partkey AS edge, l_partkey % 1000 + 1.0 AS length FROM lineitem WHERE l_returnflag = 'R'), t AS (SELECT gap_id, sum(length) AS l FROM g GROUP BY 1),
+o AS (SELECT a.gap_id AS a, b.gap_id AS b FROM g a JOIN g b ON a.edge = b.edge AND a.gap_id < b.gap_id JOIN t x ON x.gap_id = a.gap_id JOIN t y ON y.gap_id = b.gap_id GROUP BY 1, 2 HAVING sum(a.length) / least(any_value(x.l), any_value(y.l)) > 0.9),
+e AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+r(node, root) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM e GROUP BY 1 UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.root < k.root GROUP BY 1)
+SELECT gap_id, coalesce(root, gap_id) AS merged_id FROM t LEFT JOIN r ON node = gap_id""")
 def gap_merge(spark, d):
     return gaps.merged(_overlap_edges(spark, d))
 
@@ -293,7 +287,7 @@ def kmodes_cost(spark, d):
     return kmodes.sweep(rows, ["p_brand", "p_type", "p_size"], [2, 4, 8])
 
 
-@query()
+@query(f"WITH {RIDES_SQL} SELECT bike, start_time, finish_time, start_place, finish_place FROM rides")
 def stream_rides(spark, d):
     """Rides from the events replayed as a stream, equal to rides_from_changes."""
     from wheelwork.streaming.replay import replay_rides

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wheelwork.plans import figures, mobility, network, places
+from wheelwork.plans import accidents, evaluation, figures, mobility, network, places, steps
 
-QUERIES = mobility.QUERIES | figures.QUERIES | places.QUERIES | network.QUERIES
-SQL = mobility.SQL | figures.SQL | places.SQL | network.SQL
+_PLANS = [mobility, figures, places, network, accidents, evaluation, steps]
+QUERIES = {name: f for p in _PLANS for name, f in p.QUERIES.items()}
+SQL = {name: sql for p in _PLANS for name, sql in p.SQL.items()}

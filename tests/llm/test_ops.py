@@ -60,7 +60,7 @@ def empty(docs):
 
 def test_sstable(spark, docs, rows, empty, tmp_path):
     folder = "file://" + str(tmp_path / "t")
-    manifest = sstable.write_tables(docs, folder, task_bytes=6000, table_bytes=2000, least_tasks=3)
+    manifest = sstable.write_tables(docs, folder, task_bytes=6000, table_bytes=2000)
     got = sstable.read_tables(manifest).collect()
     from tokenizers import Tokenizer
 

@@ -47,7 +47,9 @@ MAGIC = b"WWSSTAB1"
 BLOCK, RESTART, BITS, PROBES = 64 << 10, 16, 10, 7
 FOOTER = struct.Struct("<QQQQQQ8s")
 #: Text per task, and bytes of ids in a file.
-TASK_BYTES, TABLE_BYTES = 64 << 20, 16 << 20
+TASK_BYTES, TABLE_BYTES = 32 << 20, 16 << 20
+#: Tasks up to which a task keeps that size; then it grows with the table.
+MANY_TASKS = 200_000
 MANIFEST = "task int, part int, path string, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint"
 
 
@@ -227,14 +229,15 @@ def files(uri: str):
 
 
 def write_tables(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str | None = None, special_as_text: bool = False, id_column: str = "doc_id", text_column: str = "text",
-                 task_bytes: int = TASK_BYTES, table_bytes: int = TABLE_BYTES, least_tasks: int = 24) -> DataFrame:
+                 task_bytes: int = TASK_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Encode and write all documents; returns the manifest, one row per file in the order (task, part) of the keys.
 
     With ``special_as_text`` the strings of special tokens in texts are ordinary text.
     """
     bounded(docs.sparkSession)
     tokenizer = tokenizer or default_path()
-    n = buckets_for(text_bytes(docs, text_column), task_bytes, least=least_tasks)
+    total = text_bytes(docs, text_column)
+    n = buckets_for(total, max(task_bytes, total // MANY_TASKS), least=1)
     pairs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     # the hash deals out rows that share an identifier
     ranged = pairs.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")

@@ -1,7 +1,6 @@
 """Every training-data operator against brute force on small tables with odd cases."""
 
 import collections
-import hashlib
 import itertools
 import random
 import re
@@ -228,6 +227,25 @@ def test_chat(spark):
     assert [(a["ordinal"], a["uri"], a["tokens"]) for a in r["attachments"]] == [(1, "u1", 512), (2, "u2", 75)] and r["expanded_tokens"] == 587
     assert chat.format_chat(turns.limit(0)).count() == 0
 
+def test_chat_attachments_through_a_conversation(spark):
+    image = lambda uri, n: ("image", None, uri, n)
+    turns = [(1, 0, "user", [("text", "a <b>", None, 0), image("u1", 2)]), (1, 1, "assistant", [image("u2", None), ("text", "see", None, 0), ("audio", None, "u3", 3)]), (1, 2, "user", None), (1, 3, "user", [image("u1", 2)])]
+    turns += [(2, k, "user", [image(f"v{k}", 1)] * 3) for k in range(400)]
+    df = spark.createDataFrame([(*t, 7) for t in turns], f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}, ordinal int")
+    out = {r["conv_id"]: r for r in chat.format_chat(df).select("*", chat.parse_parts(F.col("formatted"), F.col("attachments")).alias("back")).collect()}
+    r = out[1]
+    assert [(a["ordinal"], a["uri"], a["turn"], a["tokens"]) for a in r["attachments"]] == [(1, "u1", 0, 512), (2, "u2", 1, 256), (3, "u3", 1, 75), (4, "u1", 3, 512)]
+    for a in r["attachments"]:
+        mark = f"<{a['kind']}:{a['ordinal']}>"
+        assert r["formatted"][a["offset"] : a["offset"] + len(mark)] == mark
+    assert [[(p["kind"], p["text"], p["uri"], p["units"]) for p in t["parts"]] for t in r["back"]] == [
+        [("text", "a <b>", None, None), ("image", None, "u1", 2)], [("image", None, "u2", None), ("text", "see", None, None), ("audio", None, "u3", 3)], [], [("image", None, "u1", 2)],
+    ]
+    assert r["expanded_tokens"] == 1355 and len(r["loss"]) == 1
+    s = r["loss"][0]
+    assert r["formatted"][s["start"] : s["start"] + s["length"]] == "<image:2>see<audio:3>"
+    assert [a["ordinal"] for a in out[2]["attachments"]] == list(range(1, 1201)) and len(out[2]["back"]) == 400
+
 
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
@@ -359,4 +377,3 @@ def test_pipeline(spark):
                 assert (i in after) == (hit <= 0.5 * n)
                 assert hit or after[i] == t
     assert {d for r in docs.select("doc_ids").collect() for d in r["doc_ids"]} == set(after)
-    assert hashlib.sha256(b"").hexdigest()

@@ -8,9 +8,11 @@ The distinct phrases are the dictionary, the places of phrases in documents the
 1. Portions of documents are parsed and stored; their trigger values are dealt out by
    range, and those that only one document has come to an end here.
 2. Phrases of the other triggers go out by range: each distinct phrase of a portion once,
-   with the least and greatest document there. Per range, the dictionary's suffix array
-   (to the depth of 50 bytes) puts all strings in corpus order; ties go by the parse, that
-   is by document. The first of equal strings is the one to keep.
+   with the least and greatest document of its occurrences in the parse. Per range, the
+   dictionary's suffix array (to the depth of 50 bytes) puts all strings in corpus order;
+   equal strings are ordered by the parse, that is by document, and the first one is to
+   keep. What follows a string in the parse would order equals by later bytes, which
+   nothing here asks for; so the parse gets no suffix array of its own.
 3. Each portion gets back the first document per string of its phrases, and marks the
    strings of later documents. Bytes under a marked string are removed.
 
@@ -308,33 +310,23 @@ def first_documents(rows: DataFrame, n_ranges: int, n_parts: int) -> DataFrame:
         entry[order] = np.cumsum(new) - 1
         some = order[new]
         least = np.minimum.reduceat(low[order], np.flatnonzero(new))
-        # entries that share their trigger with another need the order of their strings
-        v = value[some]
-        twin = np.zeros(len(v), bool)
-        twin[1:] |= v[1:] == v[:-1]
-        twin[:-1] |= v[1:] == v[:-1]
-        # per stretch: entry, first string, past string, first document
-        alone = np.flatnonzero(~twin)
-        stretch = [(alone, np.zeros(len(alone), np.int64), count[some[alone]], least[alone])]
-        both = np.flatnonzero(twin)
-        if len(both):
-            words = b"".join([data[a:b] for a, b in zip(start[some[both]].tolist(), end[some[both]].tolist(), strict=True)])
-            n_strings = count[some[both]]
-            place = np.cumsum(n_strings + LENGTH - 1) - n_strings - LENGTH + 1
-            offset = np.arange(int(n_strings.sum())) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
-            of = np.repeat(np.arange(len(both)), n_strings)
-            rank = suffix_ranks(words)[place[of] + offset]
-            first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-            by = np.argsort(rank)
-            at = np.flatnonzero(np.concatenate(([True], rank[by][1:] != rank[by][:-1])))
-            first[rank[by][at]] = np.minimum.reduceat(least[both][of][by], at)
-            doc = first[rank]
-            turn = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]))))
-            last = np.append(turn[1:], len(doc)) - 1
-            stretch.append((both[of[turn]], offset[turn], offset[last] + 1, doc[turn]))
-        e, a, b, doc = map(np.concatenate, zip(*stretch, strict=True))
-        by = np.argsort(e, kind="stable")
-        e, a, b, doc = e[by], a[by], b[by], doc[by]
+        # corpus order: the dictionary's suffix array puts every string beside its equals, wherever it stands
+        words = b"".join([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+        n_strings = count[some]
+        place = np.cumsum(n_strings + LENGTH - 1) - n_strings - LENGTH + 1
+        offset = np.arange(int(n_strings.sum())) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
+        of = np.repeat(np.arange(len(some)), n_strings)
+        rank = suffix_ranks(words)[place[of] + offset]
+        # among equals the parse decides: the first document of all phrases that hold the string
+        first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+        by = np.argsort(rank)
+        at = np.flatnonzero(np.concatenate(([True], rank[by][1:] != rank[by][:-1])))
+        first[rank[by][at]] = np.minimum.reduceat(least[of][by], at)
+        doc = first[rank]
+        # per stretch of strings with one first document: entry, first string, past string, document
+        turn = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]))))
+        last = np.append(turn[1:], len(doc)) - 1
+        e, a, b, doc = of[turn], offset[turn], offset[last] + 1, doc[turn]
         lo, hi = np.searchsorted(e, entry), np.searchsorted(e, entry, side="right")
         which = np.repeat(np.arange(len(entry)), hi - lo)
         s = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wheelwork.llm.common import apart, buckets_for, fresh_path
 
 OUTPUT = ["shard", "slot", "bucket"]
-#: Buckets up to which their offsets (16 bytes each) are broadcast, and up to which buckets keep their size.
+#: Rows (16 bytes each) of bucket offsets or of equal rows' hashes up to which they are broadcast; buckets up to which they keep their size.
 MANY_BUCKETS = 1 << 20
 #: Rows equal in every column that may share a bucket.
 MOST_EQUAL = 1_000
@@ -43,11 +43,13 @@ def shuffled(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes:
     key = F.xxhash64(F.lit(seed), *docs.columns)
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_column), F.lit(0)) + 64).alias("n")).first()["n"] or 0
     n = buckets_for(size, min(most_bytes, max(bucket_bytes, size // MANY_BUCKETS)))
-    # one row for MOST_EQUAL rows of the table at most
+    # mostly none; one row for MOST_EQUAL rows of the table at most
     equal = docs.groupBy(key.alias("_key")).count().where(F.col("count") > MOST_EQUAL).select("_key", F.lit(True).alias("_many"))
     place = F.when(F.col("_many"), F.xxhash64("_key", F.monotonically_increasing_id())).otherwise(F.col("_key"))
     keyed = docs.select(F.struct(*docs.columns).alias("_r"), key.alias("_key"))
-    keyed = (keyed.join(F.broadcast(equal), "_key", "left") if not equal.isEmpty() else keyed.withColumn("_many", F.lit(False))).withColumn("_place", place)
+    n_equal = equal.count()
+    known = keyed.join(F.broadcast(equal) if n_equal <= MANY_BUCKETS else equal, "_key", "left") if n_equal else keyed.withColumn("_many", F.lit(False))
+    keyed = known.withColumn("_place", place)
     bucketed = keyed.select("_r", F.pmod("_place", F.lit(n)).cast("int").alias("bucket"), F.xxhash64(F.lit(seed + 1), "_place").alias("_h"))
     counts = bucketed.groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ fragments; overlaps are counted in each fragment separately and summed per pair:
    Documents with equal sets are one class from the start. Pairs of one posting list
    are tested in rounds, each document against one leader, the one with the fewest
    unshared shingles; then all pairs that are not yet in one component and whose sizes
-   still allow a link. So a group of n near copies costs some n pairs, and no link
+   and places of the shared shingle in both orders still allow a link. So a group of n near copies costs some n pairs, and no link
    between components is missed.
 
 Exact up to the 48-bit hash of a shingle. Links of classes inside one component are not
@@ -214,6 +214,12 @@ def _possible(num: int, den: int) -> Column:
     return most * den >= (F.col("an") + F.col("bn") - most) * num
 
 
+def _possible_from(num: int, den: int) -> Column:
+    """Whether a link is possible if the shingle at places ``aat`` and ``bat`` of the order is the first that a and b share."""
+    most = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
+    return most * den >= (F.col("an") + F.col("bn") - most) * num
+
+
 def _counted(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b, an, bn) that link: partial overlaps per fragment, summed."""
     one = fragments.select(F.col("root").alias("a"), "f", F.col("h").alias("ah"))
@@ -242,7 +248,7 @@ def _links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, list[Data
     """Links between classes that span each component, and the written tables that they are read from."""
     sets = written(_unpacked(classes, num, den), "sets")
     fragments = written(sets.select("root", F.explode("fragments").alias("x")).select("root", "x.f", "x.h"), "fragments")
-    every = sets.where(F.size("prefix") > 0).select("root", "n", "spare", F.explode("prefix").alias("h"))
+    every = sets.where(F.size("prefix") > 0).select("root", "n", "spare", F.posexplode("prefix").alias("at", "h")).withColumn("at", F.col("at") + F.col("spare"))
     several = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     postings = written(every.join(several, "h"), "postings")
     links, tested, used = None, None, [sets, fragments, postings]
@@ -266,9 +272,10 @@ def _links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, list[Data
     sizes = labelled.groupBy("h", "label").count().groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("count", "label")).alias("top")).where("k > 1")
     open_lists = written(labelled.join(sizes.select("h", F.col("top.label").alias("main")), "h"), "open")
     small, main = open_lists.where("label <> main"), open_lists.where("label = main")
-    one = small.select("h", F.col("root").alias("a"), F.col("n").alias("an"), F.col("spare").alias("aspare"), F.col("label").alias("alabel"))
-    two = small.select("h", F.col("root").alias("b"), F.col("n").alias("bn"), F.col("spare").alias("bspare"), F.col("label").alias("blabel"))
-    more = _ordered(one.join(two, "h").where((F.col("alabel") != F.col("blabel")) & (F.col("a") < F.col("b")) & _possible(num, den)))
+    one = small.select("h", F.col("root").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("label").alias("alabel"))
+    two = small.select("h", F.col("root").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("label").alias("blabel"))
+    # a pair is made where it first shares a shingle, so later places of the two may say no
+    more = _ordered(one.join(two, "h").where((F.col("alabel") != F.col("blabel")) & (F.col("a") < F.col("b")) & _possible_from(num, den)))
     pairs = written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     late = _counted(pairs, fragments, num, den)
     return links.unionAll(late).unionAll(_against_main(main.select("main", "root", "n", "spare").distinct(), small.select("main", "root", "n", "spare").distinct(), classes.select("root", "shared"), num, den)), [*used, open_lists, pairs]

@@ -77,6 +77,16 @@ def strictly_in(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column
     return in_ring(x, y, ring) & ~on_ring(x, y, ring)
 
 
+def crosses_ring(x1: Column, y1: Column, x2: Column, y2: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a segment crosses a side of the ring: the ends of each lie on two sides of the other."""
+    side = lambda ax, ay, bx, by, x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0
+    out = F.lit(False)
+    for (a, b), (c, d) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        a, b, c, d = map(F.lit, (a, b, c, d))
+        out = out | ((side(x1, y1, x2, y2, a, b) != side(x1, y1, x2, y2, c, d)) & (side(a, b, c, d, x1, y1) != side(a, b, c, d, x2, y2)))
+    return out
+
+
 def ring_area(ring: list[tuple[float, float]]) -> float:
     return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True))) / 2
 

@@ -155,3 +155,10 @@ def reversed_key(edge):
     """An edge key with its ends swapped; the ends of a turn's edge are edges themselves."""
     swap = lambda e: F.struct(e["v"].alias("u"), e["u"].alias("v"), e["key"].alias("key"))
     return swap(edge)
+
+
+def merged_lines(parts: DataFrame, key: str) -> DataFrame:
+    """key, geometry: the lines (array of struct x, y) of each key one after the other by ``place``, joints once."""
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "geometry"))), lambda s: s["geometry"]))
+    joined = parts.groupBy(key).agg(whole.alias("_g"))
+    return joined.select(key, F.filter("_g", lambda p, i: (i == 0) | (p != F.get("_g", i - 1))).alias("geometry"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.functions.geo import cell, planar, strictly_in
+from wheelwork.functions.geo import cell, crosses_ring, in_ring, planar, segmentize, strictly_in
 from wheelwork.operators.lineage import written
 
 
@@ -65,6 +65,29 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, size: floa
     return points.select(key, "x", "y").join(done, ["x", "y"], "left").select(key, node, "distance")
 
 
+def ways_with_node_in(ways: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """Ways of which a node (``nodes``: array of struct x, y) lies strictly inside the ring."""
+    return ways.where(F.exists("nodes", lambda n: F.coalesce(strictly_in(n["x"], n["y"], ring), F.lit(False))))
+
+
+def with_area(edges: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """Straight edges (x1, y1, x2, y2) with ``contained`` and ``touching``: wholly inside the ring, or partly."""
+    a, b = in_ring(F.col("x1"), F.col("y1"), ring), in_ring(F.col("x2"), F.col("y2"), ring)
+    crossing = crosses_ring(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), ring)
+    return edges.withColumn("contained", a & b & ~crossing).withColumn("touching", a | b | crossing)
+
+
+def nearest_edge_areas(edges: DataFrame, cells: DataFrame, edge: str, size: float, step: float) -> DataFrame:
+    """edge, area: the area of the cells (cx, cy) whose centre is nearest to each edge.
+
+    Edges stand for points at most ``step`` apart, so the share of an edge is exact up to
+    that; ties go to the smallest edge, edges without a cell have no row.
+    """
+    spots = edges.select(edge, F.explode(segmentize(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), step)).alias("_p")).select(edge, "_p.x", "_p.y")
+    centres = cells.select(F.struct("cx", "cy").alias("_cell"), ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
+    return nearest(centres, spots, "_cell", edge, size).where(F.col(edge).isNotNull()).groupBy(edge).agg((F.count("*") * size * size).alias("area"))
+
+
 def zonal_sum(raster: DataFrame, zones: DataFrame, zone: str, value: str, dx: float, dy: float) -> DataFrame:
     """Per rectangular zone, the sum of cell values weighted by the share of the cell inside.
 

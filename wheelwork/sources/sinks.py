@@ -43,3 +43,8 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 def compact_day(df: DataFrame, path: str, time: str = "time") -> None:
     """Small files of a day into partitions by date; refuses to overwrite."""
     df.withColumn("date", F.to_date(time)).repartition("date").write.mode("errorifexists").partitionBy("date").parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Overwrites the partitions of a table that ``df`` has rows for; the others stay."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wheelwork.operators import components, gaps, kmodes, network, routing, versions
-from wheelwork.operators.spatial import nearest
+from wheelwork.operators.spatial import nearest, relation_areas, rings
 from wheelwork.sources import readers, sinks
 
 DATA = "/root/testdata/sf0.001"
@@ -185,3 +185,38 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1), (2, 4)]
     assert not sinks.insert_batch(rows((3, 1), (2, 9)), path, ["k"])
     assert sinks.insert_batch(rows((3, 1)), path, ["k"])
+    sinks.replace_partitions(rows((1, 1), (1, 2), (2, 3)), path + "-by", ["k"])
+    sinks.replace_partitions(rows((1, 7)), path + "-by", ["k"])
+    assert sorted(map(tuple, spark.read.parquet(path + "-by").select("k", "v").collect())) == [(1, 7), (2, 3)]
+    sinks.write_csv(rows((1, 2)), path + "-csv", ";")
+    assert [tuple(r) for r in spark.read.csv(path + "-csv", sep=";", header=True).collect()] == [("1", "2")]
+    day = spark.sql("SELECT timestamp'2024-01-02 03:00:00' AS time, 1 AS k")
+    sinks.compact_day(day, path + "-day")
+    with pytest.raises(Exception, match="already exists"):
+        sinks.compact_day(day, path + "-day")
+
+
+def test_costs_without_a_bound(spark, graph):
+    edges, df = graph
+    got = {(r["source"], r["node"]): r["cost"] for r in routing.costs(df, spark.createDataFrame([(0,), (5,), (99,)], "node bigint"), "weight").collect()}
+    want = {(s, n): d for s in (0, 5, 99) for n, d in dijkstra(edges, s).items()}
+    assert got == want
+
+
+def test_rings_of_relations(spark):
+    square = [(1, "outer", 10, [1, 2, 3]), (1, "outer", 11, [1, 4, 3]), (1, "inner", 12, [5, 6, 7, 8, 5]), (2, "outer", 13, [1, 2, 3]), (2, "outer", 14, None)]
+    members = spark.createDataFrame(square, "relation bigint, role string, way bigint, nodes array<bigint>")
+    assert sorted((r["relation"], r["role"], r["nodes"]) for r in rings(members).collect()) == [(1, "inner", [5, 6, 7, 8, 5]), (1, "outer", [1, 2, 3, 4, 1])]
+    corners = [(1, 0.0, 0.0), (2, 4.0, 0.0), (3, 4.0, 4.0), (4, 0.0, 4.0), (5, 1.0, 1.0), (6, 2.0, 1.0), (7, 2.0, 2.0), (8, 1.0, 2.0)]
+    areas = relation_areas(members, spark.createDataFrame(corners, "node bigint, x double, y double"))
+    assert [tuple(r) for r in areas.collect()] == [(1, 15.0)]
+
+
+def test_stream_of_fleet(spark, tmp_path):
+    from wheelwork.streaming.rides import stream_fleet
+
+    seen = spark.sql("SELECT * FROM VALUES (1L, timestamp'2024-01-01 10:00:00'), (1L, timestamp'2024-01-01 10:05:00'), (1L, timestamp'2024-01-02 10:00:00'), (2L, timestamp'2024-01-01 10:00:00') AS t(key, time)")
+    seen.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(seen.schema).parquet(str(tmp_path / "in"))
+    stream_fleet(source).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted((r["key"], str(r["date"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-01")]

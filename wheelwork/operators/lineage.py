@@ -39,6 +39,13 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme and host, as readers outside Spark need it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate results, through Spark's own file systems."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,22 +1,25 @@
 """Searches on street graphs: shortest paths, edge betweenness, service areas.
 
-The graph is sent to every task as compressed adjacency arrays if it has at most
-``MOST_EDGES`` edges (24 bytes each; a continent's cycling network stays below); beyond
-that, ``reach`` relaxes distances with joins, level by level. Sources are spread over
-tasks; the results leave the tasks as rows.
+A graph of at most ``MOST_EDGES`` edges (24 bytes each; a continent's cycling network
+stays below) is written to the shared folder, and each worker reads it once as compressed
+adjacency arrays; the driver never holds it. Beyond that, ``costs`` relaxes distances
+with joins until none falls. Sources are spread over tasks; results leave them as rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.operators.lineage import written
+from wheelwork.operators.lineage import uri, written
 
 MOST_EDGES = 50_000_000
 
@@ -62,14 +65,33 @@ class Graph:
         return [int(self.nodes[i]) for i in reversed(out)]
 
 
-def sent(edges: DataFrame, weight: str, length: str = "length"):
-    """The graph as a broadcast variable, its size checked; parallel edges count by their least weight."""
-    least = edges.groupBy("u", "v").agg(F.min(F.struct(F.col(weight).alias("w"), F.col(length).alias("l"))).alias("x")).select("u", "v", "x.w", "x.l")
-    n = least.count()
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Graph:
+    """The graph below a path of the shared folder, once in a worker's life."""
+    fs, place = pafs.FileSystem.from_uri(path)
+    t = pq.read_table(place, filesystem=fs, columns=["u", "v", "w", "l"])
+    return Graph(*(t.column(c).to_numpy() for c in ("u", "v", "w", "l")))
+
+
+class Stored:
+    """A graph in the shared folder; ``value`` reads it, in the task that asks."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @property
+    def value(self) -> Graph:
+        return _loaded(self.path)
+
+
+def sent(edges: DataFrame, weight: str, length: str = "length") -> Stored:
+    """The graph in the shared folder, its size checked; parallel edges count by their least weight."""
+    least = edges.groupBy("u", "v").agg(F.min(F.struct(F.col(weight).cast("double").alias("w"), F.col(length).cast("double").alias("l"))).alias("x"))
+    table = written(least.select(F.col("u").cast("bigint"), F.col("v").cast("bigint"), "x.w", "x.l"), "graph")
+    n = table.count()
     if n > MOST_EDGES:
-        raise ValueError(f"{n} edges are too many to send; use reach()")
-    pdf = least.toPandas()
-    return edges.sparkSession.sparkContext.broadcast(Graph(pdf.u.to_numpy(), pdf.v.to_numpy(), pdf.w.to_numpy(), pdf.l.to_numpy()))
+        raise ValueError(f"{n} edges are too many for a worker; use costs()")
+    return Stored(uri(edges.sparkSession, table.written_to))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str = "weight", guess=None) -> DataFrame:
@@ -178,10 +200,30 @@ def service_area(edges: DataFrame, nodes: DataFrame, limit: float, weight: str =
     return nodes.select("node").distinct().repartition("node").mapInPandas(run, "node bigint, u bigint, v bigint, share double")
 
 
+def _relaxed(known: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
+    """source, node, cost after one more edge."""
+    further = known.join(edges, known["node"] == edges["u"]).select("source", F.col("v").alias("node"), (F.col("cost") + F.col(weight)).alias("cost"))
+    return known.select("source", "node", "cost").unionAll(further).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+
+
 def reach(edges: DataFrame, sources: DataFrame, weight: str, steps: int) -> DataFrame:
     """source, node, cost over at most ``steps`` edges, by joins: for graphs of any size."""
     known = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))
     for _ in range(steps):
-        further = known.join(edges, known["node"] == edges["u"]).select("source", F.col("v").alias("node"), (F.col("cost") + F.col(weight)).alias("cost"))
-        known = written(known.unionAll(further).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+        known = written(_relaxed(known, edges, weight))
+    return known
+
+
+def costs(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:
+    """source, node, cost of the cheapest path to every node in reach, by joins: for graphs of any size.
+
+    Only nodes whose cost fell in a round are followed in the next one, until none falls;
+    weights must not be negative. A pair of source and node is one row.
+    """
+    known = fresh = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct(), "costs")
+    while not fresh.isEmpty():
+        further = fresh.join(edges, fresh["node"] == edges["u"]).groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col(weight)).alias("cost"))
+        old = known.select("source", "node", F.col("cost").alias("_old"))
+        fresh = written(further.join(old, ["source", "node"], "left").where("_old IS NULL OR cost < _old").select("source", "node", "cost"), "fallen")
+        known = written(known.unionAll(fresh).groupBy("source", "node").agg(F.min("cost").alias("cost")), "costs")
     return known

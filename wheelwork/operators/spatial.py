@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,46 @@ def zonal_sum(raster: DataFrame, zones: DataFrame, zone: str, value: str, dx: fl
     return touched.join(raster, ["col", "row"]).groupBy(zone).agg(F.sum(F.col(value) * share).alias("total"))
 
 
+def _stitched(ways: list[list[int]]) -> list[list[int]]:
+    """Closed rings out of ways that share ends; what does not close is left out."""
+    rings, left = [], [list(w) for w in ways if len(w) > 1]
+    while left:
+        ring = left.pop(0)
+        while ring[0] != ring[-1]:
+            at = next((i for i, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
+            if at is None:
+                break
+            way = left.pop(at)
+            ring += (way if way[0] == ring[-1] else way[::-1])[1:]
+        if ring[0] == ring[-1]:
+            rings.append(ring)
+    return rings
+
+
+def rings(members: DataFrame) -> DataFrame:
+    """relation, role, ring, nodes: closed rings of each relation's ways (relation, role, way, nodes).
+
+    Ways are taken by number and turned round where needed. A relation's outer rings
+    less its inner ones are its area. A relation has some thousand ways at most.
+    """
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("way")
+        found = _stitched([[int(x) for x in w] for w in pdf["nodes"] if w is not None])
+        return pd.DataFrame([(pdf["relation"].iloc[0], pdf["role"].iloc[0], i, r) for i, r in enumerate(found)], columns=["relation", "role", "ring", "nodes"])
+
+    return members.groupBy("relation", "role").applyInPandas(stitch, "relation bigint, role string, ring int, nodes array<bigint>")
+
+
+def relation_areas(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relation, area: planar area of the outer rings less that of the inner ones; ``nodes`` has node, x, y."""
+    corners = rings(members).select("relation", "role", "ring", F.posexplode("nodes").alias("i", "node")).join(nodes, "node")
+    turn = corners.groupBy("relation", "role", "ring").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    twice = F.aggregate(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, d: s + d)
+    sign = F.when(F.col("role") == "inner", -1.0).otherwise(1.0)
+    return turn.groupBy("relation").agg(F.sum(sign * F.abs(twice) / 2).alias("area"))
+
+
 def degrees_for(metres: float, lat: float = 49.45) -> tuple[float, float]:
     """Degrees of longitude and latitude that make up some metres near a latitude."""
     return metres / (111_320 * math.cos(math.radians(lat))), metres / 111_320

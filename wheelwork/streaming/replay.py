@@ -10,7 +10,11 @@ from wheelwork.streaming.rides import stream_rides
 
 
 def replay_rides(spark: SparkSession, path: str, batches: int = 3) -> DataFrame:
-    """bike, start_time, finish_time, start_place, finish_place, from files of consecutive time spans."""
+    """bike, start_time, finish_time, start_place, finish_place, of consecutive time spans.
+
+    Each span is written as it comes, in as many files as it has tasks, and the stream is
+    run until it has read them; its state goes on with the next span.
+    """
     k = F.get_json_object("props", "$.k").cast("bigint")
     rows = spark.read.parquet(path).select(F.col("user_id").alias("key"), F.col("ts").alias("time"), k.alias("place"))
     top = fresh_path(spark, "stream")
@@ -20,8 +24,8 @@ def replay_rides(spark: SparkSession, path: str, batches: int = 3) -> DataFrame:
         part = rows
         part = part.where(F.col("time") >= F.lit(lo)) if lo else part
         part = part.where(F.col("time") < F.lit(hi)) if hi else part
-        part.coalesce(1).write.mode("append").parquet(f"{top}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
-    stream = stream_rides(source).writeStream.format("parquet").option("checkpointLocation", f"{top}/state").option("path", f"{top}/out").outputMode("append").trigger(availableNow=True).start()
-    stream.awaitTermination()
+        part.write.mode("append").parquet(f"{top}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
+        stream = stream_rides(source).writeStream.format("parquet").option("checkpointLocation", f"{top}/state").option("path", f"{top}/out").outputMode("append").trigger(availableNow=True).start()
+        stream.awaitTermination()
     return spark.read.parquet(f"{top}/out").withColumnRenamed("key", "bike")

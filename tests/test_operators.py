@@ -154,6 +154,16 @@ def test_kmodes(spark):
     assert cost == 2 and ("b", "z") in centres
 
 
+def test_first_centres(spark):
+    rows = [("a", "x")] * 5 + [("a", "y")] * 2 + [("b", "z")] * 4 + [("c", None)]
+    counted = spark.createDataFrame(rows, "p string, q string").groupBy("p", "q").agg(F.count("*").alias("_n"))
+    # densities by hand: (a,x) (7+5)/24, (a,y) (7+2)/24, (b,z) (4+4)/24, (c,-) (1+1)/24
+    assert kmodes.first_centres(counted, ["p", "q"], 3, 1, "cao") == [("a", "x"), ("b", "z"), ("a", "y")]
+    # values by frequency: a b c and x z y
+    assert kmodes.first_centres(counted, ["p", "q"], 2, 1, "huang") == [("a", "x"), ("b", "z")]
+    assert len(kmodes.first_centres(counted, ["p", "q"], 9, 1, "cao")) == 4 == len(kmodes.first_centres(counted, ["p", "q"], 9, 1, "huang"))
+
+
 def test_sources(spark, tmp_path):
     place = {"uid": 5, "lat": 49.0, "lng": 11.0, "bike": False, "spot": True, "name": "S", "number": 12, "bike_racks": 3, "special_racks": 0, "bike_list": [{"number": "b1", "bike_type": 4}]}
     free = place | {"uid": 6, "bike": True, "spot": False, "bike_list": [{"number": "b2", "bike_type": 4}, {"number": "b3", "bike_type": None}]}

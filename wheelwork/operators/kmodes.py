@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wheelwork.operators.lineage import drop_written, written
+
 
 def _distance(columns: list[str], centre: tuple):
     return sum(((~F.col(c).eqNullSafe(F.lit(v))).cast("int") for c, v in zip(columns, centre, strict=True)), F.lit(0))
@@ -21,11 +23,56 @@ def assign(rows: DataFrame, columns: list[str], centres: list[tuple]) -> DataFra
 
 
 def first_centres(counted: DataFrame, columns: list[str], k: int, seed: int, way: str) -> list[tuple]:
-    """``frequent``: the most frequent combinations; ``random``: seeded draw of distinct ones."""
+    """First centres by ``way``, all of them combinations of the table.
+
+    ``frequent``: the most frequent ones; ``random``: a seeded draw; ``cao``: the densest
+    one, then always the one whose least (distance times density) to those taken is
+    greatest; ``huang``: for each column the values by frequency are dealt to the centres,
+    and each is replaced by its nearest combination that is not taken. Ties go by value.
+    """
+    if way == "cao":
+        return _by_density(counted, columns, k)
+    if way == "huang":
+        return _by_values(counted, columns, k)
     order = [F.desc("_n"), *columns] if way == "frequent" else [F.xxhash64(F.lit(seed), *columns), *columns]
     return [tuple(r) for r in counted.orderBy(*order).limit(k).select(*columns).collect()]
 
 
+def _by_density(counted: DataFrame, columns: list[str], k: int) -> list[tuple]:
+    total = counted.agg(F.sum("_n").alias("_all"))
+    dense = counted
+    for c in columns:
+        share = counted.groupBy(F.col(c).alias(f"_{c}")).agg(F.sum("_n").alias(f"_d_{c}"))
+        dense = dense.join(share, F.col(c).eqNullSafe(F.col(f"_{c}"))).drop(f"_{c}")
+    dense = written(dense.join(F.broadcast(total)).withColumn("_density", sum((F.col(f"_d_{c}") for c in columns), F.lit(0)) / (len(columns) * F.col("_all"))).select(*columns, "_density"))
+    taken = [tuple(dense.orderBy(F.desc("_density"), *columns).select(*columns).first())]
+    while len(taken) < k:
+        reach = [_distance(columns, c) * F.col("_density") for c in taken]
+        best = dense.withColumn("_r", F.least(*reach) if len(reach) > 1 else reach[0]).where("_r > 0").orderBy(F.desc("_r"), *columns).select(*columns).first()
+        if best is None:
+            break
+        taken.append(tuple(best))
+    drop_written(dense)
+    return taken
+
+
+def _by_values(counted: DataFrame, columns: list[str], k: int) -> list[tuple]:
+    values = []
+    for c in columns:
+        values.append([r[0] for r in counted.groupBy(c).agg(F.sum("_n").alias("n")).orderBy(F.desc("n"), c).limit(k).collect()])
+    taken: list[tuple] = []
+    for j in range(k):
+        aim = tuple(v[j % len(v)] for v in values)
+        free = counted
+        for t in taken:
+            free = free.where(_distance(columns, t) > 0)
+        best = free.orderBy(_distance(columns, aim), F.desc("_n"), *columns).select(*columns).first()
+        if best is None:
+            break
+        taken.append(tuple(best))
+    return taken
+
+
 def fit(rows: DataFrame, columns: list[str], k: int, rounds: int = 20, restarts: int = 1, seed: int = 1, way: str = "frequent") -> tuple[list[tuple], float]:
     """Centres and cost of the best restart."""
     counted = rows.groupBy(*columns).agg(F.count("*").alias("_n")).cache()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wheelwork.operators.components import components
+from wheelwork.operators.lineage import written
+
 
 def start_and_target_nodes(edges: DataFrame, turns: DataFrame) -> DataFrame:
     """node, is_start, is_target: nodes without an edge in start, those without one out are targets; sources of turns are both.
@@ -80,19 +83,26 @@ def segment_counts(marked: DataFrame) -> DataFrame:
     return marked.groupBy("lacking").agg(F.count("*").alias("n"), F.countDistinct("u", "v").alias("segments"))
 
 
-def components_after(gap_edges: DataFrame, roots: DataFrame, lengths: DataFrame) -> DataFrame:
-    """gap_id, connects, mean_length: whether a gap joins components of the network, and their mean length with it.
+def components_after(gap_edges: DataFrame, base: DataFrame) -> DataFrame:
+    """gap_id, connects, mean_length: whether the network has fewer components with a gap, and their mean length with it.
 
-    ``gap_edges`` has gap_id, u, v, length and is connected in itself; ``roots`` has node,
-    component; ``lengths`` has component, length. Labels of the components are enough:
-    a gap that touches k of n components leaves n - k + 1.
+    ``gap_edges`` has gap_id, u, v, key, length, ``base`` u, v, key, length. A gap need not hang
+    together or touch the network: within each gap, its ends count as the component they lie
+    in, or for themselves, and the components of that small graph say how many the network has
+    after it. Edges that the network has already (u, v, key) add no length.
     """
-    nodes = gap_edges.select("gap_id", F.col("u").alias("node")).unionAll(gap_edges.select("gap_id", F.col("v").alias("node"))).distinct()
-    touched = nodes.join(roots, "node", "left").groupBy("gap_id").agg(F.countDistinct("component").alias("k"))
-    own = gap_edges.groupBy("gap_id").agg(F.sum("length").alias("own"))
-    every = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total"))
-    joined = touched.join(own, "gap_id").join(F.broadcast(every))
-    return joined.select("gap_id", (F.col("k") >= 2).alias("connects"), ((F.col("total") + F.col("own")) / (F.col("n") - F.col("k") + 1)).alias("mean_length"))
+    roots = written(components(base), "roots")
+    every = base.join(roots, base["u"] == roots["node"]).agg(F.countDistinct("component").alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total"))
+    place = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    placed = written(gap_edges.join(place("u"), "u", "left").join(place("v"), "v", "left"), "placed")
+    end = lambda c: F.struct("gap_id", F.coalesce(f"_{c}", c).alias("label"))
+    apart = components(placed.select(end("u").alias("u"), end("v").alias("v")).distinct())
+    parts = apart.groupBy(F.col("node.gap_id").alias("gap_id")).agg(F.countDistinct("component").alias("parts"))
+    touched = placed.select("gap_id", F.explode(F.array("_u", "_v")).alias("c")).groupBy("gap_id").agg(F.countDistinct("c").alias("k"))
+    own = placed.dropDuplicates(["gap_id", "u", "v", "key"]).join(base.select("u", "v", "key").distinct(), ["u", "v", "key"], "left_anti").groupBy("gap_id").agg(F.sum("length").alias("own"))
+    joined = parts.join(touched, "gap_id").join(own, "gap_id", "left").join(F.broadcast(every))
+    after = F.col("n") - F.col("k") + F.col("parts")
+    return joined.select("gap_id", (after < F.col("n")).alias("connects"), ((F.col("total") + F.coalesce("own", F.lit(0.0))) / after).alias("mean_length"))
 
 
 def protected_cells(reachable: DataFrame, edge_cells: DataFrame, infra: DataFrame) -> DataFrame:

@@ -20,12 +20,16 @@ def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def open_oneways(edges: DataFrame) -> DataFrame:
-    """Adds the way back where a one-way street is open to bicycles both ways; it replaces an edge already there."""
+    """Adds the way back where a one-way street is open to bicycles both ways; it replaces an edge already there.
+
+    Its ends (u, v; ux, uy, vx, vy) and its ``geometry`` (array of points), where given, are turned round.
+    """
     t = F.col("tags")
     both = F.col("oneway") & (T.has(t, "oneway:bicycle", "no") | T.has(t, "cycleway", "opposite"))
     kept = edges.withColumn("oneway", F.col("oneway") & ~both)
-    swap = {"u": "v", "v": "u"}
-    added = edges.where(both).select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns]).withColumn("oneway", F.lit(False)).withColumn("reversed", F.lit(True))
+    swap = {"u": "v", "v": "u", "ux": "vx", "vx": "ux", "uy": "vy", "vy": "uy"}
+    way_back = lambda c: F.reverse(c) if c == "geometry" else F.col(swap.get(c, c))
+    added = edges.where(both).select(*[way_back(c).alias(c) for c in edges.columns]).withColumn("oneway", F.lit(False)).withColumn("reversed", F.lit(True))
     return kept.join(added.select("u", "v", "key"), ["u", "v", "key"], "left_anti").select(*edges.columns).unionByName(added)
 
 
@@ -42,14 +46,15 @@ def robust_slope(slopes, rise, length):
     return F.when(F.size(slopes) > 2, median).otherwise(rise / length * 100)
 
 
-def slopes_along(elevations, length, compat: bool = False):
+def slopes_along(elevations, length, degrees=None, step: float = 5.0):
     """Percent slopes of a line's segments from the elevations of its points.
 
-    ``compat`` divides by length over the segment's own length in degrees, as some
-    published figures do (it makes slopes of longer lines nearly 0).
+    With ``degrees``, the line's length in degrees, a segment's rise is divided by the
+    line's length over the degrees of one ``step`` metres of it, as some published figures
+    do (it makes slopes of longer lines nearly 0).
     """
     n = F.size(elevations) - 1
-    run = length / n if not compat else length * n
+    run = length / n if degrees is None else length / (degrees / (length / step))
     return F.when(n < 1, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: (F.get(elevations, i) - F.get(elevations, i - 1)) / run * 100))
 
 

@@ -130,6 +130,18 @@ def summary(rows: DataFrame, x: str, at: list[int], by: list[str] = ()) -> DataF
     return found.select(*by, "n", "mean", "most", "least", F.get("_c", F.lit(0)).alias("median"), *[F.get("_c", F.lit(i + 1)).alias(f"p{p}") for i, p in enumerate(at)])
 
 
+def counted_percentiles(counts: DataFrame, x: str, n: str, at: tuple[int, ...]) -> DataFrame:
+    """One row with pNN for each of ``at``: interpolated percentiles of values that stand ``n`` times each."""
+    run = ranked(counts, [F.col(x)], n).select(F.col(x).alias("x"), (F.col("_run") - F.col(n)).alias("lo"), F.col("_run").alias("hi"), "_all")
+    held = lambda rank: (F.col("lo") <= rank) & (rank < F.col("hi"))
+    out = []
+    for p in at:
+        h = (F.col("_all") - 1) * (p / 100)
+        part = h - F.floor(h)
+        out.append((F.sum(F.when(held(F.floor(h)), F.col("x") * (1 - part))) + F.coalesce(F.sum(F.when(held(F.floor(h) + 1), F.col("x") * part)), F.lit(0.0))).alias(f"p{p}"))
+    return run.agg(*out)
+
+
 def exact_percentiles(rows: DataFrame, by: str, x: str, at: list[int], buckets: int = 4096) -> DataFrame:
     """group, p, value: interpolated percentiles without all values of a group in one task.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wheelwork.operators import components as C
 from wheelwork.operators import evaluation as E
 from wheelwork.operators import network as N
 from wheelwork.plans.inputs import STREETS, streets, table
@@ -195,15 +195,35 @@ def reversed_keys(spark, d):
     return k.groupBy(F.concat(F.col("e.u").cast("string"), F.lit(">"), F.col("e.v").cast("string"), F.lit("#"), F.col("e.key").cast("string")).alias("k")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {STREETS}, gap AS (SELECT u, v, length, osmid FROM streets WHERE osmid % 97 = 0), base AS (SELECT u, v, length FROM streets WHERE quantity >= 49 AND share >= 0.1),
-e AS (SELECT u AS a, v AS b FROM base UNION SELECT v, u FROM base), r(node, root) USING KEY (node) AS (SELECT a, min(a) FROM e GROUP BY 1 UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.root < k.root GROUP BY 1),
-l AS (SELECT root, sum(length) AS s FROM base JOIN r ON r.node = u GROUP BY 1), t AS (SELECT count(*) AS n, sum(s) AS total FROM l),
-p AS (SELECT osmid, u AS node FROM gap UNION SELECT osmid, v FROM gap), k AS (SELECT osmid, count(DISTINCT root) AS k FROM p LEFT JOIN r USING (node) GROUP BY 1), o AS (SELECT osmid, sum(length) AS own FROM gap GROUP BY 1)
-SELECT osmid AS gap_id, k >= 2 AS connects, round((total + own) / (n - k + 1), 1) AS mean_length FROM k JOIN o USING (osmid), t""")
+# places by kind of width and share, so that the network falls into many parts
+_LAYERED = """li AS (SELECT l_orderkey AS gap_id, l_linenumber AS line, l_orderkey * 10 + l_linenumber AS key, l_suppkey * 10000 + l_quantity::BIGINT * 100 + round(l_discount * 100)::BIGINT + 1000000000000 AS u,
+  l_partkey * 10000 + l_quantity::BIGINT * 100 + round(l_discount * 100)::BIGINT AS v, l_extendedprice AS length, l_returnflag AS flag FROM lineitem),
+base AS (SELECT u, v, key, length FROM li WHERE flag <> 'R'),
+gap AS (SELECT gap_id, u, v, key, length FROM li UNION ALL SELECT * FROM (SELECT gap_id, v AS u, lead(v) OVER (PARTITION BY gap_id ORDER BY line, v) AS v, -key AS key, length / 10 FROM li) WHERE v IS NOT NULL AND key % 3 <> 0)"""
+
+
+def _layered(spark, d):
+    """The network (items that were kept) and gaps (all items of an order, and links between most of its neighbouring ones)."""
+    layer = F.col("l_quantity").cast("bigint") * 100 + F.round(F.col("l_discount") * 100).cast("bigint")
+    li = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("gap_id"), "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), (F.col("l_suppkey") * 10000 + layer + 1_000_000_000_000).alias("u"),
+        (F.col("l_partkey") * 10000 + layer).alias("v"), F.col("l_extendedprice").alias("length"), F.col("l_returnflag").alias("flag"),
+    )
+    after = F.lead("v").over(Window.partitionBy("gap_id").orderBy("l_linenumber", "v"))
+    links = li.select("gap_id", F.col("v").alias("u"), after.alias("v"), (-F.col("key")).alias("key"), (F.col("length") / 10).alias("length")).where("v IS NOT NULL AND key % 3 <> 0")
+    return li.where("flag <> 'R'").select("u", "v", "key", "length"), li.select("gap_id", "u", "v", "key", "length").unionByName(links)
+
+
+@query(f"""WITH RECURSIVE {_LAYERED}, e AS (SELECT u AS a, v AS b FROM base UNION SELECT v, u FROM base),
+r(node, root) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM e GROUP BY 1 UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.root < k.root GROUP BY 1),
+t AS (SELECT (SELECT count(DISTINCT root) FROM r) AS n, (SELECT sum(length) FROM base) AS total),
+p AS (SELECT gap_id, coalesce(a.root, g.u) AS a, coalesce(b.root, g.v) AS b, a.root AS ra, b.root AS rb FROM gap g LEFT JOIN r a ON a.node = g.u LEFT JOIN r b ON b.node = g.v),
+l AS (SELECT gap_id, a, b FROM p UNION SELECT gap_id, b, a FROM p),
+c(gap_id, node, root) USING KEY (gap_id, node) AS (SELECT gap_id, a, least(a, min(b)) FROM l GROUP BY 1, 2 UNION SELECT l.gap_id, l.b, min(c.root) FROM c JOIN l ON l.gap_id = c.gap_id AND l.a = c.node JOIN recurring.c AS k ON k.gap_id = l.gap_id AND k.node = l.b WHERE c.root < k.root GROUP BY 1, 2),
+parts AS (SELECT gap_id, count(DISTINCT root) AS parts FROM c GROUP BY 1), k AS (SELECT gap_id, count(DISTINCT x) AS k FROM (SELECT gap_id, ra AS x FROM p UNION ALL SELECT gap_id, rb FROM p) GROUP BY 1),
+o AS (SELECT gap_id, sum(length) AS own FROM (SELECT gap_id, u, v, key, any_value(length) AS length FROM gap GROUP BY 1, 2, 3, 4) x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.u = x.u AND b.v = x.v AND b.key = x.key) GROUP BY 1)
+SELECT gap_id, parts < k AS connects, round((total + coalesce(own, 0)) / (n - k + parts), 3) AS mean_length FROM parts JOIN k USING (gap_id) LEFT JOIN o USING (gap_id), t""")
 def components_after_gap(spark, d):
-    """Gaps are the streets of every 97th way, the network those of the widest streets with a large share."""
-    s = streets(spark, d)
-    base = s.where("quantity >= 49 AND share >= 0.1").select("u", "v", "length")
-    gap = s.where("osmid % 97 = 0").select(F.col("osmid").alias("gap_id"), "u", "v", "length")
-    out = E.components_after(gap, C.components(base), C.component_lengths(base))
-    return out.select("gap_id", "connects", F.round("mean_length", 1).alias("mean_length"))
+    """Every order is a gap, the other orders' kept items are the network."""
+    base, gap = _layered(spark, d)
+    return E.components_after(gap, base).select("gap_id", "connects", F.round("mean_length", 3).alias("mean_length"))

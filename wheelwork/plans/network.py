@@ -71,11 +71,16 @@ def turn_penalty(spark, d):
     return _tagged(spark, d).select("osmid", "key", T.turn_penalty(turn, T.street_class(F.col("tags")), F.lit(3)).alias("penalty"))
 
 
-@query(f"""WITH {STREETS}, o AS (SELECT *, flag = 'N' AS oneway, quantity > 25 AS reversed, tax < 0.02 AS open FROM streets),
-e AS (SELECT u, v, key, osmid, oneway AND NOT (oneway AND open) AS oneway, reversed FROM o UNION ALL SELECT v, u, key, osmid, false, true FROM o WHERE oneway AND open)
-SELECT oneway, reversed, count(*) AS n FROM e GROUP BY 1, 2""")
+@query(f"""WITH {STREETS}, o AS (SELECT *, flag = 'N' AS oneway, quantity > 25 AS reversed, tax < 0.02 AS open, u % 977 / 10.0::DOUBLE AS ux, u % 31 / 10.0::DOUBLE AS uy, v % 977 / 10.0::DOUBLE AS vx, v % 31 / 10.0::DOUBLE AS vy FROM streets)
+SELECT u, v, key, osmid, oneway AND NOT open AS oneway, reversed, ux, uy, vx, vy, concat_ws(';', ux, quantity, vx) AS line FROM o
+UNION ALL SELECT v, u, key, osmid, false, true, vx, vy, ux, uy, concat_ws(';', vx, quantity, ux) FROM o WHERE oneway AND open""")
 def oneway_fix(spark, d):
-    return network.open_oneways(_tagged(spark, d)).groupBy("oneway", "reversed").agg(F.count("*").alias("n"))
+    """Streets and the ways back that bicycles may take, with ends and geometry turned round."""
+    at = lambda c, m: (F.col(c) % m / 10.0).alias(c + ("x" if m == 977 else "y"))
+    e = _tagged(spark, d).select("*", at("u", 977), at("u", 31), at("v", 977), at("v", 31))
+    e = e.withColumn("geometry", F.array("ux", "quantity", "vx"))
+    line = F.array_join(F.transform("geometry", lambda x: x.cast("string")), ";")
+    return network.open_oneways(e).select("u", "v", "key", "osmid", "oneway", "reversed", "ux", "uy", "vx", "vy", line.alias("line"))
 
 
 @query(f"WITH {STREETS} SELECT osmid, key FROM streets WHERE NOT (tax >= 0.02 AND quantity > 25)")
@@ -225,11 +230,12 @@ def _gap_table(spark, d):
     return r.groupBy(F.col("l_orderkey").alias("gap_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("gap"))
 
 
-@query("""WITH g AS (SELECT l_orderkey AS gap_id, l_partkey AS edge, sum(l_extendedprice) AS length, avg(l_quantity) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
-SELECT gap_id, round(sum(length), 4) AS length, round(avg(b), 6) AS mean_betweenness, max(b) AS max_betweenness, min(b) AS min_betweenness, round(sum(length * b), 2) AS benefit FROM g GROUP BY 1""")
+@query("""WITH g AS (SELECT l_orderkey AS gap_id, l_partkey AS edge, sum(round(l_extendedprice * 100)) AS length, max(l_quantity) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT gap_id, sum(length) AS length, avg(b) AS mean_betweenness, max(b) AS max_betweenness, min(b) AS min_betweenness, sum(length) * (sum(b) / count(*)) AS benefit FROM g GROUP BY 1""")
 def gap_metrics(spark, d):
-    e = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("gap_id"), F.col("l_partkey").alias("edge")).agg(F.sum("l_extendedprice").alias("length"), F.avg("l_quantity").alias("betweenness"))
-    return gaps.metrics(e).select("gap_id", F.round("length", 4).alias("length"), F.round("mean_betweenness", 6).alias("mean_betweenness"), "max_betweenness", "min_betweenness", F.round("benefit", 2).alias("benefit"))
+    """Lengths in whole centimetres, so sums do not depend on their order."""
+    e = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("gap_id"), F.col("l_partkey").alias("edge")).agg(F.sum(F.round(F.col("l_extendedprice") * 100)).alias("length"), F.max("l_quantity").alias("betweenness"))
+    return gaps.metrics(e)
 
 
 _GAPS = "g AS (SELECT l_orderkey AS gap_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS gap FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"

@@ -64,6 +64,18 @@ def _ring_sql(x: str, y: str, ring) -> str:
     return f"(({' + '.join(cross)}) % 2 = 1)"
 
 
+def _side_sql(ax, ay, bx, by, x, y) -> str:
+    return f"(({bx}) - ({ax})) * (({y}) - ({ay})) - (({by}) - ({ay})) * (({x}) - ({ax})) > 0"
+
+
+def crosses_sql(x1, y1, x2, y2, ring) -> str:
+    """Whether the stretch between two points crosses a side of the ring."""
+    sides = zip(ring, [*ring[1:], ring[0]], strict=True)
+    return " OR ".join(
+        f"(({_side_sql(x1, y1, x2, y2, a, b)}) <> ({_side_sql(x1, y1, x2, y2, e, f)}) AND ({_side_sql(a, b, e, f, x1, y1)}) <> ({_side_sql(a, b, e, f, x2, y2)}))" for (a, b), (e, f) in sides
+    )
+
+
 @query(f"WITH {POINTS} SELECT id, {_ring_sql('x', 'y', RING)} AS inside FROM points")
 def point_in_polygon(spark, d):
     return P.flag_zones(points(spark, d), "x", "y", {"inside": RING}).select("id", "inside")

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wheelwork.functions import text as X
-from wheelwork.operators import gaps
+from wheelwork.operators import gaps, spatial
 from wheelwork.operators import sets as U
 from wheelwork.operators import statistics as S
 from wheelwork.plans.inputs import POINTS, POSITIONS, STREETS, points, positions, streets, table
+from wheelwork.plans.places import RING, _ring_sql, crosses_sql
 
 QUERIES, SQL = {}, {}
 
@@ -58,11 +59,18 @@ def either_contains(spark, d):
     return table(spark, d, "part").where(F.contains("p_name", F.lit("ring")) | F.contains("p_type", F.lit("ECO"))).select(F.col("p_partkey").alias("id"))
 
 
-@query(f"WITH {STREETS} SELECT osmid, key FROM streets WHERE share >= 0.13 / 2 AND osmid NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+_WAYS = "CASE WHEN key = 1 THEN NULL WHEN key % 2 = 0 THEN [osmid] ELSE [osmid, osmid + key] END"
+
+
+@query(f"""WITH {STREETS}, infra AS (SELECT o_orderkey AS i FROM orders WHERE o_orderstatus = 'F'), e AS (SELECT row_number() OVER () AS n, osmid, key, unnest({_WAYS}) AS w FROM streets WHERE share >= 0.13 / 2)
+SELECT osmid, key FROM e GROUP BY n, osmid, key HAVING count(*) FILTER (w NOT IN (SELECT i FROM infra)) > 0""")
 def relevant_edges(spark, d):
-    """Edges with a share of at least half of 0.13 on ways without infrastructure (those of finished orders have it)."""
+    """Edges with a share of at least half of 0.13 that lack infrastructure (ways of finished orders have it); every first line of an order has no way, others one or two."""
     infra = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("osmid"))
-    return gaps.relevant(streets(spark, d), infra, "share", 0.13 / 2).select("osmid", "key")
+    ways = F.when(F.col("key") == 1, None).when(F.col("key") % 2 == 0, F.array("osmid")).otherwise(F.array("osmid", F.col("osmid") + F.col("key")))
+    # a line of an order is an edge of its own
+    e = streets(spark, d).select("u", "v", F.struct("osmid", "key").alias("key"), "share", ways.alias("osmid"))
+    return gaps.relevant(e, infra, "share", 0.13 / 2).select("key.*")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS id, list(l_partkey) FILTER (l_returnflag <> 'A') AS a, list(l_suppkey) FILTER (l_linestatus = 'F') AS b FROM lineitem GROUP BY 1) SELECT id FROM a WHERE len(a) > 1 AND len(b) > 1""")
@@ -72,14 +80,14 @@ def both_routes_valid(spark, d):
     return r.where("size(a) > 1 AND size(b) > 1").select("id")
 
 
-@query(f"WITH {POINTS}, e AS (SELECT a.id AS u, b.id AS v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, a.id % 5 = 0 AS turn FROM points a JOIN points b ON b.id = a.id + 1) SELECT u, v FROM e WHERE NOT turn AND ((ux BETWEEN -0.2 AND 0.2 AND uy BETWEEN -0.2 AND 0.2) OR (vx BETWEEN -0.2 AND 0.2 AND vy BETWEEN -0.2 AND 0.2))")
+@query(f"""WITH {POINTS}, e AS (SELECT a.id AS u, b.id AS v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, a.id % 5 = 0 AS turn FROM points a JOIN points b ON b.id = a.id + 1) 
+SELECT u, v FROM e WHERE NOT turn AND (({_ring_sql('ux', 'uy', RING)}) OR ({_ring_sql('vx', 'vy', RING)}) OR {crosses_sql('ux', 'uy', 'vx', 'vy', RING)})""")
 def streets_in_area(spark, d):
-    """Street edges, turns left out, with an end in the area."""
+    """Street edges, turns left out, that the area contains or that cross it."""
     p = points(spark, d)
     other = p.select((F.col("id") - 1).alias("id"), F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    e = p.join(other, "id").select(F.col("id").alias("u"), "v", "x", "y", "vx", "vy", F.when(F.col("id") % 5 == 0, 0.0).alias("turning_angle"))
-    inside = lambda x, y: F.col(x).between(-0.2, 0.2) & F.col(y).between(-0.2, 0.2)
-    return e.where("turning_angle IS NULL").where(inside("x", "y") | inside("vx", "vy")).select("u", "v")
+    e = p.join(other, "id").select(F.col("id").alias("u"), "v", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("vx").alias("x2"), F.col("vy").alias("y2"), F.when(F.col("id") % 5 == 0, 0.0).alias("turning_angle"))
+    return spatial.with_area(e.where("turning_angle IS NULL"), RING).where("touching").select("u", "v")
 
 
 @query(f"WITH {POSITIONS} SELECT bike, time, place FROM positions ORDER BY bike, time, place LIMIT 1000")
@@ -166,14 +174,14 @@ def percentiles_by_histogram(spark, d):
 
 
 @query("""WITH g AS (SELECT DISTINCT l_orderkey AS gap_id, l_partkey AS edge, l_partkey % 1000 + 1.0 AS length FROM lineitem WHERE l_returnflag = 'R'), t AS (SELECT gap_id, sum(length) AS l FROM g GROUP BY 1),
-o AS (SELECT sum(a.length) / least(any_value(x.l), any_value(y.l)) AS o FROM g a JOIN g b ON a.edge = b.edge AND a.gap_id < b.gap_id JOIN t x ON x.gap_id = a.gap_id JOIN t y ON y.gap_id = b.gap_id GROUP BY a.gap_id, b.gap_id)
-SELECT round(avg((o > 0.9)::INT), 9) AS above, round(quantile_cont(o, 0.25), 9) AS q1, round(median(o), 9) AS q2, round(quantile_cont(o, 0.75), 9) AS q3 FROM o""")
+o AS (SELECT sum(a.length) / least(any_value(x.l), any_value(y.l)) AS o FROM g a JOIN g b ON a.edge = b.edge AND a.gap_id < b.gap_id JOIN t x ON x.gap_id = a.gap_id JOIN t y ON y.gap_id = b.gap_id GROUP BY a.gap_id, b.gap_id),
+s AS (SELECT list(o ORDER BY o) AS os, count(*) AS m, count(*) FILTER (o > 0.9) AS over FROM o), n AS (SELECT count(DISTINCT gap_id) AS g FROM g), z AS (SELECT os, over, g * (g - 1) AS pairs, g * (g - 1) - 2 * m AS zeros FROM s, n),
+r AS (SELECT p, (pairs - 1) * p / 100.0 AS h, * FROM z, (SELECT unnest([25, 50, 75]) AS p)), v AS (SELECT p, h, CASE WHEN floor(h) < zeros THEN 0.0 ELSE os[((floor(h) - zeros) // 2 + 1)::BIGINT] END AS lo, CASE WHEN ceil(h) < zeros THEN 0.0 ELSE os[((ceil(h) - zeros) // 2 + 1)::BIGINT] END AS hi FROM r)
+SELECT (SELECT round(2.0 * over / pairs, 12) FROM z) AS above, max(CASE WHEN p = 25 THEN round(lo + (hi - lo) * (h - floor(h)), 9) END) AS p25, max(CASE WHEN p = 50 THEN round(lo + (hi - lo) * (h - floor(h)), 9) END) AS p50, max(CASE WHEN p = 75 THEN round(lo + (hi - lo) * (h - floor(h)), 9) END) AS p75 FROM v""")
 def overlap_quartiles(spark, d):
-    """Share of overlaps above 0.9, and quartiles."""
+    """Share of overlaps above 0.9, and quartiles, over all ordered pairs of gaps; pairs without a shared edge are zeros."""
     e = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("gap_id"), F.col("l_partkey").alias("edge"), (F.col("l_partkey") % 1000 + 1.0).cast("double").alias("length")).distinct()
-    q = F.expr("percentile(overlap, array(0.25, 0.5, 0.75))")
-    out = gaps.overlaps(e).agg(F.avg((F.col("overlap") > 0.9).cast("int")).alias("above"), q.alias("q"))
-    return out.select(F.round("above", 9).alias("above"), *[F.round(F.get("q", F.lit(i)), 9).alias(f"q{i + 1}") for i in range(3)])
+    return gaps.overlap_summary(e).select(F.round("above", 12).alias("above"), *[F.round(f"p{p}", 9).alias(f"p{p}") for p in (25, 50, 75)])
 
 
 @query(f"""WITH {_RIDES}, h AS (SELECT 'minutes' AS "column", minutes AS x, 100.0 AS most FROM rides UNION ALL SELECT 'distance', distance, 5000.0 FROM rides UNION ALL SELECT 'speed', distance / minutes * 0.06, 25.0 FROM rides)

@@ -12,7 +12,7 @@ from wheelwork.operators import spatial as P
 from wheelwork.operators.lineage import fresh_path, written
 from wheelwork.plans.inputs import POINTS, POSITIONS, STREETS, points, positions, streets, table
 from wheelwork.plans.network import HIGHWAYS, MOVES, _gap_table, _moves
-from wheelwork.plans.places import RING, _ring_sql
+from wheelwork.plans.places import RING, _ring_sql, crosses_sql
 from wheelwork.sources import sinks
 
 QUERIES, SQL = {}, {}
@@ -50,21 +50,10 @@ def ways_in_area(spark, d):
     return P.ways_with_node_in(_ways(spark, d), RING).select("way")
 
 
-def _side_sql(ax, ay, bx, by, x, y) -> str:
-    return f"(({bx}) - ({ax})) * (({y}) - ({ay})) - (({by}) - ({ay})) * (({x}) - ({ax})) > 0"
-
-
-def _crosses_sql() -> str:
-    sides = zip(RING, [*RING[1:], RING[0]], strict=True)
-    return " OR ".join(
-        f"(({_side_sql('x1', 'y1', 'x2', 'y2', a, b)}) <> ({_side_sql('x1', 'y1', 'x2', 'y2', e, f)}) AND ({_side_sql(a, b, e, f, 'x1', 'y1')}) <> ({_side_sql(a, b, e, f, 'x2', 'y2')}))" for (a, b), (e, f) in sides
-    )
-
-
 _IN = [_ring_sql(f"x{i}", f"y{i}", RING) for i in (1, 2)]
 
 
-@query(f"WITH {_PIECES} SELECT id, ({_IN[0]} AND {_IN[1]}) AND NOT ({_crosses_sql()}) AS contained, {_IN[0]} OR {_IN[1]} OR {_crosses_sql()} AS touching FROM pieces")
+@query(f"WITH {_PIECES} SELECT id, ({_IN[0]} AND {_IN[1]}) AND NOT ({crosses_sql('x1', 'y1', 'x2', 'y2', RING)}) AS contained, {_IN[0]} OR {_IN[1]} OR {crosses_sql('x1', 'y1', 'x2', 'y2', RING)} AS touching FROM pieces")
 def edges_and_area(spark, d):
     return P.with_area(_pieces(spark, d), RING).select("id", "contained", "touching")
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from wheelwork.functions import geo as G
 from wheelwork.functions import shapes as H
+from wheelwork.operators import network
 from wheelwork.operators import rasters as O
 from wheelwork.operators.lineage import fresh_path
-from wheelwork.plans.inputs import POINTS, points
+from wheelwork.plans.inputs import POINTS, STREETS, points, streets, table
+from wheelwork.sources import mapfiles as M
 from wheelwork.sources import rasters as R
 
 QUERIES, SQL = {}, {}
@@ -94,3 +96,51 @@ def street_buffers(spark, d):
     p = points(spark, d)
     e = p.select("id", F.col("x").alias("x1"), F.col("y").alias("y1")).join(p.select((F.col("id") - 1).alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2")), "id")
     return e.select("id", F.round(H.ring_area(H.square_buffer(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 0.01)), 9).alias("area"))
+
+
+def _street_ways(spark, d):
+    """Ways: the parts of an order's items in line order; nodes are placed by their numbers."""
+    items = F.array_sort(F.collect_list(F.struct("key", "v")))
+    way = streets(spark, d).groupBy(F.col("osmid").alias("id")).agg(F.transform(items, lambda s: s["v"]).alias("nodes"), F.min("flag").alias("flag"), F.max("quantity").cast("int").alias("q"))
+    tags = F.map_filter(F.create_map(F.lit("highway"), F.when(F.col("flag") != "N", F.lit("residential")), F.lit("oneway"), F.when(F.col("q") % 2 == 0, "yes"), F.lit("name"), F.when(F.col("q") % 3 == 0, F.concat(F.lit("Straße "), F.col("id").cast("string")))), lambda k, v: v.isNotNull())
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 977 / 100 - 4).alias("lon"), (F.col("p_partkey") % 31 / 10 + 49).alias("lat"))
+    return way.select("id", "nodes", tags.alias("tags")), nodes
+
+
+_WAYS = """ways AS (SELECT osmid AS id, list(v ORDER BY key, v) AS nodes, CASE WHEN min(flag) <> 'N' THEN 'residential' END AS highway, CASE WHEN max(quantity)::INT % 2 = 0 THEN 'yes' END AS oneway,
+  CASE WHEN max(quantity)::INT % 3 = 0 THEN 'Straße ' || osmid END AS name FROM streets GROUP BY 1)"""
+
+
+@query(f"WITH {STREETS}, {_WAYS} SELECT id, array_to_string(nodes, ',') AS nodes, highway, oneway, name FROM ways WHERE highway IS NOT NULL OR oneway IS NOT NULL OR name IS NOT NULL")
+def map_file_ways(spark, d):
+    """Ways with tags, written as a map file and scanned in small ranges."""
+    folder = fresh_path(spark, "map")
+    M.write(_street_ways(spark, d)[0], folder, "ways").collect()
+    tag = lambda k: F.element_at("tags", k).alias(k)
+    return M.ways(spark, folder, tagged=True, range_bytes=50_000).select("id", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), tag("highway"), tag("oneway"), tag("name"))
+
+
+@query(f"""WITH {STREETS}, {_WAYS}, w AS (SELECT id, oneway, nodes, unnest(range(1, len(nodes))) AS i FROM ways WHERE highway IS NOT NULL), e AS (SELECT id, oneway, nodes[i] AS u, nodes[i + 1] AS v FROM w),
+p AS (SELECT p_partkey AS id, round((p_partkey % 977 / 100 - 4)::DOUBLE, 7) AS lon, round((p_partkey % 31 / 10 + 49)::DOUBLE, 7) AS lat FROM part)
+SELECT osmid, u, v, reversed, a.lon AS ux, b.lat AS vy FROM (SELECT id AS osmid, u, v, false AS reversed FROM e UNION ALL SELECT id, v, u, true FROM e WHERE oneway IS NULL) s JOIN p a ON a.id = u JOIN p b ON b.id = v""")
+def map_file_segments(spark, d):
+    """The street graph of a map file: its ways of one key and its nodes, as edges between consecutive nodes."""
+    folder = fresh_path(spark, "map")
+    ways, nodes = _street_ways(spark, d)
+    M.write(ways, folder, "ways").unionAll(M.write(nodes, folder, "nodes")).collect()
+    found = M.ways(spark, folder, keys="highway", columns="id,tags,nodes").select(F.col("id").alias("osmid"), "tags", "nodes")
+    placed = M.nodes(spark, folder, columns="id,lon,lat").select(F.col("id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return network.segments(found, placed).select("osmid", "u", "v", "reversed", F.round("ux", 7).alias("ux"), F.round("vy", 7).alias("vy"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_custkey AS a, o_orderkey % 1000 AS b FROM orders)
+SELECT a AS osmid_in, b AS osmid_out, CASE s WHEN 'F' THEN 'no_left_turn' ELSE 'only_straight_on' END AS restriction, count(*) AS n FROM r WHERE s <> 'P' GROUP BY 1, 2, 3""")
+def map_file_restrictions(spark, d):
+    """Restrictions between ways, written as relations and found again by their type and roles."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1000).alias("b"))
+    member = lambda kind, ref, role: F.struct(F.lit(kind).alias("kind"), ref.cast("bigint").alias("ref"), F.lit(role).alias("role"))
+    tags = F.create_map(F.lit("type"), F.when(F.col("s") == "P", "route").otherwise("restriction"), F.lit("restriction"), F.when(F.col("s") == "F", "no_left_turn").otherwise("only_straight_on"))
+    rows = o.select("id", tags.alias("tags"), F.array(member("way", F.col("a"), "from"), member("node", F.col("id"), "via"), member("way", F.col("b"), "to")).alias("members"))
+    folder = fresh_path(spark, "map")
+    M.write(rows, folder, "relations").collect()
+    return M.turn_rules(M.restrictions(spark, folder)).groupBy("osmid_in", "osmid_out", "restriction").agg(F.count("*").alias("n"))

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from wheelwork.functions import geo as G
 from wheelwork.functions import shapes as H
+from wheelwork.functions import wkb as W
 from wheelwork.operators import network
 from wheelwork.operators import rasters as O
 from wheelwork.operators.lineage import fresh_path
 from wheelwork.plans.inputs import POINTS, STREETS, points, streets, table
+from wheelwork.sources import geopackage as GP
+from wheelwork.sources import graphml as GM
 from wheelwork.sources import mapfiles as M
 from wheelwork.sources import rasters as R
 
@@ -144,3 +147,55 @@ def map_file_restrictions(spark, d):
     folder = fresh_path(spark, "map")
     M.write(rows, folder, "relations").collect()
     return M.turn_rules(M.restrictions(spark, folder)).groupBy("osmid_in", "osmid_out", "restriction").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {STREETS} SELECT u, v, key, count(*) AS n, sum(osmid)::BIGINT AS osmids, round(sum(length), 2) AS length, max('Weg <' || osmid || '> & "' || flag || '"') AS name, count(*) FILTER (share > 0.05) AS wide, max(len([osmid, key]))::BIGINT AS ids FROM streets GROUP BY 1, 2, 3""")
+def graphml_edges(spark, d):
+    """Streets as typed edges of a GraphML document and back."""
+    e = streets(spark, d)
+    name = F.concat(F.lit("Weg <"), F.col("osmid").cast("string"), F.lit('> & "'), "flag", F.lit('"'))
+    edges = e.select("u", "v", "key", "osmid", "length", name.alias("name"), (F.col("share") > 0.05).alias("wide"), F.array("osmid", F.col("key").cast("bigint")).alias("ids"))
+    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct().withColumn("x", F.col("node") / 7)
+    folder = fresh_path(spark, "graph")
+    GM.write(nodes, edges, folder)
+    back = GM.read(spark, folder, edge_types={"ids": "array<bigint>"})[1]
+    out = back.groupBy("u", "v", "key").agg(F.count("*").alias("n"), F.sum("osmid").alias("osmids"), F.round(F.sum("length"), 2).alias("length"), F.max("name").alias("name"), F.count_if("wide").alias("wide"), F.max(F.size("ids")).cast("bigint").alias("ids"))
+    return out.withColumn("key", F.col("key").cast("int"))
+
+
+@query(f"""WITH {STREETS}, n AS (SELECT u AS node FROM streets UNION SELECT v FROM streets) SELECT node, node / 7 AS x, CASE WHEN node % 3 > 0 THEN node::VARCHAR END AS name FROM n""")
+def graphml_nodes(spark, d):
+    """The ends of streets as nodes with attributes, some missing."""
+    e = streets(spark, d)
+    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct().select("node", (F.col("node") / 7).alias("x"), F.when(F.col("node") % 3 > 0, F.col("node").cast("string")).alias("name"))
+    folder = fresh_path(spark, "graph")
+    GM.write(nodes, e.select("u", "v", "key").limit(0), folder)
+    return GM.read(spark, folder)[0]
+
+
+def _bits(x: str) -> str:
+    """The bytes of a double as hexadecimal text, from its bits."""
+    return f"array_to_string(list_transform(range(16), lambda i: '0123456789ABCDEF'[(8 * (b[4 * i + 1])::INT + 4 * (b[4 * i + 2])::INT + 2 * (b[4 * i + 3])::INT + (b[4 * i + 4])::INT) + 1]), '') FROM (SELECT ({x})::BIT::VARCHAR AS b)"
+
+
+@query(f"""WITH {POINTS}, e AS (SELECT a.id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM points a JOIN points b ON b.id = a.id + 1)
+SELECT id, '000000000200000002' || (SELECT {_bits('x1')}) || (SELECT {_bits('y1')}) || (SELECT {_bits('x2')}) || (SELECT {_bits('y2')}) AS wkb, 'label ' || id AS name, id % 2 = 0 AS even FROM e""")
+def layer_lines(spark, d):
+    """Lines between neighbouring points through a GeoPackage layer, as hexadecimal well-known binary with the high byte first."""
+    p = points(spark, d)
+    to = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    e = p.join(to, "id").select("id", F.concat(F.lit("label "), F.col("id").cast("string")).alias("name"), (F.col("id") % 2 == 0).alias("even"), W.to_wkb(W.line(F.array(corner("x", "y"), corner("x2", "y2")))).alias("geom"))
+    files = GP.write(e, fresh_path(spark, "layer"), "lines", 2).collect()
+    back = GP.read(spark, [r["path"] for r in files], "lines", rows=50)
+    return back.select("id", F.hex(W.to_wkb(W.from_wkb(F.col("geom")), little=False)).alias("wkb"), "name", "even")
+
+
+@query(f"""WITH {_TRIANGLES} SELECT tri, round(abs((xs[2] - xs[1]) * (ys[3] - ys[1]) - (xs[3] - xs[1]) * (ys[2] - ys[1])) / 2, 9) AS area, 4::BIGINT AS points FROM tri""")
+def layer_polygons(spark, d):
+    """Triangles through a GeoPackage layer of polygons of several parts."""
+    t = _triangles(spark, d).select("tri", W.to_wkb(W.polygons(F.array("rings"))).alias("geom"))
+    files = GP.write(t, fresh_path(spark, "layer"), "areas", 6).collect()
+    ring = F.get(F.get(W.from_wkb(F.col("geom"))["parts"], F.lit(0)), F.lit(0))
+    back = GP.read(spark, [r["path"] for r in files], "areas").select("tri", ring.alias("r"))
+    return back.select("tri", F.round(H.ring_area(H.open_ring(F.col("r"))), 9).alias("area"), F.size("r").cast("bigint").alias("points"))

@@ -126,3 +126,18 @@ def test_simplified(spark):
         assert [p["x"] for p in r["geometry"]] == [x for i, x in enumerate(r["nodes"]) if i == 0 or x != r["nodes"][i - 1]] and r["n_edges"] == len(r["nodes"]) - 1
         assert (r["u"], r["v"]) == (r["nodes"][0], r["nodes"][-1])
     assert len({(r["u"], r["v"], r["key"]) for r in got}) == len(got)
+
+
+def test_areas_with_holes(spark):
+    from wheelwork.functions import shapes as H
+    from wheelwork.operators import spatial
+
+    spots = {1: (0, 0), 2: (9, 0), 3: (9, 9), 4: (0, 9), 5: (1, 1), 6: (3, 1), 7: (2, 3), 8: (20, 0), 9: (22, 0), 10: (20, 2), 11: (5, 5), 12: (6, 5), 13: (5, 6)}
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in spots.items()], "id long, lon double, lat double")
+    ways = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 4, 3]), (3, [5, 6, 7, 5]), (4, [8, 9, 10, 8]), (5, [11, 12]), (6, [13, 12]), (7, [11, 13]), (8, [1, 99, 2, 1])], "id long, nodes array<long>")
+    member = lambda *of: [("way", ref, role) for ref, role in of]
+    rows = [(70, member((1, "outer"), (2, ""), (3, "inner"), (4, "outer"), (5, "inner"), (6, "inner"), (7, "inner"))), (71, member((1, "outer"))), (72, member((8, "outer"))), (73, None)]
+    got = spatial.areas(spark.createDataFrame(rows, "id long, members array<struct<kind:string,ref:long,role:string>>"), ways, nodes)
+    assert sorted((r["relation"], r["n"], r["a"]) for r in got.select("relation", F.size("rings").alias("n"), H.polygon_area(F.col("rings")).alias("a")).collect()) == [(70, 1, 2.0), (70, 3, 81 - 2 - 0.5)]
+    found = spatial.way_areas(ways, nodes).select("relation", H.polygon_area(F.col("rings")).alias("a")).collect()
+    assert sorted(map(tuple, found)) == [(3, 2.0), (4, 2.0)]

@@ -29,6 +29,16 @@ def ring_area(ring: Column) -> Column:
     return F.coalesce(F.abs(twice) / 2, F.lit(0.0))
 
 
+def inside_points(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies inside a ring of a column, by ray casting."""
+    def crosses(p, q):
+        # the slope is asked for only where the ends' heights differ
+        at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
+        return F.coalesce(((p["y"] > y) != (q["y"] > y)) & (x < at), F.lit(False))
+
+    return F.aggregate(F.zip_with(ring, _followers(ring), crosses), F.lit(False), lambda s, c: s != c)
+
+
 def polygon_area(rings: Column) -> Column:
     """Area of the outer ring less its holes."""
     return F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, ring_area(r)).otherwise(-ring_area(r))), F.lit(0.0), lambda s, d: s + d)

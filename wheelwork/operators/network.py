@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wheelwork.functions import tags as T
 from wheelwork.functions.geo import bearing, normal_angle, turn_direction
+from wheelwork.operators.chains import simplified
 
 
 def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,19 +106,14 @@ def one_direction(edges: DataFrame, value: str) -> DataFrame:
 
 
 def merge_chains(edges: DataFrame) -> DataFrame:
-    """Undirected chains through nodes of degree two of one way as single edges.
+    """Undirected chains through nodes of degree two of one way as single edges: chain, osmid, length, u, v.
 
-    Pieces of a way joined by such nodes are one component; its two ends and summed length remain.
+    ``edges`` has id, u, v, osmid, length. The directed form with order and geometry is
+    ``chains.simplified``; here both directions are taken and the one from the smaller end stays. Rings are left out.
     """
-    from wheelwork.operators.components import components
-
-    ends = edges.select(F.col("u").alias("node"), "osmid", "id").unionAll(edges.select(F.col("v").alias("node"), "osmid", "id"))
-    joints = ends.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct("osmid").alias("ways"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2 AND ways = 1")
-    roots = components(joints.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    marked = edges.join(roots.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("chain", F.coalesce("component", "id"))
-    inner = joints.select("node")
-    outer = ends.join(marked.select("id", "chain"), "id").join(inner, "node", "left_anti").groupBy("chain").agg(F.min("node").alias("u"), F.max("node").alias("v"))
-    return marked.groupBy("chain").agg(F.first("osmid").alias("osmid"), F.sum("length").alias("length")).join(outer, "chain", "left")
+    both = edges.select("u", "v", F.struct("id", F.lit(False).alias("back")).alias("key"), "osmid", "length").unionAll(edges.select(F.col("v"), F.col("u"), F.struct("id", F.lit(True).alias("back")), "osmid", "length"))
+    found = simplified(both)
+    return found.where((F.col("u") < F.col("v")) | ((F.col("u") == F.col("v")) & (F.col("nodes") <= F.reverse("nodes")))).select(F.get("osmids", F.lit(0)).alias("osmid"), "length", "u", "v")
 
 
 def with_straight_geometry(edges: DataFrame, nodes: DataFrame) -> DataFrame:

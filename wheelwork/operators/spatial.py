@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelwork.functions.geo import cell, crosses_ring, in_ring, planar, segmentize, strictly_in
+from wheelwork.functions.shapes import RING, inside_points, open_ring, ring_area
+from wheelwork.operators.chains import stitched
 from wheelwork.operators.lineage import written
 
 
@@ -104,44 +105,53 @@ def zonal_sum(raster: DataFrame, zones: DataFrame, zone: str, value: str, dx: fl
     return touched.join(raster, ["col", "row"]).groupBy(zone).agg(F.sum(F.col(value) * share).alias("total"))
 
 
-def _stitched(ways: list[list[int]]) -> list[list[int]]:
-    """Closed rings out of ways that share ends; what does not close is left out."""
-    rings, left = [], [list(w) for w in ways if len(w) > 1]
-    while left:
-        ring = left.pop(0)
-        while ring[0] != ring[-1]:
-            at = next((i for i, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
-            if at is None:
-                break
-            way = left.pop(at)
-            ring += (way if way[0] == ring[-1] else way[::-1])[1:]
-        if ring[0] == ring[-1]:
-            rings.append(ring)
-    return rings
-
-
 def rings(members: DataFrame) -> DataFrame:
     """relation, role, ring, nodes: closed rings of each relation's ways (relation, role, way, nodes).
 
-    Ways are taken by number and turned round where needed. A relation's outer rings
-    less its inner ones are its area. A relation has some thousand ways at most.
+    Ways are turned round where needed; what does not close is left out. A relation's outer
+    rings less its inner ones are its area. A relation of any number of ways is spread over tasks
+    (see ``chains.stitched``).
     """
+    lines = stitched(members, ["relation", "role"]).where("closed").drop("closed")
+    number = F.row_number().over(Window.partitionBy("relation", "role").orderBy("line")) - 1
+    return lines.select("relation", "role", number.alias("ring"), "nodes")
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("way")
-        found = _stitched([[int(x) for x in w] for w in pdf["nodes"] if w is not None])
-        return pd.DataFrame([(pdf["relation"].iloc[0], pdf["role"].iloc[0], i, r) for i, r in enumerate(found)], columns=["relation", "role", "ring", "nodes"])
 
-    return members.groupBy("relation", "role").applyInPandas(stitch, "relation bigint, role string, ring int, nodes array<bigint>")
+def ring_points(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relation, role, ring, points: rings with places (``nodes`` has node, x, y), the first point not again at the end; rings with a node that has no place are left out."""
+    corners = found.select("relation", "role", "ring", F.size("nodes").alias("n"), F.posexplode("nodes").alias("i", "node")).join(nodes.select("node", "x", "y"), "node")
+    turn = corners.groupBy("relation", "role", "ring", "n").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p")).where("size(p) = n")
+    return turn.select("relation", "role", "ring", open_ring(F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))).alias("points"))
 
 
 def relation_areas(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """relation, area: planar area of the outer rings less that of the inner ones; ``nodes`` has node, x, y."""
-    corners = rings(members).select("relation", "role", "ring", F.posexplode("nodes").alias("i", "node")).join(nodes, "node")
-    turn = corners.groupBy("relation", "role", "ring").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
-    twice = F.aggregate(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, d: s + d)
     sign = F.when(F.col("role") == "inner", -1.0).otherwise(1.0)
-    return turn.groupBy("relation").agg(F.sum(sign * F.abs(twice) / 2).alias("area"))
+    return ring_points(rings(members), nodes).groupBy("relation").agg(F.sum(sign * ring_area(F.col("points"))).alias("area"))
+
+
+def polygons(found: DataFrame) -> DataFrame:
+    """relation, ring, rings: one polygon an outer ring of ``ring_points``, with the inner rings of the relation that begin inside it as holes."""
+    outer = found.where("role <> 'inner'").select("relation", F.struct("role", "ring").alias("_o"), "points")
+    first = F.get("points", F.lit(0))
+    holes = found.where("role = 'inner'").select("relation", F.col("ring").alias("_hole"), F.col("points").alias("_h"), first["x"].alias("_x"), first["y"].alias("_y"))
+    held = outer.join(holes, "relation").where(inside_points(F.col("_x"), F.col("_y"), F.col("points"))).groupBy("relation", "_o").agg(F.transform(F.array_sort(F.collect_list(F.struct("_hole", "_h"))), lambda s: s["_h"]).alias("_holes"))
+    number = F.row_number().over(Window.partitionBy("relation").orderBy("_o")) - 1
+    return outer.join(held, ["relation", "_o"], "left").select("relation", number.alias("ring"), F.concat(F.array("points"), F.coalesce("_holes", F.array().cast(f"array<{RING}>"))).alias("rings"))
+
+
+def areas(relations: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relation, ring, rings: the polygons of map relations (id, members) from their ways (id, nodes) and nodes (id, lon, lat)."""
+    parts = relations.select(F.col("id").alias("relation"), F.explode("members").alias("m")).where("m.kind = 'way'").select("relation", F.when(F.col("m.role") == "inner", "inner").otherwise("outer").alias("role"), F.col("m.ref").alias("way")).distinct()
+    members = parts.join(ways.select(F.col("id").alias("way"), "nodes"), "way")
+    return polygons(ring_points(rings(members), nodes.select(F.col("id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y"))))
+
+
+def way_areas(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relation (the way's number), ring, rings: closed ways as polygons."""
+    closed = ways.where((F.size("nodes") > 3) & (F.get("nodes", F.lit(0)) == F.get("nodes", F.size("nodes") - 1)))
+    found = closed.select(F.col("id").alias("relation"), F.lit("outer").alias("role"), F.lit(0).alias("ring"), "nodes")
+    return polygons(ring_points(found, nodes.select(F.col("id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y"))))
 
 
 def degrees_for(metres: float, lat: float = 49.45) -> tuple[float, float]:

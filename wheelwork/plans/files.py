@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wheelwork.functions import geo as G
 from wheelwork.functions import shapes as H
 from wheelwork.functions import wkb as W
+from wheelwork.operators import chains as C
 from wheelwork.operators import network
 from wheelwork.operators import rasters as O
+from wheelwork.operators import spatial as P
 from wheelwork.operators.lineage import fresh_path
 from wheelwork.plans.inputs import POINTS, STREETS, points, streets, table
 from wheelwork.sources import geopackage as GP
@@ -199,3 +202,45 @@ def layer_polygons(spark, d):
     ring = F.get(F.get(W.from_wkb(F.col("geom"))["parts"], F.lit(0)), F.lit(0))
     back = GP.read(spark, [r["path"] for r in files], "areas").select("tri", ring.alias("r"))
     return back.select("tri", F.round(H.ring_area(H.open_ring(F.col("r"))), 9).alias("area"), F.size("r").cast("bigint").alias("points"))
+
+
+_AREAS = f"""{POINTS}, c AS (SELECT id // 12 AS area, id % 12 AS i, round(11 + x / 10, 7) AS x, round(49 + y / 10, 7) AS y FROM points WHERE id < 12 * (SELECT count(*) // 12 FROM points)),
+s AS (SELECT area, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM c WINDOW w AS (PARTITION BY area ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"WITH {_AREAS} SELECT area, round(abs(sum(x * y2 - x2 * y)) / 2, 12) AS size FROM s WHERE area % 2 = 0 GROUP BY 1")
+def map_file_areas(spark, d):
+    """Every twelve points are a ring, cut into three ways (the second one the wrong way round), written as a map file; areas of the relations with a tag."""
+    p = points(spark, d)
+    n = p.count() // 12 * 12
+    p = p.where(F.col("id") < n)
+    nodes = p.select("id", (F.lit(11) + F.col("x") / 10).alias("lon"), (F.lit(49) + F.col("y") / 10).alias("lat"))
+    first = p.where("id % 12 = 0").select(F.floor(F.col("id") / 12).alias("area"), F.col("id").alias("at"))
+    # the ring comes back to its first point; cuts are at 0, 4 and 9
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(i % 12) for i in span]).alias("is")) for k, span in enumerate(([0, 1, 2, 3, 4], [9, 8, 7, 6, 5, 4], [9, 10, 11, 12]))])
+    ways = first.select("area", "at", F.explode(spans).alias("s")).select((F.col("area") * 3 + F.col("s.k")).alias("id"), F.transform("s.is", lambda i: F.col("at") + i).alias("nodes"))
+    member = lambda k: F.struct(F.lit("way").alias("kind"), (F.col("area") * 3 + k).alias("ref"), F.lit("outer").alias("role"))
+    tags = F.create_map(F.lit("boundary"), F.when(F.col("area") % 2 == 0, "administrative").otherwise("other"))
+    relations = first.select(F.col("area").alias("id"), tags.alias("tags"), F.array(*map(member, range(3))).alias("members"))
+    folder = fresh_path(spark, "map")
+    M.write(nodes, folder, "nodes").unionAll(M.write(ways, folder, "ways")).unionAll(M.write(relations, folder, "relations")).collect()
+    found = P.areas(M.relations(spark, folder, tag="boundary=administrative"), M.ways(spark, folder), M.nodes(spark, folder))
+    return found.select(F.col("relation").alias("area"), F.round(H.polygon_area(F.col("rings")), 12).alias("size"))
+
+
+_CHAIN = """n AS (SELECT l_orderkey AS o, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS node, ascii(l_returnflag) AS way, round(l_extendedprice) AS length FROM lineitem),
+e AS (SELECT * FROM (SELECT o, node AS u, lead(node) OVER (PARTITION BY o ORDER BY node) AS v, way, length FROM n) WHERE v IS NOT NULL)"""
+
+
+@query(f"""WITH {_CHAIN}, b AS (SELECT *, coalesce(way <> lag(way) OVER w, true)::INT AS fresh FROM e WINDOW w AS (PARTITION BY o ORDER BY u)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY o ORDER BY u) AS run FROM b),
+r AS (SELECT o, run, min(u) AS u, max(v) AS v, any_value(way)::INT AS way, sum(length) AS length, count(*) AS n_edges FROM g GROUP BY 1, 2)
+SELECT u, v, way, length, n_edges FROM r UNION ALL SELECT v, u, way, length, n_edges FROM r WHERE o % 2 = 0""")
+def simplified_streets(spark, d):
+    """The items of an order are a street of stretches, both ways in every second order; stretches of one way become one edge."""
+    li = table(spark, d, "lineitem")
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    n = li.select(F.col("l_orderkey").alias("o"), (F.col("l_orderkey") * 100 + nth).alias("u"), F.ascii("l_returnflag").alias("osmid"), F.round("l_extendedprice").alias("length"))
+    e = n.withColumn("v", F.lead("u").over(Window.partitionBy("o").orderBy("u"))).where("v IS NOT NULL").withColumn("key", F.lit(0))
+    back = e.where("o % 2 = 0").select(F.col("v").alias("u"), F.col("u").alias("v"), "key", "osmid", "length")
+    out = C.simplified(e.select("u", "v", "key", "osmid", "length").unionByName(back))
+    return out.select("u", "v", F.get("osmids", F.lit(0)).alias("way"), "length", "n_edges")

@@ -10,6 +10,7 @@ from wheelwork.functions import tags as T
 from wheelwork.operators import components as C
 from wheelwork.operators import gaps, kmodes, network, routing
 from wheelwork.operators.lineage import written
+from wheelwork.operators.statistics import described
 from wheelwork.plans.inputs import STREETS, positions, streets, table
 from wheelwork.plans.mobility import RIDES_SQL
 
@@ -147,9 +148,9 @@ def components(spark, d):
 SELECT count(*) AS n, avg(length) AS mean, median(length) AS median, min(length) AS least, max(length) AS most, stddev_pop(length) AS std, quantile_cont(length, 0.05) AS p5, quantile_cont(length, 0.3) AS p30, sum(n_edges)::BIGINT AS n_edges, max(length) / sum(length) AS share FROM l""")
 def component_stats(spark, d):
     """Lengths of components, all edges, and the largest one's share of the network."""
-    cuts = F.expr("percentile(length, array(0.05, 0.3, 0.5))")
-    out = C.component_lengths(_all_edges(spark, d)).agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.min("length").alias("least"), F.max("length").alias("most"), F.stddev_pop("length").alias("std"), cuts.alias("c"), F.sum("n_edges").alias("n_edges"), (F.max("length") / F.sum("length")).alias("share"))
-    return out.select("n", "mean", F.get("c", F.lit(2)).alias("median"), "least", "most", "std", F.get("c", F.lit(0)).alias("p5"), F.get("c", F.lit(1)).alias("p30"), "n_edges", "share")
+    lengths = written(C.component_lengths(_all_edges(spark, d)), "lengths")
+    out = described(lengths, "length", [50, 5, 30], std=F.stddev_pop("length"), n_edges=F.sum("n_edges"), share=F.max("length") / F.sum("length"))
+    return out.select("n", "mean", F.get("_c", F.lit(0)).alias("median"), "least", "most", "std", F.get("_c", F.lit(1)).alias("p5"), F.get("_c", F.lit(2)).alias("p30"), "n_edges", "share")
 
 
 @query(f"{_ROOTS}, l AS (SELECT component, sum(length) AS s FROM streets JOIN roots ON u = node GROUP BY 1) SELECT u, v, length FROM streets JOIN roots ON u = node JOIN l USING (component) WHERE s >= 80000")

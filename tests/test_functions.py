@@ -64,3 +64,15 @@ def test_tags(spark):
     assert one(spark, tags.not_matches(t(highway="path"), "surface", "gravel"))
     assert round(one(spark, tags.penalty(t(highway="primary", cycleway="lane"), no, F.lit(5.0))), 6) == round(1 + 1.203 - 0.16 + 7.15, 6)
     assert one(spark, tags.street_class(t(highway="secondary:link"))) == 2
+
+
+def test_spheroid_lines(spark):
+    from wheelwork.functions import geo
+
+    # a published test line of a land survey, arcs of the equator and of a meridian, a point, a nearly opposite one
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (1 if d > 0 else -1)
+    lines = [(dms(144, 25, 29.52440), dms(-37, 57, 3.72030), dms(143, 55, 35.38390), dms(-37, 39, 10.15610)), (0.0, 0.0, 1.0, 0.0), (179.5, 0.0, -179.5, 0.0), (5.0, 0.0, 5.0, 90.0), (11.0, 49.0, 11.0, 49.0), (0.0, 0.0, 179.9, 0.1)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "i int, a double, b double, c double, d double")
+    got = [r["m"] for r in df.select("i", geo.geodesic(df.a, df.b, df.c, df.d).alias("m")).orderBy("i").collect()]
+    assert abs(got[0] - 54972.271) < 0.001 and abs(got[1] - 111319.4908) < 0.001 and abs(got[2] - 111319.4908) < 0.001 and abs(got[3] - 10001965.7293) < 0.001
+    assert got[4] == 0 and got[5] is None

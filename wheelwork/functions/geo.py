@@ -17,6 +17,46 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH * F.asin(F.sqrt(h))
 
 
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 20) -> Column:
+    """Metres along the shortest line on the WGS84 spheroid (inverse problem by iteration, ``rounds`` of them).
+
+    To the millimetre but for nearly opposite points, where the iteration does not settle: those are null.
+    """
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    u1, u2, apart = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2))), F.radians(F.pmod(lon2 - lon1 + 180, F.lit(360.0)) - 180)
+    known = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), apart.alias("l"))
+
+    def arc(k, lam):
+        """Sine and cosine of the arc, squared cosine of its azimuth at the equator, sine of it, cosine of twice the middle."""
+        sin = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2))
+        cos = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
+        side = F.coalesce(k["c1"] * k["c2"] * F.sin(lam) / F.nullif(sin, F.lit(0.0)), F.lit(0.0))
+        square = 1 - side * side
+        middle = F.when(square > 1e-15, cos - 2 * k["s1"] * k["s2"] / F.nullif(square, F.lit(0.0))).otherwise(0.0)
+        return F.struct(sin.alias("sin"), cos.alias("cos"), side.alias("side"), square.alias("square"), middle.alias("middle"))
+
+    def bent(k, x):
+        c = f / 16 * x["square"] * (4 + f * (4 - 3 * x["square"]))
+        inner = x["middle"] + c * x["cos"] * (-1 + 2 * x["middle"] * x["middle"])
+        return k["l"] + (1 - c) * f * x["side"] * (F.atan2(x["sin"], x["cos"]) + c * x["sin"] * inner)
+
+    def length(x):
+        square = x["square"] * (a * a - b * b) / (b * b)
+        big = 1 + square / 16384 * (4096 + square * (-768 + square * (320 - 175 * square)))
+        small = square / 1024 * (256 + square * (-128 + square * (74 - 47 * square)))
+        m = x["middle"]
+        turn = small * x["sin"] * (m + small / 4 * (x["cos"] * (-1 + 2 * m * m) - small / 6 * m * (-3 + 4 * x["sin"] * x["sin"]) * (-3 + 4 * m * m)))
+        return b * big * (F.atan2(x["sin"], x["cos"]) - turn)
+
+    # let-bindings by one-element transforms, so that nothing is written out twice
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    start = lambda k: F.struct(k["l"].alias("lam"), F.lit(1e9).alias("step"))
+    step = lambda k: lambda s, _: let(arc(k, s["lam"]), lambda x: let(bent(k, x), lambda lam: F.struct(lam.alias("lam"), F.abs(lam - s["lam"]).alias("step"))))
+    settled = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start(k), step(k))
+    return let(known, lambda k: let(settled(k), lambda s: F.when(s["step"] < 1e-11, let(arc(k, s["lam"]), length))))
+
+
 def utm(lon: Column, lat: Column, zone: int = 32) -> tuple[Column, Column]:
     """Easting and northing on GRS80 by the Krueger series (third order)."""
     f = 1 / 298.257222101

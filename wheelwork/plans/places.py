@@ -35,6 +35,25 @@ def haversine(spark, d):
     return _geo(spark, d).select("id", F.round(G.haversine(F.lit(LON), F.lit(LAT), F.col("lon"), F.col("lat")), 3).alias("metres"))
 
 
+def _geodesic_sql() -> str:
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    return f"""WITH RECURSIVE {_GEO}, k AS (SELECT id, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, l FROM (SELECT id, atan({1 - f!r}::DOUBLE * tan(radians({LAT}::DOUBLE))) AS u1, atan({1 - f!r}::DOUBLE * tan(radians(lat))) AS u2, radians(lon - {LON}::DOUBLE) AS l FROM geo)),
+it AS (SELECT 0 AS i, l AS lam, k.* FROM k UNION ALL SELECT i + 1, l + (1 - c) * {f!r}::DOUBLE * side * (atan2(ss, cs) + c * ss * (m + c * cs * (2 * m * m - 1))), id, s1, c1, s2, c2, l FROM (
+  SELECT *, {f / 16!r}::DOUBLE * sq * (4 + {f!r}::DOUBLE * (4 - 3 * sq)) AS c FROM (SELECT *, cs - 2 * s1 * s2 / sq AS m FROM (SELECT *, 1 - side * side AS sq FROM (
+  SELECT *, c1 * c2 * sin(lam) / ss AS side FROM (SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM it WHERE i < 12))))) ),
+e AS (SELECT *, sq * {(a * a - b * b) / (b * b)!r}::DOUBLE AS q FROM (SELECT *, cs - 2 * s1 * s2 / sq AS m FROM (SELECT *, 1 - side * side AS sq FROM (SELECT *, c1 * c2 * sin(lam) / ss AS side FROM (
+  SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM it WHERE i = 12))))),
+g AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS sm FROM e)
+SELECT id, round({b!r}::DOUBLE * big * (atan2(ss, cs) - sm * ss * (m + sm / 4 * (cs * (2 * m * m - 1) - sm / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))), 3) AS metres FROM g"""
+
+
+@query(_geodesic_sql())
+def spheroid_distance(spark, d):
+    """Metres on the spheroid from one place to all points."""
+    return _geo(spark, d).select("id", F.round(G.geodesic(F.lit(LON), F.lit(LAT), F.col("lon"), F.col("lat")), 3).alias("metres"))
+
+
 def _utm_sql() -> str:
     f = 1 / 298.257222101
     n = f / (2 - f)

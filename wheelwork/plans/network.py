@@ -300,3 +300,12 @@ def stream_rides(spark, d):
     from wheelwork.streaming.replay import replay_rides
 
     return replay_rides(spark, os.path.join(d, "events.parquet"))
+
+
+@query("SELECT ts::DATE AS date, count(DISTINCT user_id) AS n, sum(DISTINCT user_id)::BIGINT AS bikes FROM events GROUP BY 1")
+def stream_days(spark, d):
+    """The bikes of each day from the events replayed as a stream, each day written once."""
+    from wheelwork.streaming.replay import replay_days
+
+    days = replay_days(spark, os.path.join(d, "events.parquet"))
+    return days.select("date", "n", F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s + k).alias("bikes"))

@@ -1,40 +1,9 @@
-"""Streaming forms: rides from a stream of positions, daily fleet sets from a stream of sightings."""
+"""Daily fleet sets as a stream; rides are in ``streaming.incremental``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-RIDES = "key bigint, start_time timestamp, finish_time timestamp, start_place bigint, finish_place bigint"
-
-
-def stream_rides(positions: DataFrame) -> DataFrame:
-    """Rides from positions (key, time, place), equal to the batch form for input in time order.
-
-    State per key: the last time and place. Each batch's rows of a key are sorted by
-    time; rows before the last seen one are late and left out.
-    """
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["time", "place"], kind="stable")
-        out = []
-        for t, p in zip(rows["time"], rows["place"], strict=True):
-            if last is not None:
-                if t.to_pydatetime() < last[0]:
-                    continue
-                if int(p) != last[1]:
-                    out.append((int(key[0]), last[0], t, last[1], int(p)))
-            last = (t.to_pydatetime(), int(p))
-        state.update(last)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "start_time", "finish_time", "start_place", "finish_place"])
-
-    return positions.groupBy("key").applyInPandasWithState(step, RIDES, "time timestamp, place bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_fleet(sightings: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -1,9 +1,13 @@
 """Searches on street graphs: shortest paths, edge betweenness, service areas.
 
-A graph of at most ``MOST_EDGES`` edges (24 bytes each; a continent's cycling network
-stays below) is written to the shared folder, and each worker reads it once as compressed
-adjacency arrays; the driver never holds it. Beyond that, ``costs`` relaxes distances
-with joins until none falls. Sources are spread over tasks; results leave them as rows.
+A graph of at most ``MOST_EDGES`` edges (some 100 MB in a worker) is written to the shared
+folder, and each worker reads it once as adjacency arrays; the driver never holds it. Larger
+graphs go through ``operators.relaxed``, which relaxes distances with joins and gives the same
+results. Sources are spread over tasks; results leave them as rows.
+
+Weights are positive. Of equally cheap paths (to ``SAME``) a route takes, from its end
+backwards, the smallest node before each; betweenness divides by their number, and the length
+that counts for a pair is that of the shortest of them.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelwork.operators.lineage import uri, written
+from wheelwork.operators import relaxed
+from wheelwork.operators.lineage import drop_written, uri, written
+from wheelwork.operators.relaxed import SAME, costs, reach  # noqa: F401
 
-MOST_EDGES = 50_000_000
+MOST_EDGES = 4_000_000
 
 
 class Graph:
@@ -33,35 +39,45 @@ class Graph:
         order = np.lexsort((weight, b, a))
         self.head, self.weight, self.length = b[order], np.asarray(weight, float)[order], np.asarray(length, float)[order]
         self.first = np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
+        self.tail = a[order]
+        # edges by their head, for walks backwards
+        self.into = np.argsort(self.head, kind="stable")
+        self.last = np.searchsorted(self.head[self.into], np.arange(len(self.nodes) + 1))
 
     def place(self, node) -> int:
         i = int(np.searchsorted(self.nodes, node))
         return i if i < len(self.nodes) and self.nodes[i] == node else -1
 
     def search(self, source: int, targets: set[int] | None = None, limit: float = np.inf, guess: Callable[[int], float] | None = None):
-        """Distances and predecessors from ``source`` by weight; with ``guess`` it is A*."""
-        dist, before, done, left = {source: 0.0}, {}, set(), set(targets) if targets is not None else None
+        """Distances from ``source`` by weight to what is settled; with ``guess`` it is A*, which looks at all that may lie on a cheapest path."""
+        dist, done, left = {source: 0.0}, set(), set(targets) if targets is not None else None
+        most = np.inf
         heap = [(guess(source) if guess else 0.0, source)]
         while heap:
-            _, x = heapq.heappop(heap)
+            far, x = heapq.heappop(heap)
             if x in done:
                 continue
+            if far > most:
+                break
             done.add(x)
-            if left is not None:
+            if left:
                 left.discard(x)
-                if not left:
-                    break
+                # equally cheap ways may still come
+                most = most if left else far + SAME
             for k in range(self.first[x], self.first[x + 1]):
                 y, d = int(self.head[k]), dist[x] + self.weight[k]
-                if d <= limit and (d < dist.get(y, np.inf) or (d == dist.get(y) and y not in done and x < before.get(y, x))):
-                    dist[y], before[y] = d, x
+                if d <= limit and d < dist.get(y, np.inf):
+                    dist[y] = d
                     heapq.heappush(heap, (d + guess(y) if guess else d, y))
-        return {x: dist[x] for x in done}, before
+        return {x: dist[x] for x in done}
 
-    def path(self, before: dict, source: int, target: int) -> list[int]:
+    def path(self, dist: dict, source: int, target: int) -> list[int]:
+        """The route to a settled target: backwards by the smallest node before each."""
         out = [target]
         while out[-1] != source:
-            out.append(before[out[-1]])
+            y = out[-1]
+            edges = self.into[self.last[y] : self.last[y + 1]]
+            out.append(min(int(self.tail[k]) for k in edges if dist.get(int(self.tail[k]), np.inf) + self.weight[k] <= dist[y] + SAME))
         return [int(self.nodes[i]) for i in reversed(out)]
 
 
@@ -84,19 +100,22 @@ class Stored:
         return _loaded(self.path)
 
 
-def sent(edges: DataFrame, weight: str, length: str = "length") -> Stored:
-    """The graph in the shared folder, its size checked; parallel edges count by their least weight."""
+def sent(edges: DataFrame, weight: str, length: str = "length") -> Stored | None:
+    """The graph in the shared folder, or None if it is too large for a worker; parallel edges count by their least weight."""
     least = edges.groupBy("u", "v").agg(F.min(F.struct(F.col(weight).cast("double").alias("w"), F.col(length).cast("double").alias("l"))).alias("x"))
     table = written(least.select(F.col("u").cast("bigint"), F.col("v").cast("bigint"), "x.w", "x.l"), "graph")
     n = table.count()
     if n > MOST_EDGES:
-        raise ValueError(f"{n} edges are too many for a worker; use costs()")
+        drop_written(table)
+        return None
     return Stored(uri(edges.sparkSession, table.written_to))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str = "weight", guess=None) -> DataFrame:
     """origin, destination, route (array of nodes, null: none), cost for distinct pairs, each origin searched once."""
     graph = sent(edges, weight)
+    if graph is None:
+        return relaxed.routes(edges, pairs, weight)
 
     def run(frames):
         g = graph.value
@@ -104,9 +123,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str = "weight", g
             rows = []
             for origin, ends in pdf.groupby("origin")["destination"]:
                 s, places = g.place(origin), {d: g.place(d) for d in set(ends)}
-                found = g.search(s, {p for p in places.values() if p >= 0}, guess=guess) if s >= 0 else ({}, {})
+                found = g.search(s, {p for p in places.values() if p >= 0}, guess=guess) if s >= 0 else {}
                 for d, p in places.items():
-                    rows.append((origin, d, g.path(found[1], s, p) if p in found[0] else None, found[0].get(p)))
+                    rows.append((origin, d, g.path(found, s, p) if p in found else None, found.get(p)))
             yield pd.DataFrame(rows, columns=["origin", "destination", "route", "cost"])
 
     return pairs.select("origin", "destination").distinct().repartition("origin").sortWithinPartitions("origin").mapInPandas(run, "origin bigint, destination bigint, route array<bigint>, cost double")
@@ -133,13 +152,17 @@ def betweenness(edges: DataFrame, weight: str = "weight", length: str = "length"
     graph = sent(edges, weight, length)
     nodes = sources if sources is not None else edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node"))).distinct()
     a = node_weights or {}
+    if graph is None:
+        summed = relaxed.betweenness(edges, nodes, weight, length, lower, upper, pair_weight, a)
+        return _whole(edges, summed, normalized)
 
     def worth(g: Graph, s: int, t: int, d: float) -> float:
         both = a.get(int(g.nodes[s]), 1.0) * a.get(int(g.nodes[t]), 1.0)
         return {"count": 1.0, "spatial": both, "multiplication": both, "gravity": both / d**2 if d else 0.0, "exponential": both * np.exp(-d)}[pair_weight]
 
     def run(frames):
-        g, total = graph.value, {}
+        g = graph.value
+        total = np.zeros(len(g.head))
         for pdf in frames:
             for node in pdf["node"]:
                 s = g.place(node)
@@ -154,26 +177,34 @@ def betweenness(edges: DataFrame, weight: str = "weight", length: str = "length"
                     done.add(x)
                     order.append(x)
                     for k in range(g.first[x], g.first[x + 1]):
-                        y, e = int(g.head[k]), d + g.weight[k]
-                        if e < dist.get(y, np.inf) - 1e-12:
-                            dist[y], span[y], count[y], before[y] = e, span[x] + g.length[k], count[x], [x]
+                        y, e, far = int(g.head[k]), d + g.weight[k], span[x] + g.length[k]
+                        if e < dist.get(y, np.inf) - SAME:
+                            dist[y], span[y], count[y], before[y] = e, far, count[x], [k]
                             heapq.heappush(heap, (e, y))
-                        elif abs(e - dist.get(y, np.inf)) <= 1e-12 and y not in done:
+                        elif abs(e - dist.get(y, np.inf)) <= SAME and y not in done:
                             count[y] += count[x]
-                            before[y].append(x)
+                            span[y] = min(span[y], far)
+                            before[y].append(k)
                 share = {x: (worth(g, s, x, span[x]) if x != s and lower <= span[x] <= upper else 0.0) for x in order}
                 for y in reversed(order):
-                    for x in before[y]:
+                    for k in before[y]:
+                        x = int(g.tail[k])
                         part = share[y] * count[x] / count[y]
-                        total[x, y] = total.get((x, y), 0.0) + part
+                        total[k] += part
                         if x != s:
                             share[x] += part
-        yield pd.DataFrame([(int(g.nodes[x]), int(g.nodes[y]), t) for (x, y), t in total.items()], columns=["u", "v", "part"])
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"u": g.nodes[g.tail[used]], "v": g.nodes[g.head[used]], "part": total[used]})
 
     parts = nodes.repartition("node").mapInPandas(run, "u bigint, v bigint, part double")
-    summed = parts.groupBy("u", "v").agg(F.sum("part").alias("betweenness"))
+    return _whole(edges, parts.groupBy("u", "v").agg(F.sum("part").alias("betweenness")), normalized)
+
+
+def _whole(edges: DataFrame, summed: DataFrame, normalized: bool) -> DataFrame:
+    """All edges with their betweenness, 0 where no path goes."""
     out = edges.select("u", "v").distinct().join(summed, ["u", "v"], "left").select("u", "v", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
     if normalized:
+        out = written(out, "betweenness")
         most = out.agg(F.max("betweenness").alias("_m"))
         out = out.join(F.broadcast(most)).select("u", "v", (F.col("betweenness") / F.col("_m")).alias("betweenness"))
     return out
@@ -182,6 +213,8 @@ def betweenness(edges: DataFrame, weight: str = "weight", length: str = "length"
 def service_area(edges: DataFrame, nodes: DataFrame, limit: float, weight: str = "length") -> DataFrame:
     """node, u, v, share: how much of each edge can be reached within ``limit`` of each node."""
     graph = sent(edges, weight, weight)
+    if graph is None:
+        return relaxed.service_area(edges, nodes, limit, weight)
 
     def run(frames):
         g = graph.value
@@ -190,7 +223,7 @@ def service_area(edges: DataFrame, nodes: DataFrame, limit: float, weight: str =
             for node in pdf["node"]:
                 s = g.place(node)
                 if s >= 0:
-                    for x, d in g.search(s, limit=limit)[0].items():
+                    for x, d in g.search(s, limit=limit).items():
                         for k in range(g.first[x], g.first[x + 1]):
                             share = min(1.0, (limit - d) / g.weight[k]) if g.weight[k] > 0 else 1.0
                             if share > 0:
@@ -198,32 +231,3 @@ def service_area(edges: DataFrame, nodes: DataFrame, limit: float, weight: str =
             yield pd.DataFrame(rows, columns=["node", "u", "v", "share"])
 
     return nodes.select("node").distinct().repartition("node").mapInPandas(run, "node bigint, u bigint, v bigint, share double")
-
-
-def _relaxed(known: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
-    """source, node, cost after one more edge."""
-    further = known.join(edges, known["node"] == edges["u"]).select("source", F.col("v").alias("node"), (F.col("cost") + F.col(weight)).alias("cost"))
-    return known.select("source", "node", "cost").unionAll(further).groupBy("source", "node").agg(F.min("cost").alias("cost"))
-
-
-def reach(edges: DataFrame, sources: DataFrame, weight: str, steps: int) -> DataFrame:
-    """source, node, cost over at most ``steps`` edges, by joins: for graphs of any size."""
-    known = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))
-    for _ in range(steps):
-        known = written(_relaxed(known, edges, weight))
-    return known
-
-
-def costs(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:
-    """source, node, cost of the cheapest path to every node in reach, by joins: for graphs of any size.
-
-    Only nodes whose cost fell in a round are followed in the next one, until none falls;
-    weights must not be negative. A pair of source and node is one row.
-    """
-    known = fresh = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct(), "costs")
-    while not fresh.isEmpty():
-        further = fresh.join(edges, fresh["node"] == edges["u"]).groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col(weight)).alias("cost"))
-        old = known.select("source", "node", F.col("cost").alias("_old"))
-        fresh = written(further.join(old, ["source", "node"], "left").where("_old IS NULL OR cost < _old").select("source", "node", "cost"), "fallen")
-        known = written(known.unionAll(fresh).groupBy("source", "node").agg(F.min("cost").alias("cost")), "costs")
-    return known

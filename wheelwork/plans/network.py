@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wheelwork.functions import tags as T
 from wheelwork.operators import components as C
-from wheelwork.operators import gaps, kmodes, network, routing
+from wheelwork.operators import gaps, kmodes, network, relaxed, routing
 from wheelwork.operators.lineage import written
 from wheelwork.operators.statistics import described
 from wheelwork.plans.inputs import STREETS, positions, streets, table
@@ -181,14 +181,30 @@ def _routes(spark, d):
     return routing.shortest_paths(_priced(m), m.select(F.col("u").alias("origin"), F.col("v").alias("destination")))
 
 
-@query()
-def shortest_paths(spark, d):
-    return _routes(spark, d).select("origin", "destination", F.array_join("route", ",").alias("route"), F.round("cost", 6).alias("cost"))
-
-
 _DISTANCES = f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v, 100.0 / trips AS w FROM moves),
 dist(s, n, c) USING KEY (s, n) AS (SELECT u, u, 0.0::DOUBLE FROM (SELECT u FROM e UNION SELECT v FROM e) UNION
   SELECT dist.s, e.v, min(dist.c + e.w) FROM dist JOIN e ON e.u = dist.n LEFT JOIN recurring.dist AS k ON k.s = dist.s AND k.n = e.v WHERE k.c IS NULL OR dist.c + e.w < k.c - 1e-12 GROUP BY 1, 2)"""
+_DAG = f"{_DISTANCES}, dag AS MATERIALIZED (SELECT a.s, e.u, e.v, e.w FROM dist a JOIN e ON e.u = a.n JOIN dist b ON b.s = a.s AND b.n = e.v WHERE a.c + e.w <= b.c + 1e-9)"
+_ROUTES = f"""{_DAG}, back AS MATERIALIZED (SELECT s, v, min(u) AS u FROM dag GROUP BY 1, 2),
+walk(o, d, n, p) AS (SELECT u, v, v, [v] FROM moves UNION ALL SELECT o, d, back.u, list_prepend(back.u, p) FROM walk JOIN back ON back.s = o AND back.v = n WHERE n <> o),
+routes AS (SELECT o AS origin, d AS destination, p AS route FROM walk WHERE n = o)"""
+_EDGES_OF = "used AS (SELECT origin, destination, route[i] AS u, route[i + 1] AS v FROM (SELECT *, unnest(range(1, len(route))) AS i FROM routes))"
+
+
+def _between_sql(worth: str, within: str = "true") -> str:
+    """Numbers of paths forwards, worths backwards, each a round an edge."""
+    return f"""{_DAG}, fwd(s, n, k, span, i) AS (SELECT s, n, 1.0::DOUBLE, 0.0::DOUBLE, 0 FROM dist WHERE s = n UNION ALL SELECT f.s, g.v, sum(k), min(span + g.w), any_value(i) + 1 FROM fwd f JOIN dag g ON g.s = f.s AND g.u = f.n GROUP BY f.s, g.v),
+cnt AS MATERIALIZED (SELECT s, n, sum(k) AS k, min(span) AS span FROM fwd GROUP BY 1, 2),
+part AS MATERIALIZED (SELECT g.s, g.u, g.v, a.k / b.k AS share FROM dag g JOIN cnt a ON a.s = g.s AND a.n = g.u JOIN cnt b ON b.s = g.s AND b.n = g.v),
+bwd(s, n, x, i) AS (SELECT s, n, ({worth})::DOUBLE, 0 FROM cnt WHERE s <> n AND {within} UNION ALL SELECT b.s, p.u, sum(x * share), any_value(i) + 1 FROM bwd b JOIN part p ON p.s = b.s AND p.v = b.n WHERE p.u <> b.s GROUP BY b.s, p.u),
+val AS (SELECT s, n, sum(x) AS x FROM bwd GROUP BY 1, 2), tot AS (SELECT p.u, p.v, sum(x * share) AS b FROM val JOIN part p ON p.s = val.s AND p.v = val.n GROUP BY 1, 2),
+every AS (SELECT e.u, e.v, coalesce(b, 0) AS b FROM e LEFT JOIN tot ON tot.u = e.u AND tot.v = e.v)"""
+
+
+@query(f"{_ROUTES} SELECT m.u AS origin, m.v AS destination, array_to_string(route, ',') AS route, round(c, 6) AS cost FROM moves m JOIN routes ON origin = m.u AND destination = m.v JOIN dist ON s = m.u AND n = m.v")
+def shortest_paths(spark, d):
+    """Of equally cheap routes, backwards the smallest node before each."""
+    return _routes(spark, d).select("origin", "destination", F.array_join("route", ",").alias("route"), F.round("cost", 6).alias("cost"))
 
 
 @query(f"{_DISTANCES} SELECT m.u AS origin, m.v AS destination, round(c, 6) AS cost FROM moves m LEFT JOIN dist ON s = m.u AND n = m.v")
@@ -197,23 +213,40 @@ def path_costs(spark, d):
     return _routes(spark, d).select("origin", "destination", F.round("cost", 6).alias("cost"))
 
 
-@query()
+@query(f"{_ROUTES}, {_EDGES_OF} SELECT e.u, e.v, count(used.u) AS n FROM e LEFT JOIN used ON used.u = e.u AND used.v = e.v GROUP BY 1, 2")
 def edge_usage(spark, d):
     return routing.edge_usage(_network(spark, d), _routes(spark, d))
 
 
-@query()
+@query(f"{_ROUTES}, {_EDGES_OF} SELECT origin, destination, round(sum(w), 6) AS length, count(*) AS n_edges FROM used JOIN e USING (u, v) GROUP BY 1, 2")
 def route_lengths(spark, d):
     e = _network(spark, d)
     return routing.route_edges(_routes(spark, d)).join(e, ["u", "v"]).groupBy("origin", "destination").agg(F.round(F.sum("length"), 6).alias("length"), F.count("*").alias("n_edges"))
 
 
-@query()
+@query(f"{_between_sql('1.0')} SELECT u, v, round(b, 6) AS betweenness FROM every")
 def betweenness(spark, d):
     return routing.betweenness(_network(spark, d)).select("u", "v", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query()
+@query(f"{_between_sql('1.0')} SELECT u, v, round(b, 6) AS betweenness FROM every")
+def betweenness_by_joins(spark, d):
+    """The same without any worker holding the graph."""
+    e = written(_network(spark, d), "network")
+    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node")))
+    found = relaxed.betweenness(e, nodes, "weight", "length", 0.0, float("inf"), "count", {})
+    return e.select("u", "v").join(found, ["u", "v"], "left").select("u", "v", F.round(F.coalesce("betweenness", F.lit(0.0)), 6).alias("betweenness"))
+
+
+@query(f"{_ROUTES} SELECT origin, destination, array_to_string(route, ',') AS route FROM routes")
+def routes_by_joins(spark, d):
+    """Routes of all moves without any worker holding the graph."""
+    m = written(_moves(spark, d), "moves")
+    found = relaxed.routes(_priced(m), m.select(F.col("u").alias("origin"), F.col("v").alias("destination")))
+    return found.select("origin", "destination", F.array_join("route", ",").alias("route"))
+
+
+@query(f"{_between_sql('CASE WHEN span <> 0 THEN 1 / (span * span) ELSE 0 END', 'span BETWEEN 1.0 AND 200.0')} SELECT u, v, round(b / max(b) OVER (), 9) AS betweenness FROM every")
 def betweenness_gravity(spark, d):
     return routing.betweenness(_network(spark, d), lower=1.0, upper=200.0, pair_weight="gravity", normalized=True).select("u", "v", F.round("betweenness", 9).alias("betweenness"))
 
@@ -274,14 +307,26 @@ def gap_merge(spark, d):
     return gaps.merged(_overlap_edges(spark, d))
 
 
-@query()
+def _greedy_sql(k: int) -> str:
+    """One pick after the other, each scored over what those before have left."""
+    steps = ["c AS (SELECT DISTINCT l_suppkey AS gap_id, l_partkey AS cell, (l_partkey % 97 + 1.0)::DOUBLE AS population FROM lineitem)", "k0 AS MATERIALIZED (SELECT DISTINCT l_partkey AS cell FROM lineitem WHERE l_quantity = 50)"]
+    for i in range(1, k + 1):
+        before = " UNION ALL ".join(f"SELECT gap_id FROM p{j}" for j in range(1, i)) or "SELECT NULL WHERE false"
+        steps.append(f"p{i} AS MATERIALIZED (SELECT {i} AS rank, gap_id, coalesce(sum(population) FILTER (WHERE k.cell IS NULL), 0) AS added FROM c LEFT JOIN k{i - 1} k USING (cell) WHERE gap_id NOT IN ({before}) GROUP BY gap_id ORDER BY added DESC, gap_id LIMIT 1)")
+        steps.append(f"k{i} AS MATERIALIZED (SELECT cell FROM k{i - 1} UNION SELECT cell FROM c WHERE gap_id = (SELECT gap_id FROM p{i}))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT rank, gap_id, added FROM p{i}" for i in range(1, k + 1))
+
+
+@query(_greedy_sql(11))
 def gap_rank(spark, d):
     cells = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("gap_id"), F.col("l_partkey").alias("cell"), (F.col("l_partkey") % 97 + 1.0).cast("double").alias("population")).distinct()
     covered = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("cell")).distinct()
     return gaps.greedy_rank(cells, covered, 11)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v FROM moves WHERE u < v AND trips >= 4),
+p(start, path, last) AS (SELECT u, [u], u FROM (SELECT DISTINCT u FROM e WHERE u NOT IN (SELECT v FROM e)) UNION ALL SELECT start, list_append(path, e.v), e.v FROM p JOIN e ON e.u = p.last)
+SELECT start, array_to_string(path, ',') AS path FROM p WHERE len(path) > 1 AND last NOT IN (SELECT u FROM e)""")
 def gap_paths(spark, d):
     """Gaps over relevant moves: those to higher places with 4 trips or more, which is what a gap is made of here."""
     e = _moves(spark, d).where("u < v AND trips >= 4").select("u", "v")

@@ -131,6 +131,23 @@ def test_op3_equal_rows_are_spread(spark, monkeypatch):
     assert max(collections.Counter(r["bucket"] for r in out).values()) < 30
 
 
+def test_op3_order_of_equal_rows_does_not_depend_on_partitions(spark, tmp_path):
+    same = spark.range(2500).selectExpr("7L AS doc_id", "'equal' AS text")
+    other = spark.range(1500).selectExpr("id + 100 AS doc_id", "concat('text ', id) AS text")
+    same.unionByName(other).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    places = lambda df: sorted((r["shard"], r["slot"], r["bucket"], r["text"]) for r in sharding.shuffled(df, 6, bucket_bytes=4000).collect())
+    one, before = places(docs), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2k", "11k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert places(docs) == one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert places(docs.repartition(7, "text")) == one == places(docs.orderBy(docs.doc_id.desc()))
+    assert sum(t == "equal" for *_, t in one) == 2500 and len(one) == 4000
+
+
 def test_op6(spark, folder, rows):
     want = collections.Counter()
     for (i, n, gone, kept), c in brute_repeats(rows).items():

@@ -11,9 +11,9 @@ The number of buckets and of their partitions follows from the table alone, so t
 table and seed give the same order whatever the session's partition settings.
 
 Cases: null identifiers and null texts are scattered like any others; repeated rows are
-all kept: of rows that are equal in every column and more than ``MOST_EQUAL``, each is
-scattered by its place in the input, so that they do not meet in one bucket (which of
-them is where makes no difference); an empty table gives empty shards; input columns
+all kept: rows that are equal in every column and more than ``MOST_EQUAL`` are counted, and
+as many as there are are made of one of them, each scattered by its number, so that they do
+not meet in one bucket; an empty table gives empty shards; input columns
 named like an output column go on as ``<name>_in``. Map columns have no hash and are an error.
 """
 
@@ -31,6 +31,20 @@ MANY_BUCKETS = 1 << 20
 MOST_EQUAL = 1_000
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (``_r``) of hot keys with the place each is scattered by: the n-th of equal rows by key and n.
+
+    What tells equal rows apart is not their order in the input, so every evaluation gives the same places.
+    They are counted first; runs of ``MOST_EQUAL`` numbers are dealt over the tasks and then made rows again.
+    """
+    counted = rows.groupBy("_key", "_r").agg(F.count("*").alias("_c"))
+    runs = counted.select("_r", "_key", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / MOST_EQUAL))).alias("_run"))
+    dealt = runs.repartition(n, "_key", "_run")
+    first = F.col("_run") * MOST_EQUAL
+    each = dealt.select("_r", "_key", F.explode(F.sequence(first, F.least(first + MOST_EQUAL, F.col("_c")) - 1)).alias("_nth"))
+    return each.select("_r", "_key", F.xxhash64("_key", "_nth").alias("_place"))
+
+
 def shuffled(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = 8 << 20, most_bytes: int = 128 << 20,
              text_column: str = "text") -> DataFrame:
     """All records with ``shard``, ``slot`` (gapless from 0 in a shard) and ``bucket``.
@@ -45,18 +59,19 @@ def shuffled(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes:
     n = buckets_for(size, min(most_bytes, max(bucket_bytes, size // MANY_BUCKETS)))
     # mostly none; one row for MOST_EQUAL rows of the table at most
     equal = docs.groupBy(key.alias("_key")).count().where(F.col("count") > MOST_EQUAL).select("_key", F.lit(True).alias("_many"))
-    place = F.when(F.col("_many"), F.xxhash64("_key", F.monotonically_increasing_id())).otherwise(F.col("_key"))
     keyed = docs.select(F.struct(*docs.columns).alias("_r"), key.alias("_key"))
     n_equal = equal.count()
-    known = keyed.join(F.broadcast(equal) if n_equal <= MANY_BUCKETS else equal, "_key", "left") if n_equal else keyed.withColumn("_many", F.lit(False))
-    keyed = known.withColumn("_place", place)
-    bucketed = keyed.select("_r", F.pmod("_place", F.lit(n)).cast("int").alias("bucket"), F.xxhash64(F.lit(seed + 1), "_place").alias("_h"))
+    known = keyed.withColumn("_place", F.col("_key"))
+    if n_equal:
+        marked = keyed.join(F.broadcast(equal) if n_equal <= MANY_BUCKETS else equal, "_key", "left")
+        known = marked.where("_many IS NULL").select("_r", "_key", F.col("_key").alias("_place")).unionByName(_dealt(marked.where("_many"), n))
+    bucketed = known.select("_r", F.pmod("_place", F.lit(n)).cast("int").alias("bucket"), F.xxhash64(F.lit(seed + 1), "_place").alias("_h"), F.hash("_r").alias("_h2"))
     counts = bucketed.groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # a row of 16 bytes for each bucket
     offsets = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"), F.sum("count").over(Window.partitionBy()).alias("_n"))
     # a number of partitions that is asked for stays as it is, and with it each bucket's draw
-    scattered = bucketed.repartition(n, "bucket").sortWithinPartitions("bucket", "_h")
+    scattered = bucketed.repartition(n, "bucket").sortWithinPartitions("bucket", "_h", "_h2")
     mixed = scattered.groupBy("bucket").agg(F.collect_list("_r").alias("_rs")).select("bucket", F.posexplode(F.shuffle("_rs", seed)).alias("_pos", "_r"))
     shard = F.expr(f"(_at * {n_shards}) div _n")
     return (

@@ -1,13 +1,17 @@
 """K-modes clustering of categorical rows: Hamming distance, most frequent value per column.
 
-Rows are first counted per distinct combination, so each round is one aggregation over
-combinations; centroids (k rows) are all that the driver holds.
+Rows are first counted per distinct combination. All models of a sweep (every k, way and
+start) are fitted side by side: a round is one pass over the combinations and one aggregation for all
+of them; centroids are all that the driver holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wheelwork.operators.lineage import drop_written, written
 
@@ -73,36 +77,103 @@ def _by_values(counted: DataFrame, columns: list[str], k: int) -> list[tuple]:
     return taken
 
 
+def _coded(counted: DataFrame, columns: list[str]) -> DataFrame:
+    """codes (a hash per column, equal for equal values and nulls), _n of counted combinations."""
+    return counted.select(F.array(*[F.xxhash64(c) for c in columns]).alias("codes"), F.col("_n").cast("bigint").alias("n"))
+
+
+def _codes_of(counted: DataFrame, columns: list[str], centres: list[list[tuple]]) -> list[np.ndarray]:
+    """The codes of first centres, looked up once for all models."""
+    every = list(dict.fromkeys(c for model in centres for c in model))
+    kinds = T.StructType([T.StructField("i", T.IntegerType())] + [T.StructField(f.name, f.dataType) for f in counted.select(*columns).schema])
+    rows = counted.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(every)], kinds).select("i", F.array(*[F.xxhash64(c) for c in columns]).alias("codes")).collect()
+    known = {every[r["i"]]: r["codes"] for r in rows}
+    return [np.array([known[c] for c in model], np.int64).reshape(len(model), len(columns)) for model in centres]
+
+
+def _counts(coded: DataFrame, models: dict[int, np.ndarray]) -> DataFrame:
+    """model, cluster, place, code, n: how often each value stands in each cluster of each model; place -1 has the cost.
+
+    One pass over the combinations for all models; a task sums up before it sends.
+    """
+    kinds = [("model", pa.int32()), ("cluster", pa.int32()), ("place", pa.int32()), ("code", pa.int64()), ("n", pa.int64())]
+
+    def run(batches):
+        sums: dict[tuple, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("codes").flatten().to_numpy().reshape(batch.num_rows, -1)
+            n = batch.column("n").to_numpy()
+            for m, centres in models.items():
+                away = np.zeros((len(codes), len(centres)), np.int32)
+                for j in range(codes.shape[1]):
+                    away += codes[:, j, None] != centres[None, :, j]
+                own = away.argmin(1)
+                sums[m, -1, -1, 0] = sums.get((m, -1, -1, 0), 0) + int((away[np.arange(len(own)), own] * n).sum())
+                for j in range(codes.shape[1]):
+                    values, inverse = np.unique(codes[:, j], return_inverse=True)
+                    table = np.bincount(own * len(values) + inverse, weights=n, minlength=len(centres) * len(values))
+                    for place in np.flatnonzero(table):
+                        key = (m, int(place // len(values)), j, int(values[place % len(values)]))
+                        sums[key] = sums.get(key, 0) + int(table[place])
+        rows = [(*k, v) for k, v in sums.items()]
+        for at in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 50_000]], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+
+    return coded.mapInArrow(run, "model int, cluster int, place int, code bigint, n bigint").groupBy("model", "cluster", "place", "code").agg(F.sum("n").alias("n"))
+
+
+def _fitted(rows: DataFrame, columns: list[str], starts: list[tuple[str, int, int]], rounds: int) -> list[tuple[list[tuple], int]]:
+    """Centres and cost of models (way, k, seed), all fitted side by side: a round is one pass and one aggregation for all.
+
+    Per model the most frequent value of each column in a cluster (ties: the smaller, nulls first)
+    comes to the driver, models times k times columns in all.
+    """
+    counted = written(rows.groupBy(*columns).agg(F.count("*").alias("_n")), "combinations")
+    coded = written(_coded(counted, columns), "coded")
+    names = written(counted.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.xxhash64(c).alias("code"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])).alias("v")).select("v.*").distinct(), "values")
+    # first centres of a smaller k are the first of a larger one
+    widest: dict[tuple[str, int], int] = {}
+    for way, k, seed in starts:
+        widest[way, seed] = max(k, widest.get((way, seed), 0))
+    first = {start: first_centres(counted, columns, k, start[1], start[0]) for start, k in widest.items()}
+    values = [first[way, seed][:k] for way, k, seed in starts]
+    codes = _codes_of(counted, columns, values)
+    kinds = [dict(rows.dtypes)[c] for c in columns]
+    costs: list[int | None] = [None] * len(starts)
+    going = [m for m in range(len(starts)) if values[m]]
+    for _ in range(rounds):
+        if not going:
+            break
+        counts = written(_counts(coded, {m: codes[m] for m in going}), "counts")
+        now = {r["model"]: r["n"] for r in counts.where("place < 0").collect()}
+        better = [m for m in going if costs[m] is None or now.get(m, 0) < costs[m]]
+        for m in better:
+            costs[m] = now.get(m, 0)
+        modes = counts.where(F.col("place") >= 0).join(names, ["place", "code"]).groupBy("model", "cluster", "place").agg(F.min_by(F.struct("code", "value"), F.struct(-F.col("n"), F.col("value"))).alias("m"))
+        for r in modes.where(F.col("model").isin(better)).collect() if better else ():
+            m, j, i, value = r["model"], r["cluster"], r["place"], r["m"]["value"]
+            codes[m][j, i] = r["m"]["code"]
+            centre = list(values[m][j])
+            centre[i] = int(value) if value is not None and kinds[i] in ("int", "bigint") else value
+            values[m][j] = tuple(centre)
+        drop_written(counts)
+        going = better
+    drop_written(counted, coded, names)
+    return [(v, c or 0) for v, c in zip(values, costs, strict=True)]
+
+
 def fit(rows: DataFrame, columns: list[str], k: int, rounds: int = 20, restarts: int = 1, seed: int = 1, way: str = "frequent") -> tuple[list[tuple], float]:
-    """Centres and cost of the best restart."""
-    counted = rows.groupBy(*columns).agg(F.count("*").alias("_n")).cache()
-    best = None
-    for r in range(restarts):
-        centres, cost = first_centres(counted, columns, k, seed + r, way if r == 0 else "random"), None
-        for _ in range(rounds):
-            marked = assign(counted, columns, centres)
-            now = marked.agg(F.sum(F.col("distance") * F.col("_n"))).first()[0] or 0
-            if cost is not None and now >= cost:
-                break
-            cost = now
-            modes = []
-            for i, c in enumerate(columns):
-                w = Window.partitionBy("cluster").orderBy(F.desc("n"), F.col(c).asc_nulls_first())
-                m = marked.groupBy("cluster", c).agg(F.sum("_n").alias("n")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("cluster", F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
-                modes.append(m)
-            found = modes[0]
-            for m in modes[1:]:
-                found = found.unionAll(m)
-            table = {(x["cluster"], x["i"]): x["v"] for x in found.collect()}
-            kinds = dict(rows.dtypes)
-            centres = [tuple((int(v) if v is not None and kinds[c] in ("int", "bigint") else v) for c, v in ((c, table.get((j, i), centre[i])) for i, c in enumerate(columns))) for j, centre in enumerate(centres)]
-        if best is None or cost < best[1]:
-            best = (centres, cost)
-    counted.unpersist()
-    return best
-
-
-def sweep(rows: DataFrame, columns: list[str], ks: list[int], ways=("frequent", "random")) -> DataFrame:
-    """way, k, cost: the cost curve."""
-    out = [(way, k, float(fit(rows, columns, k, way=way)[1])) for way in ways for k in ks]
-    return rows.sparkSession.createDataFrame(out, "way string, k int, cost double")
+    """Centres and cost of the best of ``restarts`` starts: the first by ``way``, further ones at random."""
+    found = _fitted(rows, columns, [(way if r == 0 else "random", k, seed + r) for r in range(restarts)], rounds)
+    return min(found, key=lambda x: x[1])
+
+
+def sweep(rows: DataFrame, columns: list[str], ks: list[int], ways=("frequent", "random"), restarts: int = 1, rounds: int = 20) -> DataFrame:
+    """way, k, cost: the cost curve; of several starts the least. A way that draws nothing has one start."""
+    starts = [(way, k, 1 + r) for way in ways for k in ks for r in range(restarts if way == "random" else 1)]
+    best: dict[tuple[str, int], int] = {}
+    for (way, k, _), (_, cost) in zip(starts, _fitted(rows, columns, starts, rounds), strict=True):
+        best[way, k] = min(cost, best.get((way, k), cost))
+    return rows.sparkSession.createDataFrame([(way, k, float(c)) for (way, k), c in best.items()], "way string, k int, cost double")

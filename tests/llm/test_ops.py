@@ -377,3 +377,26 @@ def test_pipeline(spark):
                 assert (i in after) == (hit <= 0.5 * n)
                 assert hit or after[i] == t
     assert {d for r in docs.select("doc_ids").collect() for d in r["doc_ids"]} == set(after)
+
+
+LICENSE_LINES = [
+    ("released under the GNU General Public License v3", "gpl-3"), ("Licensed under the Apache License v2.0", "apache-2"), ("This is released under GPLv3.", "gpl-3"), ("License: GPL-2.0-or-later", "gpl-2-or-later"),
+    ("linked against an LGPLv2.1 library", "lgpl-2.1"), ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3-only"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "mit apache-2"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "gpl-2-only syscall-note"), ("// SPDX-License-Identifier: BSD-3-Clause AND ISC AND Zlib\nint x;", "bsd-3 isc zlib"), ("AGPL v3", "agpl-3"), ("MPLv2", "mpl-2"),
+    ("GNU Lesser General Public License v2.1", "lgpl-2.1"), ("under GPL version 2 or any later version", "gpl-2-or-later"), ("Mozilla Public License, v. 2.0", "mpl-2"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by-sa"),
+]
+
+
+@pytest.mark.parametrize(("line", "labels"), LICENSE_LINES)
+def test_license_versions_and_expressions(line, labels):
+    from wheelwork.llm.words import words_of
+
+    _, found = licenses.detect(words_of(line.encode()))
+    assert set(labels.split()) <= {d[0] for d in found}
+    assert not {d[0] for d in found} - set(labels.split()) - {"spdx", "spdx-choice", "spdx-all", "spdx-exception"}
+
+
+def test_license_expression_ends_where_it_is_not_known():
+    assert licenses.expression([b"mit", b"or", b"unheard", b"isc"], 0) == [("mit", 0, 1)]
+    assert licenses.expression([], 0) == licenses.expression([b"mit"], 1) == []
+    assert licenses.expression([b"gpl", b"2", b"0", b"or", b"later", b"or", b"mit"], 0) == [("gpl-2-or-later", 0, 5), ("mit", 6, 7)]

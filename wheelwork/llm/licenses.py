@@ -2,7 +2,8 @@ r"""License scans: ordered signature rules over normalised words.
 
 Rules are regexes over a text's lower-cased words joined by single spaces: the sentences
 of TEXTS and the hand-written FAMILIES in the TEMPLATES below (some hundreds). A rule is
-tried only if one of its gate keywords begins a word of the text. Detections are resolved
+tried only if one of its gate keywords begins a word of the text. Behind an SPDX marker
+the expression is read identifier by identifier. Detections are resolved
 in the order of priority, then length, then place, then rule: one that lies inside an
 accepted interval is suppressed (lying inside any earlier one is the same, as that one
 lies in an accepted one itself). Per rule, the work is in proportion to the text, and
@@ -88,15 +89,28 @@ FAMILIES = [
 GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|shared) (?:solely )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 #: priority, pattern of {name} and {version}; {version} makes it one for versioned families.
 TEMPLATES = [
-    (95, GRANT + "(?:{name})(?: licen[sc]e)? (?:version |v )?{version}"),
-    (90, "(?:subject to|governed by|covered by) (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)? (?:version |v )?{version}"),
-    (85, "(?:{name}) licen[sc]e,? (?:version |v )?{version}"),
-    (80, "(?:{name}) (?:version |v )?{version}"),
+    (95, GRANT + "(?:{name})(?: licen[sc]e)? (?:version |v )?v?{version}"),
+    (90, "(?:subject to|governed by|covered by) (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)? (?:version |v )?v?{version}"),
+    (85, "(?:{name}) licen[sc]e,? (?:version |v )?v?{version}"),
+    (80, "(?:{name}) (?:version |v )?v?{version}"),
     (75, GRANT + "(?:{name})(?: licen[sc]e)?"),
     (70, "(?:see|read|copy of|text of) the (?:{name}) licen[sc]e"),
     (65, "licen[sc]e (?:name |identifier |type )?(?:is )?(?:the )?(?:{name})(?: licen[sc]e)"),
     (60, "(?:{name}) licen[sc]e"),
 ]
+#: Short names and their versions, written as one word or several (gplv3, gpl v3, GPL-3.0), with what may follow a version and the label's end.
+SHORT = {"gpl": ("1", "2", "3"), "lgpl": ("2", "2.1", "3"), "agpl": ("1", "3"), "mpl": ("1.1", "2"), "epl": ("1", "2"), "eupl": ("1.1", "1.2"), "cddl": ("1",), "osl": ("3",), "afl": ("3",), "gfdl": ("1.2", "1.3"), "sspl": ("1",), "bsl": ("1",), "odbl": ("1",)}
+AFTER = [(82, "", ""), (83, "-only", " only"), (83, "-or-later", "(?: |plus )or (?:any )?later(?: version)?"), (83, "-or-later", " or (?:at your option )?any later version")]
+#: Identifiers of expressions behind "SPDX-License-Identifier", as words; fixed values. Versioned GNU ones are made of SHORT.
+SPDX = {
+    "mit": "mit", "mit 0": "mit-0", "isc": "isc", "zlib": "zlib", "0bsd": "0bsd", "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "bsd 4 clause": "bsd-4", "unlicense": "unlicense", "wtfpl": "wtfpl", "json": "json",
+    "beerware": "beerware", "ncsa": "ncsa", "postgresql": "postgresql", "ms pl": "ms-pl", "ms rl": "ms-rl", "apache 1 1": "apache-1.1", "apache 2 0": "apache-2", "artistic 1 0": "artistic-1", "artistic 2 0": "artistic-2",
+    "ofl 1 1": "ofl-1.1", "python 2 0": "python-2", "psf 2 0": "python-2", "php 3 01": "php-3", "php 3 0": "php-3", "zpl 2 1": "zpl-2", "zpl 2 0": "zpl-2", "lppl 1 3c": "lppl-1.3", "busl 1 1": "busl-1.1", "cecill 2 1": "cecill-2",
+    "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by 3 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by sa 3 0": "cc-by-sa", "cc by nd 4 0": "cc-by-nd", "cc by nc 4 0": "cc-by-nc", "cc by nc sa 4 0": "cc-by-nc-sa", "cc by nc nd 4 0": "cc-by-nc-nd",
+    "classpath exception 2 0": "classpath-exception", "gcc exception 3 1": "gcc-exception", "gcc exception 2 0": "gcc-exception", "llvm exception": "llvm-exception", "linux syscall note": "syscall-note",
+    "autoconf exception 3 0": "autoconf-exception", "bison exception 2 2": "bison-exception", "font exception 2 0": "font-exception",
+}
+SPDX_MARK, SPDX_RANK, SPDX_LONGEST = b" spdx license identifier ", 84, 7
 #: priority, label, gate keyword, pattern: texts known by their wording.
 TEXTS = [
     (100, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -170,6 +184,10 @@ def rules() -> list[tuple[int, str, frozenset[bytes], re.Pattern]]:
             if "{version}" not in pattern and version is not None and not label.startswith("cc"):
                 continue
             out.append((p, label, gate, pattern.replace("{name}", name).replace("{version}", version or "")))
+    for short, versions in SHORT.items():
+        for version in versions:
+            number = version.replace(".", " ") + ("" if "." in version else "(?: 0)?")
+            out += [(p, f"{short}-{version}{end}", short, f"{short}(?: licen[sc]e)?(?: version)? ?v?{number}{after}") for p, end, after in AFTER]
     families = {}
     for label, gate, name, version in FAMILIES:
         if version is not None and not label.startswith("cc"):
@@ -184,6 +202,35 @@ def gates() -> list[bytes]:
     return list(dict.fromkeys(g for _, _, several, _ in rules() for g in sorted(several)))
 
 
+@functools.lru_cache(maxsize=1)
+def identifiers() -> dict[tuple[bytes, ...], str]:
+    """Words of an identifier and its label."""
+    out = {tuple(k.encode().split()): v for k, v in SPDX.items()}
+    for short, versions in SHORT.items():
+        for version in versions:
+            number = version.replace(".", " ") if "." in version else f"{version} 0"
+            for end, after in (("", ""), ("-only", " only"), ("-or-later", " or later"), ("-or-later", " +")):
+                out[tuple(f"{short} {number}{after}".encode().split())] = f"{short}-{version}{end}"
+    return out
+
+
+def expression(words: list[bytes], at: int) -> list[tuple[str, int, int]]:
+    """label, first, end of the identifiers of an expression that begins at a word, joined by or, and, with; brackets are no words."""
+    known, out = identifiers(), []
+    while at < len(words):
+        for n in range(min(SPDX_LONGEST, len(words) - at), 0, -1):
+            if label := known.get(tuple(words[at : at + n])):
+                out.append((label, at, at + n))
+                at += n
+                break
+        else:
+            return out
+        if at >= len(words) or words[at] not in (b"or", b"and", b"with"):
+            return out
+        at += 1
+    return out
+
+
 def detect(words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]]]:
     """Base places (label, first word) and resolved detections (label, first, end, priority)."""
     text = b" " + b" ".join(words) + b" "
@@ -202,6 +249,11 @@ def detect(words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, i
             if not several.isdisjoint(open_gates):
                 for m in rx.finditer(text):
                     found.append((-p, m.start() - m.end(), word_at(m.start()), k, label, word_at(m.end() + 1)))
+    at = text.find(SPDX_MARK)
+    while at >= 0:
+        # behind all rules in order, so their places among equals stay
+        found += [(-SPDX_RANK, first - end, first, len(rules()), label, end) for label, first, end in expression(words, word_at(at + len(SPDX_MARK)))]
+        at = text.find(SPDX_MARK, at + 1)
     kept: list[tuple[str, int, int, int]] = []
     reach = Reach(sorted({f[2] for f in found}))
     for p, _, first, _, label, end in sorted(found):

@@ -89,3 +89,25 @@ def square_buffer(x1: Column, y1: Column, x2: Column, y2: Column, by: float) ->
     ux, uy = F.when(length > 0, (x2 - x1) / length).otherwise(1.0) * by, F.when(length > 0, (y2 - y1) / length).otherwise(0.0) * by
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     return F.array(corner(x1 - ux + uy, y1 - uy - ux), corner(x2 + ux + uy, y2 + uy - ux), corner(x2 + ux - uy, y2 + uy + ux), corner(x1 - ux - uy, y1 - uy + ux))
+
+
+def _fans(ring: Column) -> Column:
+    """A ring as triangles from its first point, each counterclockwise, with the sign it has in the ring."""
+    def triangle(i):
+        a, b, c = F.get(ring, F.lit(0)), F.get(ring, i), F.get(ring, i + 1)
+        twice = (b["x"] - a["x"]) * (c["y"] - a["y"]) - (c["x"] - a["x"]) * (b["y"] - a["y"])
+        return F.struct(F.signum(twice).alias("s"), F.when(twice >= 0, F.array(a, b, c)).otherwise(F.array(a, c, b)).alias("t"))
+
+    return F.when(F.size(ring) < 3, F.array().cast(f"array<struct<s:double,t:{RING}>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(ring) - 2), triangle))
+
+
+def _ring_overlap(ring: Column, other: Column) -> Column:
+    parts = F.transform(_fans(other), lambda f: f["s"] * ring_area(clipped_by_convex(ring, f["t"])))
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
+
+
+def overlap_area(rings: Column, other: Column) -> Column:
+    """Area that two polygons share, exact for any simple rings and holes: one is clipped by the other's triangles, which count by sign."""
+    sign = lambda i: F.when(i == 0, 1.0).otherwise(-1.0)
+    parts = F.flatten(F.transform(rings, lambda r, i: F.transform(other, lambda o, j: sign(i) * sign(j) * _ring_overlap(r, o))))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)

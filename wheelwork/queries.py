@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wheelwork.plans import accidents, evaluation, figures, files, mobility, network, places, steps, ways
+from wheelwork.plans import accidents, evaluation, figures, files, mobility, network, places, provided, steps, ways
 
-_PLANS = [mobility, figures, places, network, accidents, evaluation, steps, ways, files]
+_PLANS = [mobility, figures, places, network, accidents, evaluation, steps, ways, files, provided]
 QUERIES = {name: f for p in _PLANS for name, f in p.QUERIES.items()}
 SQL = {name: sql for p in _PLANS for name, sql in p.SQL.items()}

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wheelwork.functions.geo import from_wkt
 from wheelwork.functions.text import decimal_comma
 
 SNAPSHOT = """countries array<struct<cities:array<struct<uid:bigint,name:string,places:array<struct<uid:bigint,lat:double,lng:double,
@@ -110,3 +111,18 @@ def one_per_day(files: DataFrame, hour: int = 3, zone: str = "Europe/Berlin") ->
     """Per local day, the first file (path, UTC time) of a local hour."""
     local = F.from_utc_timestamp("time", zone)
     return files.where(F.hour(local) == hour).groupBy(F.to_date(local).alias("date")).agg(F.min_by("path", F.struct("time", "path")).alias("path"))
+
+
+PROCESSED = "`Start time` timestamp, `End time` timestamp, Duration bigint, `Rental place` string, `Return place` string, starting_position string, finishing_position string"
+
+
+def processed_rentals(spark: SparkSession, path: str) -> DataFrame:
+    """Rentals as written after preprocessing: times, duration in seconds, places, and both positions from well-known text.
+
+    Further columns of the file (distances, flags of areas) are read by name if the header has them as listed first.
+    """
+    raw = spark.read.schema(PROCESSED).option("header", True).option("enforceSchema", False).csv(path)
+    return raw.select(
+        F.col("Start time").alias("start_time"), F.col("End time").alias("end_time"), F.col("Duration").alias("duration"), F.col("Rental place").alias("rental_place"), F.col("Return place").alias("return_place"),
+        from_wkt(F.col("starting_position")).alias("start"), from_wkt(F.col("finishing_position")).alias("finish"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wheelwork.operators.lineage import drop_path
 from wheelwork.operators.versions import insert_new
 
 
@@ -48,3 +49,13 @@ def compact_day(df: DataFrame, path: str, time: str = "time") -> None:
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrites the partitions of a table that ``df`` has rows for; the others stay."""
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def compact_sources(spark, paths: list[str], target: str, time: str = "time") -> None:
+    """Small folders of Parquet as one table by day, checked row by row count, and only then dropped."""
+    rows = spark.read.parquet(*paths)
+    compact_day(rows, target, time)
+    if spark.read.parquet(target).count() != rows.count():
+        raise ValueError(f"{target} has not all rows; its sources stay")
+    for path in paths:
+        drop_path(spark, path)

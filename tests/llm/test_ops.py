@@ -15,7 +15,7 @@ import corpus_pipeline
 from wheelwork.llm import chat, decontaminate, jaccard, licenses, packing, quality, registry, repeats, sharding, sstable, toxicity
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents benchmark labels conversations".split()
+TABLES = ["documents", "benchmark", "conversations", "labels", "pages", "embeddings"]
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANKS = r"[^\x20\x09-\x0D]+"
 

@@ -357,3 +357,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
 
 def op10_vertical_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, num=85, den=100)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+, s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))) END AS sh FROM w)
+, h AS MATERIALIZED (SELECT r, len(sh) AS n, unnest(sh) AS x FROM s WHERE doc_id IS NOT NULL)
+, links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM h a JOIN h b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*)))
+, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links)
+, c(node, root) USING KEY (node) AS (SELECT r, doc_id FROM s UNION SELECT e.b, min(c.root) FROM c JOIN e ON e.a = c.node JOIN recurring.c AS k ON k.node = e.b WHERE c.root < k.root GROUP BY 1)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, root AS component_id FROM s JOIN c ON node = r
+"""

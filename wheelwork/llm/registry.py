@@ -20,6 +20,7 @@ QUERIES = {
     "op9_factorization_machine": toxicity.op9_factorization_machine,
 }
 SQL = {
+    "op10_vertical_jaccard": jaccard.OP10_SQL,
     "op11_warc_archives": warc.OP11_SQL,
     "op12_parallel_infill": infill.OP12_SQL,
     "op13_dual_tree_lloyd": lloyd.op13_sql(),

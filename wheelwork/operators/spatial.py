@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheelwork.functions.geo import cell, crosses_ring, in_ring, planar, segmentize, strictly_in
 from wheelwork.functions.shapes import RING, inside_points, open_ring, ring_area
 from wheelwork.operators.chains import stitched
-from wheelwork.operators.lineage import written
+from wheelwork.operators.lineage import drop_written, written
 
 
 def flag_zones(points: DataFrame, x: str, y: str, zones: dict[str, list[tuple[float, float]]]) -> DataFrame:
@@ -60,7 +60,9 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, size: floa
         best = near.join(spots, ["cx", "cy"]).groupBy("_x", "_y").agg(F.min(F.struct(d.alias("d"), F.col("_node"))).alias("_b"))
         settled = written(best.where(F.col("_b.d") <= size).select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_b._node").alias(node), F.col("_b.d").alias("distance")))
         done = settled if done is None else done.unionAll(settled)
-        left = written(left.join(settled.select("x", "y"), ["x", "y"], "left_anti"))
+        old, left = left, written(left.join(settled.select("x", "y"), ["x", "y"], "left_anti"), "left")
+        if hasattr(old, "written_to"):
+            drop_written(old)
         if left.isEmpty():
             break
         size *= 2

@@ -68,8 +68,15 @@ def archives(spark: SparkSession, path: str, since: str, until: str) -> DataFram
     def unpack(frames):
         for pdf in frames:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                    rows = [(path, m.name, tar.extractfile(m).read()) for m in tar if m.isfile()]
+                rows, size = [], 0
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+                    for m in tar:
+                        if m.isfile():
+                            rows.append((path, m.name, tar.extractfile(m).read()))
+                            size += m.size
+                        if size > 8 << 20:
+                            yield pd.DataFrame(rows, columns=["archive", "name", "content"])
+                            rows, size = [], 0
                 yield pd.DataFrame(rows, columns=["archive", "name", "content"])
 
     return found.select("path", "content").mapInPandas(unpack, "archive string, name string, content binary")

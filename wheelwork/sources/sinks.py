@@ -14,7 +14,7 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def insert_skip(df: DataFrame, path: str, key: list[str], order: list[str]) -> None:
-    """Appends only rows with new keys; of several the first."""
+    """Appends only rows with new keys; of several the first. One writer at a time: the check and the append are two steps."""
     spark = df.sparkSession
     existing = spark.read.schema(df.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], df.schema)
     append(insert_new(existing, df, key, order), path)
@@ -26,7 +26,7 @@ def _exists(spark, path: str) -> bool:
 
 
 def insert_batch(df: DataFrame, path: str, key: list[str]) -> bool:
-    """All or nothing: appends only if no key repeats or is already there."""
+    """All or nothing: appends only if no key repeats or is already there. One writer at a time: the check and the append are two steps."""
     spark = df.sparkSession
     keys = df.select(*key)
     if _exists(spark, path):

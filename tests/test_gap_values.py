@@ -57,6 +57,18 @@ def test_counted_percentiles(spark):
     assert list(got) == pytest.approx(list(np.percentile(flat, [0, 10, 33, 50, 99, 100])))
 
 
+def test_path_counts_are_those_of_the_listed_paths(spark):
+    rng = random.Random(9)
+    edges = {(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(40)) if a < b}
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    paths = [r["path"] for r in gaps.simple_paths(df).collect()]
+    got = {r["node"]: int(r["n_paths"]) for r in gaps.path_counts(df.unionAll(df)).collect()}
+    assert got == {n: sum(n in p for p in paths) for n in {x for e in edges for x in e}}
+    assert gaps.path_counts(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="ring"):
+        gaps.path_counts(spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3)], "u long, v long"))
+
+
 def test_way_back_is_turned_round(spark):
     e = spark.createDataFrame([(1, 2, 0, True, False, {"oneway:bicycle": "no"}, 0.0, 0.0, 1.0, 1.0, [(0.0, 0.0), (0.5, 1.0), (1.0, 1.0)])],
                               "u long, v long, key long, oneway boolean, reversed boolean, tags map<string,string>, ux double, uy double, vx double, vy double, geometry array<struct<x:double,y:double>>")

@@ -333,6 +333,17 @@ def gap_paths(spark, d):
     return gaps.simple_paths(e).select("start", F.array_join("path", ",").alias("path"))
 
 
+@query(f"""WITH RECURSIVE {MOVES}, e AS (SELECT u, v FROM moves WHERE u < v AND trips >= 4),
+f(n, c, i) AS (SELECT DISTINCT u, 1::HUGEINT, 0 FROM e WHERE u NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, sum(c)::HUGEINT, any_value(i) + 1 FROM f JOIN e ON e.u = f.n GROUP BY e.v),
+b(n, c, i) AS (SELECT DISTINCT v, 1::HUGEINT, 0 FROM e WHERE v NOT IN (SELECT u FROM e) UNION ALL SELECT e.u, sum(c)::HUGEINT, any_value(i) + 1 FROM b JOIN e ON e.v = b.n GROUP BY e.u),
+x AS (SELECT n, sum(c) AS c FROM f GROUP BY 1), y AS (SELECT n, sum(c) AS c FROM b GROUP BY 1)
+SELECT n AS node, x.c::VARCHAR AS n_before, y.c::VARCHAR AS n_after, (x.c * y.c)::VARCHAR AS n_paths FROM x JOIN y USING (n)""")
+def gap_path_counts(spark, d):
+    """How many of the paths that ``gap_paths`` lists go through each place, without listing them."""
+    e = _moves(spark, d).where("u < v AND trips >= 4").select("u", "v")
+    return gaps.path_counts(e).select("node", *[F.col(c).cast("string").alias(c) for c in ("n_before", "n_after", "n_paths")])
+
+
 @query()
 def kmodes_cost(spark, d):
     """The cost of 2 to 40 clusters by three ways of first centres."""

@@ -206,7 +206,9 @@ def _whole(edges: DataFrame, summed: DataFrame, normalized: bool) -> DataFrame:
     if normalized:
         out = written(out, "betweenness")
         most = out.agg(F.max("betweenness").alias("_m"))
-        out = out.join(F.broadcast(most)).select("u", "v", (F.col("betweenness") / F.col("_m")).alias("betweenness"))
+        # where no pair counts, the share is 0 / 0: not a number
+        share = F.when(F.col("_m") != 0, F.col("betweenness") / F.col("_m")).otherwise(float("nan"))
+        out = out.join(F.broadcast(most)).select("u", "v", share.alias("betweenness"))
     return out
 
 

@@ -15,8 +15,8 @@ workers. Nothing is shuffled but the labels and the sample's slots.
 
 Bounds (parameters): ``MAX_PER_CLASS`` labelled rows of each class, taken in the order
 of a seeded hash of the identifier, and ``SLOTS`` places (20 bytes each in the model).
-What comes to the driver are the slots of the sample: one row an identifier, 4 bytes a
-distinct slot.
+One task fits on the slots of the sample: one row an identifier, 4 bytes a distinct
+slot. What comes to the driver is the model.
 
 Cases: null or empty text has no terms, its score is the intercept's; a null identifier
 is not held out and never a training row; of several texts of one identifier one is
@@ -190,8 +190,8 @@ def probability(model: dict, places: set[int]) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text_column: str) -> list[tuple[int, np.ndarray]]:
-    """Slots of the bounded sample of labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text_column: str) -> DataFrame:
+    """doc_id, t, _y: slots of the bounded sample of labelled documents, 4 bytes a slot."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y")).where(may_learn)
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     part = [marked.where(F.col("_y") == c).orderBy(order, "doc_id").limit(MAX_PER_CLASS) for c in (0, 1)]
@@ -207,9 +207,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text_co
             yield with_columns(batch, ["_text"], {"t": pa.array(packed, pa.binary())})
 
     slots = texts.mapInArrow(run, "doc_id bigint, _y int, t binary")
-    # one text an identifier, so that repeated identifiers do not multiply what the driver gets
-    rows = slots.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "_y")).alias("x")).select("doc_id", "x.t", "x._y").collect()
-    return [(r["_y"], np.frombuffer(r["t"], np.uint32)) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    # one text an identifier, so that repeated identifiers do not multiply the sample
+    return slots.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "_y")).alias("x")).select("doc_id", "x.t", "x._y")
+
+
+def fitted(rows: DataFrame) -> dict:
+    """``fit`` over ``training_rows`` in one task, as their number is bounded; the driver gets the model alone, a row a slot."""
+
+    @tidy
+    def run(batches):
+        found = sorted(((i, y, t) for batch in batches for i, y, t in zip(batch["doc_id"].to_pylist(), batch["_y"].to_pylist(), batch["t"].to_pylist(), strict=True)), key=lambda r: r[0])
+        model = fit([(y, np.frombuffer(t, np.uint32)) for _, y, t in found])
+        vectors = [b"", *(x.tobytes() for x in model["v"])]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *model["features"]], pa.int64()), pa.array([model["b"], *model["w"].tolist()], pa.float64()), pa.array(vectors, pa.binary())], ["slot", "w", "v"])
+
+    # the row of slot -1 has the intercept; the others come in the order of slots
+    got = sorted(rows.repartition(1).mapInArrow(run, "slot bigint, w double, v binary").collect(), key=lambda r: r["slot"])
+    slots = got[1:]
+    return {
+        "features": {r["slot"]: i for i, r in enumerate(slots)}, "w": np.array([r["w"] for r in slots], np.float32),
+        "v": np.frombuffer(b"".join(r["v"] for r in slots), np.float32).reshape(len(slots), FACTORS), "b": got[0]["w"] if got else -np.inf,
+    }
 
 
 def learnable(column: str = "doc_id") -> Column:
@@ -219,7 +237,7 @@ def learnable(column: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> dict:
     bounded(docs.sparkSession)
-    return fit(training_rows(docs, labels, learnable(), text_column))
+    return fitted(training_rows(docs, labels, learnable(), text_column))
 
 
 def score(docs: DataFrame, model: dict, text_column: str = "text") -> DataFrame:

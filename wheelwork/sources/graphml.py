@@ -7,12 +7,16 @@ lists like ``[1, 2]`` too. What cannot be cast is null.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DATA = "data array<struct<_key:string,_VALUE:string>>"
 # fixed values of the format: its types by SQL type
 TYPES = {"boolean": "boolean", "int": "int", "bigint": "long", "float": "float", "double": "double", "string": "string"}
+#: Nodes and edges of a file, about.
+LINES = 250_000
 HEAD = """<?xml version="1.0" encoding="UTF-8"?>
 <graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">"""
 
@@ -75,10 +79,11 @@ def _data(df: DataFrame, names: list[str], numbers: dict[str, str]) -> Column:
     return F.concat_ws("", *parts) if parts else F.lit("")
 
 
-def write(nodes: DataFrame, edges: DataFrame, folder: str, files: int = 8) -> None:
+def write(nodes: DataFrame, edges: DataFrame, folder: str, files: int | None = None) -> None:
     """Nodes (node and attributes) and edges (u, v, key and attributes) as text files.
 
-    The files in the order of their names, one after the other, are one GraphML document;
+    Without ``files`` there is one for every ``LINES`` nodes and edges, and 8 at least, so that a
+    task's part stays as it is when the graph grows. The files in the order of their names, one after the other, are one GraphML document;
     ``read`` takes the folder. Nulls are left out.
     """
     spark = nodes.sparkSession
@@ -91,4 +96,6 @@ def write(nodes: DataFrame, edges: DataFrame, folder: str, files: int = 8) -> No
     end = lambda c: _escaped(F.col(c).cast("string"))
     edge = F.concat(F.lit('<edge source="'), end("u"), F.lit('" target="'), end("v"), F.lit('" id="'), end("key"), F.lit('">'), _data(edges, other, n_other), F.lit("</edge>"))
     lines = ends.unionAll(nodes.select(F.lit(1), F.col("node").cast("string"), node)).unionAll(edges.select(F.lit(2), F.col("u").cast("string"), edge))
+    if files is None:
+        files = max(8, math.ceil((nodes.count() + edges.count()) / LINES))
     lines.repartitionByRange(files, "part", "at", F.xxhash64("value")).sortWithinPartitions("part", "at", "value").select("value").write.mode("errorifexists").text(folder)

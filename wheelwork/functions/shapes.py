@@ -39,6 +39,16 @@ def inside_points(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.zip_with(ring, _followers(ring), crosses), F.lit(False), lambda s, c: s != c)
 
 
+def side_near(ring: Column, x: Column, y: Column, half: Column) -> Column:
+    """Whether a side of the ring touches the square around (x, y) that reaches ``half`` to all sides."""
+    def touches(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        beside = (F.greatest(p["x"], q["x"]) < x - half) | (F.least(p["x"], q["x"]) > x + half) | (F.greatest(p["y"], q["y"]) < y - half) | (F.least(p["y"], q["y"]) > y + half)
+        return ~beside & (F.abs(dx * (y - p["y"]) - dy * (x - p["x"])) <= half * (F.abs(dx) + F.abs(dy)))
+
+    return F.exists(F.zip_with(ring, _followers(ring), touches), lambda t: t)
+
+
 def polygon_area(rings: Column) -> Column:
     """Area of the outer ring less its holes."""
     return F.aggregate(F.transform(rings, lambda r, i: F.when(i == 0, ring_area(r)).otherwise(-ring_area(r))), F.lit(0.0), lambda s, d: s + d)

@@ -9,15 +9,36 @@ from wheelwork.operators.lineage import drop_written, written
 
 
 def stars(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
-    """node, component (its smallest node) for every node that has a link to a smaller one.
+    """node, component (its smallest node) for every node of a link between two different nodes.
+
+    Nodes with one neighbour leave before the rounds and take over what that neighbour has at the
+    end, so the rounds run over what is left, which is little where most nodes hang on others.
+    """
+    links = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = written(both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")), "near")
+    leaves, core = near.where("n = 1").select("u", "v"), near.where("n > 1").select(F.col("u").alias("node"))
+    inner = links.join(leaves.select(F.col("u").alias("a")), "a", "left_anti").join(leaves.select(F.col("u").alias("b")), "b", "left_anti")
+    found = _rounds(inner.select("a", "b"))
+    drop_written(links)
+    hanging = leaves.join(core, F.col("v") == F.col("node"), "left")
+    # of a node that stays: itself or the smallest that hangs on it
+    low = hanging.where("node IS NOT NULL").groupBy("node").agg(F.min("u").alias("low"))
+    own = written(core.join(found, "node", "left").join(low, "node", "left").select("node", F.coalesce("component", "node").alias("root"), F.least("node", "low").alias("low")), "own")
+    kept = own.join(own.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
+    hung = leaves.join(kept, F.col("v") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("component", F.least("u", "v")).alias("component"))
+    return kept.unionAll(hung)
+
+
+def _rounds(links: DataFrame) -> DataFrame:
+    """node, component for every node of links (a > b, distinct) that has a link to a smaller one.
 
     Alternating large-star and small-star rounds; their number grows with the logarithm
     of the longest chain. Each round is written to the shared folder, and the one before
     it is deleted. A hub's links are joined with its smallest neighbour, a table of one
     row a node, which adaptive execution splits or sends out where one node has most rows.
     """
-    links = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
-    before = None
+    links, before = written(links, "links"), None
     while True:
         # large star: every larger neighbour goes to the smallest neighbour
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -36,10 +36,13 @@ COLUMNS = {
     "relations": {"id": T.LongType(), **_TAGS, "members": T.ArrayType(_MEMBER), **_ABOUT},
 }
 RANGE_BYTES = 64 << 20
+#: Tasks from which on ranges below that size share one.
+TASKS = 1000
 #: Longest block of the format, and elements of a block that the writer makes.
 MOST_BYTES, BLOCK_ROWS = 32 << 20, 8000
 MEMBER_KINDS = ("node", "way", "relation")
 _FIRST = b"\x0a\x07OSMData"
+_ONE = [bytes([n]) for n in range(128)]
 
 
 def varints(data: bytes) -> np.ndarray:
@@ -72,17 +75,19 @@ def varint(data: bytes, at: int) -> tuple[int, int]:
 
 def message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Fields of a message in order: number and value (bytes where it has a length)."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        key, at = varint(data, at)
-        if key & 7 == 0:
-            value, at = varint(data, at)
-        elif key & 7 == 2:
-            n, at = varint(data, at)
-            value, at = bytes(view[at : at + n]), at + n
-        elif key & 7 in (1, 5):
-            n = 8 if key & 7 == 1 else 4
-            value, at = bytes(view[at : at + n]), at + n
+    at, end = 0, len(data)
+    while at < end:
+        key = data[at]
+        key, at = (key, at + 1) if key < 128 else varint(data, at)
+        kind = key & 7
+        if kind == 0:
+            value, at = (data[at], at + 1) if data[at] < 128 else varint(data, at)
+        elif kind == 2:
+            n, at = (data[at], at + 1) if data[at] < 128 else varint(data, at)
+            value, at = data[at : at + n], at + n
+        elif kind in (1, 5):
+            n = 8 if kind == 1 else 4
+            value, at = data[at : at + n], at + n
         else:
             raise ValueError("a message of a map file is damaged")
         yield key >> 3, value
@@ -91,7 +96,10 @@ def message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 def fields(data: bytes) -> dict[int, list]:
     out: dict[int, list] = {}
     for number, value in message(data):
-        out.setdefault(number, []).append(value)
+        if number in out:
+            out[number].append(value)
+        else:
+            out[number] = [value]
     return out
 
 
@@ -241,9 +249,75 @@ def _dense(data, strings, want, step, lat0, lon0, dates, text) -> Iterator[dict]
             yield {"id": n, "lon": lon, "lat": lat, "tags": text(tags), "version": version[i] if version else None, "time": times[i] * dates if times else None, "visible": bool(shown[i]) if shown else True}
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, begin: int, to: int, end: int):
-        self.path, self.begin, self.to, self.end = path, begin, to, end
+def _packed(found: list[dict], number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of a packed field of many elements, and where each element's begin and the last one's end."""
+    parts = [x[number][0] if len(x.get(number, ())) == 1 else b"".join(x.get(number, ())) for x in found]
+    data = b"".join(parts)
+    before = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 128)])
+    return varints(data), before[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
+
+
+def _summed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differences of each element as numbers."""
+    sums = np.concatenate([[0], np.cumsum(signed(values))])
+    return sums[1:] - np.repeat(sums[at[:-1]], np.diff(at))
+
+
+def batch(block: bytes, want: Wanted, schema: pa.Schema) -> pa.RecordBatch | None:
+    """The kept ways or relations of a block, column by column; None where an element has a key twice (``elements`` reads those)."""
+    got = fields(block)
+    strings = fields(got[1][0]).get(1, []) if 1 in got else []
+    if not want.somewhere(strings):
+        return pa.RecordBatch.from_pylist([], schema=schema)
+    wanted = 3 if want.kind == "ways" else 4
+    found = [fields(data) for group in got.get(2, []) for number, data in message(group) if number == wanted]
+    first: dict[bytes, int] = {}
+    same = np.array([first.setdefault(x, i) for i, x in enumerate(strings)], np.int64)
+    (keys, at), (values, to) = _packed(found, 2), _packed(found, 3)
+    if not np.array_equal(at, to):
+        raise ValueError("tags of a map file are damaged")
+    keys, values, row = same[keys], same[values], np.repeat(np.arange(len(found)), np.diff(at))
+    if len(np.unique(row * len(strings) + keys)) < len(keys):
+        return None
+    keep = np.ones(len(found), bool)
+    having = lambda hit: np.bincount(row[hit], minlength=len(found)) > 0
+    if want.tagged:
+        keep &= np.diff(at) > 0
+    if want.keys:
+        keep &= having(np.isin(keys, [first[k] for k in want.keys if k in first]))
+    if want.tag:
+        keep &= having((keys == first[want.tag[0]]) & (values == first[want.tag[1]]))
+    columns = {"id": pa.array([x[1][0] for x in found], pa.int64())}
+    used = [keys, values]
+    if want.kind == "relations":
+        (roles, r), (refs, m), (kinds, k) = _packed(found, 8), _packed(found, 9), _packed(found, 10)
+        if not (np.array_equal(r, m) and np.array_equal(m, k)):
+            raise ValueError("members of a map file are damaged")
+        used.append(roles)
+    some = set(np.concatenate(used).tolist())
+    words = pa.array([x.decode() if i in some else None for i, x in enumerate(strings)], pa.string())
+    if "tags" in want.has:
+        columns["tags"] = pa.MapArray.from_arrays(pa.array(at, pa.int32()), words.take(pa.array(keys)), words.take(pa.array(values)))
+    if "nodes" in want.has:
+        refs, m = _packed(found, 8)
+        columns["nodes"] = pa.ListArray.from_arrays(pa.array(m, pa.int32()), pa.array(_summed(refs, m)))
+    if "members" in want.has:
+        member = pa.StructArray.from_arrays([pa.array(MEMBER_KINDS, pa.string()).take(pa.array(kinds)), pa.array(_summed(refs, m)), words.take(pa.array(roles))], ["kind", "ref", "role"])
+        columns["members"] = pa.ListArray.from_arrays(pa.array(m, pa.int32()), member)
+    if want.has & set(_ABOUT):
+        dates = got.get(18, [1000])[0]
+        about = [_about(x, 4, dates) for x in found]
+        columns["version"], columns["visible"] = ([a[c] for a in about] for c in ("version", "visible"))
+        columns["time"] = [None if a["time"] is None else a["time"] * 1000 for a in about]
+    made = [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema).filter(pa.array(keep))
+
+
+class Ranges(InputPartition):
+    """Ranges of bytes that one task reads: path, begin, to, and the file's end."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
+        self.ranges = ranges
 
 
 class MapFileReader(DataSourceReader):
@@ -258,29 +332,35 @@ class MapFileReader(DataSourceReader):
         info = fs.get_file_info(top)
         found = [info] if info.type == FileType.File else [f for f in fs.get_file_info(FileSelector(top, recursive=True)) if f.type == FileType.File and f.path.endswith(".pbf") and not f.base_name.startswith(".")]
         step = int(self.options.get("range_bytes", RANGE_BYTES))
-        return [Range(f.path, at, min(at + step, f.size), f.size) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, step)] or [Range("", 0, 0, 0)]
+        ranges = [(f.path, at, min(at + step, f.size), f.size) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, step)]
+        # many small ranges share a task, which then reads no more than one range of the usual size
+        each = max(1, min(-(-len(ranges) // TASKS), RANGE_BYTES // step))
+        return [Ranges(ranges[i : i + each]) for i in range(0, len(ranges), each)] or [Ranges([])]
 
     def read(self, part):
         from pyarrow.fs import FileSystem
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        if not part.path:
-            return
         fs, _ = FileSystem.from_uri(self.options["path"])
         schema = to_arrow_schema(self.want.schema)
-        names = self.want.has
-        with fs.open_input_file(part.path) as file:
-            for block in blobs(file, part.begin, part.to, part.end):
-                rows = []
-                for e in elements(block, self.want):
-                    row = {k: v for k, v in e.items() if k in names}
-                    if row.get("time") is not None:
-                        row["time"] = row["time"] * 1000
-                    if "tags" in row:
-                        row["tags"] = list(row["tags"].items())
-                    rows.append(row)
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for path, begin, to, end in part.ranges:
+            with fs.open_input_file(path) as file:
+                for block in blobs(file, begin, to, end):
+                    found = None if self.want.kind == "nodes" else batch(block, self.want, schema)
+                    found = self._rows(block, schema) if found is None else found
+                    if found.num_rows:
+                        yield found
+
+    def _rows(self, block, schema):
+        names, rows = self.want.has, []
+        for e in elements(block, self.want):
+            row = {k: v for k, v in e.items() if k in names}
+            if row.get("time") is not None:
+                row["time"] = row["time"] * 1000
+            if "tags" in row:
+                row["tags"] = list(row["tags"].items())
+            rows.append(row)
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 class MapFile(DataSource):
@@ -341,6 +421,8 @@ def as_of(found: DataFrame, day: str) -> DataFrame:
 
 
 def packed_varint(n: int) -> bytes:
+    if 0 <= n < 128:
+        return _ONE[n]
     n &= (1 << 64) - 1
     out = bytearray()
     while n >= 128:
@@ -364,6 +446,35 @@ def _deltas(values) -> bytes:
     return b"".join(packed_varint(_sign(b - a)) for a, b in zip([0, *values], values))
 
 
+def _numbers(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Whole numbers packed one after the other, and how many bytes each takes."""
+    v = values.astype(np.uint64)
+    size = 1 + sum((v >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 10))
+    begins = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[begins[some] + k] = (v[some] >> np.uint64(7 * k)) & np.uint64(127) | np.where(size[some] > k + 1, np.uint64(128), np.uint64(0))
+    return out.tobytes(), size
+
+
+def _each(packed: tuple[bytes, np.ndarray], counts: list[int]) -> list[bytes]:
+    """Packed numbers cut into runs of so many numbers."""
+    data, size = packed
+    cuts = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _each_delta(lists: list[list[int]]) -> list[bytes]:
+    """``_deltas`` of many lists."""
+    counts = [len(x) for x in lists]
+    flat = np.array([n for x in lists for n in x], np.int64)
+    step = np.diff(flat, prepend=np.int64(0))
+    begins = np.unique((np.cumsum(counts) - counts)[np.array(counts, np.int64) > 0]).astype(np.int64)
+    step[begins] = flat[begins]
+    return _each(_numbers((step << 1) ^ (step >> 63)), counts)
+
+
 def blob(kind: bytes, content: bytes) -> bytes:
     data = _field(2, len(content)) + _field(3, zlib.compress(content))
     head = _field(1, kind) + _field(3, len(data))
@@ -380,17 +491,21 @@ def block(rows: list[dict], kind: str) -> bytes:
         spots = b"".join(b"".join(packed_varint(x) for pair in tags(r) for x in pair) + b"\0" for r in rows)
         at = lambda c: [round(r[c] * 1e7) for r in rows]
         group = _field(2, _field(1, _deltas([r["id"] for r in rows])) + _field(8, _deltas(at("lat"))) + _field(9, _deltas(at("lon"))) + _field(10, spots))
-    for r in rows if kind != "nodes" else ():
-        t = tags(r)
-        body = _field(1, r["id"]) + _field(2, b"".join(packed_varint(k) for k, _ in t)) + _field(3, b"".join(packed_varint(v) for _, v in t))
-        if r.get("version") is not None:
-            when = b"" if r.get("time") is None else _field(2, int(r["time"].timestamp()))
-            body += _field(4, _field(1, r["version"]) + when + (b"" if r.get("visible", True) is not False else _field(6, 0)))
-        if kind == "ways":
-            group += _field(3, body + _field(8, _deltas(list(r["nodes"] or []))))
-        else:
-            m = r["members"] or []
-            group += _field(4, body + _field(8, b"".join(packed_varint(number(x["role"] or "")) for x in m)) + _field(9, _deltas([x["ref"] for x in m])) + _field(10, b"".join(packed_varint(MEMBER_KINDS.index(x["kind"])) for x in m)))
+    else:
+        refs = [r["nodes"] or [] for r in rows] if kind == "ways" else [[x["ref"] for x in r["members"] or []] for r in rows]
+        out = []
+        for r, own, there in zip(rows, _each(_numbers(np.array([r["id"] for r in rows], np.int64)), [1] * len(rows)), _each_delta(refs), strict=True):
+            t = tags(r)
+            body = b"\x08" + own + _field(2, b"".join([packed_varint(k) for k, _ in t])) + _field(3, b"".join([packed_varint(v) for _, v in t]))
+            if r.get("version") is not None:
+                when = b"" if r.get("time") is None else _field(2, int(r["time"].timestamp()))
+                body += _field(4, _field(1, r["version"]) + when + (b"" if r.get("visible", True) is not False else _field(6, 0)))
+            if kind == "ways":
+                out.append(_field(3, body + _field(8, there)))
+            else:
+                m = r["members"] or []
+                out.append(_field(4, body + _field(8, b"".join([packed_varint(number(x["role"] or "")) for x in m])) + _field(9, there) + _field(10, bytes([MEMBER_KINDS.index(x["kind"]) for x in m]))))
+        group = b"".join(out)
     table = b"".join(_field(1, s.encode()) for s in strings)
     return _field(1, table) + _field(2, group)
 

@@ -1,6 +1,6 @@
 """Streams that run for ever: positions polled from files, rides with ordered state, late rows counted, days written once.
 
-Rides wait in the state of their key until the watermark has passed them, and are then made in
+Rows wait in the state of their key's slot until the watermark has passed them; rides are then made in
 order of time, so rows may come out of order by up to ``delay``. Rows older than the
 watermark come out as ``late`` instead of being dropped. A key that has had no row for ``idle`` of
 event time leaves the state (as an ``idle`` row); without ``idle`` its last row is kept as the seed of
@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 OUT = "kind string, key bigint, start_time timestamp, finish_time timestamp, start_place bigint, finish_place bigint"
 #: The same with times as microseconds, which no worker's time zone can shift.
 _RAW = OUT.replace("timestamp", "bigint")
+#: States that all keys share.
+SLOTS = 1024
 
 
 def poll(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1000, consumed: str = "off", archive: str | None = None) -> DataFrame:
@@ -50,82 +53,93 @@ def started(writer, every: str | None = None) -> StreamingQuery:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _rows(chunks) -> np.ndarray:
+    """key, time, place of rows that the state holds as bytes."""
+    return np.concatenate([np.empty((0, 3), np.int64), *[np.frombuffer(bytes(c[0]), np.int64).reshape(-1, 3) for c in chunks]])
+
+
 class Rides(StatefulProcessor):
-    """Rides of one key from its positions (time, place), in order of time."""
+    """Rides of the keys of one slot from their positions (key, time, place), each key's in order of time."""
 
     def __init__(self, idle_ms: int | None):
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "time long, place long")
-        self.last = handle.getValueState("last", "time long, place long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.last = handle.getValueState("last", "rows binary")
 
     @staticmethod
-    def _out(kind, key, rows) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["start_time", "finish_time", "start_place", "finish_place"])
-        out = out.astype("Int64")
-        out.insert(0, "key", int(key[0]))
-        out.insert(0, "kind", kind)
-        return out
+    def _out(kind, start, finish, n: int) -> pd.DataFrame:
+        """One row each from where it starts and where it finishes (rows of key, time, place, or None)."""
+        columns = {"kind": kind, "key": (finish if start is None else start)[:, 0]}
+        for i, what in ((1, "time"), (2, "place")):
+            for name, rows in (("start", start), ("finish", finish)):
+                columns[f"{name}_{what}"] = pd.array([pd.NA] * n if rows is None else rows[:, i], dtype="Int64")
+        return pd.DataFrame(columns)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, first = timerValues.getCurrentWatermarkInMs(), None
         for frame in rows:
-            times = frame["time"]
-            late = times < passed * 1000
+            new = np.column_stack([frame[c].to_numpy(np.int64) for c in ("key", "time", "place")])
+            late = new[:, 1] < passed * 1000
             if late.any():
-                yield self._out("late", key, [(None, t, None, p) for t, p in zip(times[late], frame["place"][late], strict=True)])
-            held = [(int(t), int(p)) for t, p in zip(times[~late], frame["place"][~late], strict=True)]
-            if held:
-                self.waiting.appendList(held)
-                least = min(held)[0] // 1000
+                yield self._out("late", None, new[late], int(late.sum()))
+            held = new[~late]
+            if len(held):
+                self.waiting.appendValue((held.tobytes(),))
+                least = int(held[:, 1].min()) // 1000
                 first = least if first is None else min(first, least)
         if first is not None:
             self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [(t, p) for t, p in self.waiting.get()] if self.waiting.exists() else []
-        ready, kept = sorted(x for x in held if x[0] <= passed * 1000), [x for x in held if x[0] > passed * 1000]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for t, p in ready:
-            if last is not None and p != last[1]:
-                out.append((last[0], t, last[1], p))
-            last = (t, p)
-        if ready:
-            self.last.update(last)
+        held = _rows(self.waiting.get()) if self.waiting.exists() else _rows([])
+        last = _rows([self.last.get()]) if self.last.exists() else _rows([])
+        due = held[:, 1] <= passed * 1000
+        ready, kept = held[due], held[~due]
+        # a key's last row goes before its new ones
+        known, new = np.concatenate([last, ready]), np.repeat([0, 1], [len(last), len(ready)])
+        known = known[np.lexsort((known[:, 2], known[:, 1], new, known[:, 0]))]
+        same = known[1:, 0] == known[:-1, 0]
+        ride = same & (known[1:, 2] != known[:-1, 2])
+        if ride.any():
+            yield self._out("ride", known[:-1][ride], known[1:][ride], int(ride.sum()))
+        seeds = known[np.append(~same, True)] if len(known) else known
+        timers = kept[:, 1] // 1000
+        if self.idle is not None:
+            ends, waits = seeds[:, 1] // 1000 + self.idle, np.isin(seeds[:, 0], kept[:, 0])
+            gone = ~waits & (ends <= passed)
+            if gone.any():
+                yield self._out("idle", seeds[gone], None, int(gone.sum()))
+            timers = np.append(timers, ends[~waits & ~gone])
+            seeds = seeds[~gone]
+        if len(ready):
             self.waiting.clear()
-            if kept:
-                self.waiting.put(kept)
-        if kept:
-            self.handle.registerTimer(min(kept)[0] // 1000)
-        elif last is not None and self.idle is not None:
-            end = last[0] // 1000 + self.idle
-            if end > passed:
-                self.handle.registerTimer(end)
-            else:
-                self.last.clear()
-                out_idle = self._out("idle", key, [(last[0], None, last[1], None)])
-        if out:
-            yield self._out("ride", key, out)
-        if not kept and last is not None and self.idle is not None and last[0] // 1000 + self.idle <= passed:
-            yield out_idle
+            if len(kept):
+                self.waiting.appendValue((kept.tobytes(),))
+        if len(seeds):
+            self.last.update((seeds.tobytes(),))
+        elif len(last):
+            self.last.clear()
+        if len(timers):
+            self.handle.registerTimer(int(timers.min()))
 
     def close(self) -> None:
         pass
 
 
-def rides(positions: DataFrame, delay: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+def rides(positions: DataFrame, delay: str = "10 minutes", idle_ms: int | None = None, slots: int = SLOTS) -> DataFrame:
     """kind (ride, late, idle), key, start_time, finish_time, start_place, finish_place of a stream of positions (key, time, place).
 
     A late row's time and place stand as the finish, an idle key's last ones as the start.
-    To be started within ``ordered_state``. Rows without key, time or place are left out.
+    To be started within ``ordered_state``. Rows without key, time or place are left out. Keys share
+    ``slots`` states by their hash, so calls of the state do not grow with the keys; the number stays the same for the life of a checkpoint.
     """
     known = positions.where("key IS NOT NULL AND time IS NOT NULL AND place IS NOT NULL").withWatermark("time", delay)
     # as a number, the time moves the watermark but does not let the engine drop late rows uncounted
-    raw = known.select("key", F.unix_micros("time").alias("time"), "place").groupBy("key").transformWithStateInPandas(statefulProcessor=Rides(idle_ms), outputStructType=_RAW, outputMode="Append", timeMode="EventTime")
+    raw = known.select(F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot"), "key", F.unix_micros("time").alias("time"), "place").groupBy("slot").transformWithStateInPandas(statefulProcessor=Rides(idle_ms), outputStructType=_RAW, outputMode="Append", timeMode="EventTime")
     return raw.withColumns({c: F.timestamp_micros(c) for c in ("start_time", "finish_time")})
 
 

@@ -8,32 +8,38 @@ to the shared folder and the one before is deleted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheelwork.operators.lineage import drop_written, written
 
 
-def _walked(state: DataFrame) -> DataFrame:
-    """Doubles until no element newly reaches its chain's head and no smallest element seen changes.
+def _walked(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, head, place of those whose chain has a head, and id, least of those in rings.
 
-    ``state`` has id, up (the element pointed at; null for heads and those that have arrived),
-    head, place, least. An element d steps from the smallest of its ring learns of it in the
-    round that first spans d, so a round without change means that all rings are spanned.
+    ``links`` has id and up (the element before it); what is up but no id is a head. Only elements on the way are
+    joined and written anew. An element d steps from the smallest of its ring learns of it in the
+    round that first spans d, and each round reaches a head as long as a chain is not spanned, so a round without change
+    means that all rings are.
     """
-    state = written(state, "walk")
-    before = None
-    while True:
-        known = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("head").alias("_head"), F.col("place").alias("_place"), F.col("least").alias("_least"))
+    head = F.lit(None).cast(links.schema["id"].dataType).alias("head")
+    state = written(links.select("id", "up", head, F.lit(1).cast("bigint").alias("place"), F.least("id", "up").alias("least")), "walk")
+    frames, seen, before = [], state.agg(F.count("*"), F.sum(F.xxhash64("id", "least").cast("decimal(38,0)"))).first(), None
+    while seen[0] and seen != before:
+        frames.append(state)
+        arrived = [f.where("head IS NOT NULL") for f in frames[:-1]]
+        known = reduce(DataFrame.unionByName, arrived, state).select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("head").alias("_head"), F.col("place").alias("_place"), F.col("least").alias("_least"))
         # those still on the way point at different elements, so no task gets many for one
-        moving = state.where("head IS NULL").join(known, F.col("up") == F.col("_id"))
-        moved = moving.select("id", F.when(F.col("_head").isNull(), F.col("_up")).alias("up"), F.col("_head").alias("head"), (F.col("place") + F.col("_place")).alias("place"), F.least("least", "_least").alias("least"))
-        old, state = state, written(state.where("head IS NOT NULL").unionByName(moved), "walk")
-        drop_written(old)
-        seen = state.agg(F.count("head"), F.sum(F.xxhash64("id", "least").cast("decimal(38,0)"))).first()
-        if seen == before:
-            return state
-        before = seen
+        moving = state.where("head IS NULL").join(known, F.col("up") == F.col("_id"), "left")
+        state = written(moving.select(
+            "id", F.when(F.col("_id").isNotNull() & F.col("_head").isNull(), F.col("_up")).alias("up"), F.when(F.col("_id").isNull(), F.col("up")).otherwise(F.col("_head")).alias("head"),
+            (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"), F.least("least", "_least").alias("least"),
+        ), "walk")
+        before, seen = seen, state.where("head IS NULL").agg(F.count("*"), F.sum(F.xxhash64("id", "least").cast("decimal(38,0)"))).first()
+    there = reduce(DataFrame.unionByName, [f.where("head IS NOT NULL") for f in [*frames, state]])
+    return there.select("id", "head", "place"), state.where("head IS NULL").select("id", "least")
 
 
 def ranked_chains(links: DataFrame) -> DataFrame:
@@ -43,18 +49,16 @@ def ranked_chains(links: DataFrame) -> DataFrame:
     """
     links = written(links.select("id", "before"), "links")
     there = links.select(F.col("id").alias("before")).withColumn("_there", F.lit(True))
-    known = links.join(there, "before", "left").select("id", F.when(F.col("_there"), F.col("before")).alias("up"))
-    begun = known.select("id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("place"), F.when(F.col("up").isNull(), F.col("id")).otherwise(F.least("id", "up")).alias("least"))
-    state = _walked(begun)
-    chains = state.where("head IS NOT NULL").select("id", "head", "place", F.lit(False).alias("cyclic"))
-    rings = state.where("head IS NULL")
+    known = written(links.join(there, "before", "left").select("id", F.when(F.col("_there"), F.col("before")).alias("up")), "known")
+    drop_written(links)
+    first = lambda heads, cyclic: heads.select("id", F.col("id").alias("head"), F.lit(0).cast("bigint").alias("place"), F.lit(cyclic).alias("cyclic"))
+    placed, rings = _walked(known.where("up IS NOT NULL"))
+    chains = first(known.where("up IS NULL"), False).unionByName(placed.withColumn("cyclic", F.lit(False)))
     if rings.isEmpty():
         return chains
     # a ring is opened before its smallest element and walked again
-    cut = rings.select("id", "least").join(known, "id")
-    first = F.col("id") == F.col("least")
-    again = cut.select("id", F.when(~first, F.col("up")).alias("up"), F.when(first, F.col("id")).alias("head"), F.when(first, 0).otherwise(1).cast("bigint").alias("place"), "least")
-    return chains.unionByName(_walked(again).select("id", "head", "place", F.lit(True).alias("cyclic")))
+    again, _ = _walked(rings.where("id <> least").join(known, "id").select("id", "up"))
+    return chains.unionByName(first(rings.where("id = least"), True)).unionByName(again.withColumn("cyclic", F.lit(True)))
 
 
 def stitched(pieces: DataFrame, group: list[str], piece: str = "way", nodes: str = "nodes") -> DataFrame:
@@ -106,29 +110,44 @@ def simplified(edges: DataFrame, differ: str = "osmid") -> DataFrame:
     the lines of the edges one after the other. Keys count parallel results from 0.
     """
     shaped = "geometry" in edges.columns
-    e = edges.select("u", "v", "key", F.col(differ).alias("_way"), "length", *(["geometry"] if shaped else []))
-    e = written(e.withColumn("id", F.struct("u", "v", "key")), "edges")
-    sides = e.select(F.col("u").alias("node"), F.col("v").alias("other"), F.lit(1).alias("out"), F.lit(0).alias("into"), "_way").unionAll(e.select(F.col("v").alias("node"), F.col("u").alias("other"), F.lit(0), F.lit(1), "_way"))
-    about = sides.groupBy("node").agg(
-        F.countDistinct("other").alias("neighbours"), F.sum("out").alias("out"), F.sum("into").alias("into"), F.bool_or(F.col("other") == F.col("node")).alias("looped"),
-        F.min("_way").alias("w0"), F.max("_way").alias("w1"), F.count_if(F.col("_way").isNull()).alias("bare"), F.count("*").alias("n"),
+    rest = ["geometry"] if shaped else []
+    # numbers are shorter to send and sort than (u, v, key); written, they stay as they are
+    e = written(edges.select(F.monotonically_increasing_id().alias("id"), "u", "v", "key", F.col(differ).alias("_way"), "length", *rest), "edges")
+    none = [F.lit(None).cast(e.schema[c].dataType).alias(c) for c in ("length", *rest)]
+    sides = e.select(F.col("u").alias("node"), F.col("v").alias("other"), F.lit(True).alias("out"), "id", "key", "_way", "length", *rest).unionAll(
+        e.select(F.col("v").alias("node"), F.col("u").alias("other"), F.lit(False).alias("out"), "id", "key", "_way", *none)
     )
-    same = F.when(F.col("bare") == 0, F.col("w0") == F.col("w1")).otherwise(F.col("bare") == F.col("n"))
-    inner = about.where((F.col("neighbours") == 2) & ~F.col("looped") & (F.col("out") >= 1) & (F.col("into") >= 1) & F.col("n").isin(2, 4) & same).select("node")
+    # all windows run over one shuffle by node, in one order
+    at, lane = Window.partitionBy("node"), Window.partitionBy("node", "other", "out").orderBy("key")
+    about = sides.withColumn("_lane", F.row_number().over(lane)).withColumns({
+        "_n": F.count("*").over(at), "_outs": F.count_if("out").over(at), "_lo": F.min("other").over(at), "_hi": F.max("other").over(at), "_looped": F.bool_or(F.col("other") == F.col("node")).over(at),
+        "_w0": F.min("_way").over(at), "_w1": F.max("_way").over(at), "_bare": F.count_if(F.col("_way").isNull()).over(at),
+    })
+    # an inner node has two edges in from a neighbour at most, those beyond have none to go on to
+    into = {(end, i): f"_{end}{i}" for end in ("lo", "hi") for i in (1, 2)}
+    from_ = lambda end, i: F.max(F.when(~F.col("out") & (F.col("other") == F.col(f"_{end}")) & (F.col("_lane") == i), F.col("id")))
+    about = about.withColumns({"_strays": F.count_if((F.col("other") != F.col("_lo")) & (F.col("other") != F.col("_hi"))).over(at)} | {c: from_(*k).over(at) for k, c in into.items()})
+    same = F.when(F.col("_bare") == 0, F.col("_w0") == F.col("_w1")).otherwise(F.col("_bare") == F.col("_n"))
+    two = F.col("node").isNotNull() & (F.col("_lo") != F.col("_hi")) & (F.col("_strays") == 0)
+    inner = two & ~F.col("_looped") & (F.col("_outs") >= 1) & (F.col("_outs") < F.col("_n")) & F.col("_n").isin(2, 4) & same
     # at an inner node the one edge in from a neighbour goes on to the other neighbour; parallel ones are matched in order
-    lane = lambda c: F.row_number().over(Window.partitionBy("u", "v").orderBy("key")).alias(c)
-    laned = e.select("id", "u", "v", lane("lane"))
-    ahead = laned.join(inner.withColumnRenamed("node", "v"), "v").select(F.col("id").alias("before"), F.col("u").alias("_from"), F.col("v").alias("_at"), "lane")
-    follow = laned.select("id", F.col("u").alias("_at"), F.col("v").alias("_to"), "lane").join(ahead, ["_at", "lane"]).where("_to <> _from").select("id", "before")
-    ranks = ranked_chains(e.select("id").join(follow, "id", "left")).where("NOT cyclic")
-    placed = ranks.join(e, "id")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(c).alias("x")))), lambda s: s["x"])
-    lines = F.flatten(ordered("geometry")) if shaped else None
-    out = placed.groupBy("head").agg(
-        F.min_by("u", "place").alias("u"), F.max_by("v", "place").alias("v"), F.array_distinct(ordered("_way")).alias("osmids"), F.sum("length").alias("length"), F.count("*").alias("n_edges"),
-        F.concat(F.array(F.min_by("u", "place")), ordered("v")).alias("nodes"), *([lines.alias("_g")] if shaped else []),
+    beyond = lambda end: F.when(F.col("_lane") == 1, F.col(into[end, 1])).when(F.col("_lane") == 2, F.col(into[end, 2]))
+    before = F.when(inner & (F.col("other") == F.col("_hi")), beyond("lo")).when(inner & (F.col("other") == F.col("_lo")), beyond("hi"))
+    linked = written(about.where("out").select("id", F.col("node").alias("u"), F.col("other").alias("v"), "key", "_way", "length", *rest, before.alias("before")), "linked")
+    drop_written(e)
+    ranks, _ = _walked(linked.where("before IS NOT NULL").select("id", F.col("before").alias("up")))
+    # edges behind a chain's first one are gathered; a chain of one edge goes through as it is
+    behind = ranks.join(linked.where("before IS NOT NULL"), "id").groupBy(F.col("head").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "v", "_way", *rest))).alias("_more"), F.sum("length").alias("_length")
+    )
+    placed = linked.where("before IS NULL").join(behind, "id", "left")
+    line = lambda c: F.when(F.col("_more").isNull(), F.array(c)).otherwise(F.concat(F.array(c), F.col("_more")[c]))
+    out = placed.select(
+        "u", F.when(F.col("_more").isNull(), F.col("v")).otherwise(F.get(F.col("_more")["v"], F.size("_more") - 1)).alias("v"), F.struct("v", "key").alias("_first"), F.array_distinct(line("_way")).alias("osmids"),
+        F.coalesce(F.col("length") + F.col("_length"), "length", "_length").alias("length"), (F.coalesce(F.size("_more"), F.lit(0)) + 1).cast("bigint").alias("n_edges"), F.concat(F.array("u"), line("v")).alias("nodes"),
+        *([F.flatten(line("geometry")).alias("_g")] if shaped else []),
     )
     if shaped:
         out = out.withColumn("geometry", F.filter("_g", lambda p, i: (i == 0) | (p != F.get("_g", i - 1)))).drop("_g")
-    key = F.row_number().over(Window.partitionBy("u", "v").orderBy("head")) - 1
-    return out.select("u", "v", key.alias("key"), "osmids", "length", "n_edges", "nodes", *(["geometry"] if shaped else []))
+    key = F.row_number().over(Window.partitionBy("u", "v").orderBy("_first")) - 1
+    return out.select("u", "v", key.alias("key"), "osmids", "length", "n_edges", "nodes", *rest)

@@ -241,6 +241,7 @@ def simplified_streets(spark, d):
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     n = li.select(F.col("l_orderkey").alias("o"), (F.col("l_orderkey") * 100 + nth).alias("u"), F.ascii("l_returnflag").alias("osmid"), F.round("l_extendedprice").alias("length"))
     e = n.withColumn("v", F.lead("u").over(Window.partitionBy("o").orderBy("u"))).where("v IS NOT NULL").withColumn("key", F.lit(0))
-    back = e.where("o % 2 = 0").select(F.col("v").alias("u"), F.col("u").alias("v"), "key", "osmid", "length")
-    out = C.simplified(e.select("u", "v", "key", "osmid", "length").unionByName(back))
+    way = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = F.when(F.col("o") % 2 == 0, F.array(way("u", "v"), way("v", "u"))).otherwise(F.array(way("u", "v")))
+    out = C.simplified(e.select(F.inline(both), "key", "osmid", "length"))
     return out.select("u", "v", F.get("osmids", F.lit(0)).alias("way"), "length", "n_edges")

@@ -8,14 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Predicate = Callable[[Column, Column], Column]
 
 
-def tag(tags: Column, key: str) -> Column:
-    return F.try_element_at(tags, F.lit(key))
+class Asked:
+    """Stands for a tags map and notes which keys are asked for: a column of its own for each."""
+
+    def __init__(self):
+        self.columns: dict[str, str] = {}
+
+    def __call__(self, key: str) -> Column:
+        return F.col(self.columns.setdefault(key, f"_tag{len(self.columns)}"))
+
+
+def tag(tags: Column | Asked, key: str) -> Column:
+    return tags(key) if isinstance(tags, Asked) else F.try_element_at(tags, F.lit(key))
 
 
 def has(tags: Column, key: str, *values: str) -> Column:
@@ -197,6 +207,19 @@ def applied(tags: Column, back: Column, model=MODEL_1) -> Column:
     return F.array_compact(F.array(*[F.when(p(tags, back), F.lit(name)) for name, p, _ in model]))
 
 
+def counted(rows: DataFrame, tags: str, back: str, model=MODEL_1) -> DataFrame:
+    """name, n: how many rows each predicate holds for, without those that hold for none.
+
+    Values of the tags that predicates ask for are looked up once a row; sums per predicate are one row a task.
+    """
+    asked = Asked()
+    tests = [(name, p(asked, F.col(back))) for name, p, _ in model]
+    looked = rows.select(F.col(back), *[F.try_element_at(tags, F.lit(key)).alias(c) for key, c in asked.columns.items()])
+    # counted within the aggregation, predicates are compiled one by one
+    sums = looked.agg(*[F.count(F.when(test, 1)).alias(name) for name, test in tests])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name, _ in tests]))).where("n > 0")
+
+
 def street_class(tags: Column) -> Column:
     """1 primary to 4 residential, 5 others, by what the highway tag contains."""
     highway = F.coalesce(tag(tags, "highway"), F.lit(""))

@@ -128,8 +128,7 @@ def _names_sql(rules: dict[str, str]) -> str:
 
 @query(f"WITH {_KINDS} SELECT name, count(*) AS n FROM (SELECT unnest({_names_sql(_MODEL_1 | _MODEL_2)}) AS name FROM known) GROUP BY 1")
 def all_predicates(spark, d):
-    names = T.applied(F.col("tags"), F.col("back"), T.MODEL_1 + T.MODEL_2)
-    return _kinds(spark, d).select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return T.counted(_kinds(spark, d), "tags", "back", T.MODEL_1 + T.MODEL_2)
 
 
 def _model_sql(model, rules: dict[str, str]) -> str:

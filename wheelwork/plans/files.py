@@ -160,7 +160,7 @@ def graphml_edges(spark, d):
     edges = e.select("u", "v", "key", "osmid", "length", name.alias("name"), (F.col("share") > 0.05).alias("wide"), F.array("osmid", F.col("key").cast("bigint")).alias("ids"))
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct().withColumn("x", F.col("node") / 7)
     folder = fresh_path(spark, "graph")
-    GM.write(nodes, edges, folder)
+    GM.write(nodes, edges, folder, compression="gzip")
     back = GM.read(spark, folder, edge_types={"ids": "array<bigint>"})[1]
     out = back.groupBy("u", "v", "key").agg(F.count("*").alias("n"), F.sum("osmid").alias("osmids"), F.round(F.sum("length"), 2).alias("length"), F.max("name").alias("name"), F.count_if("wide").alias("wide"), F.max(F.size("ids")).cast("bigint").alias("ids"))
     return out.withColumn("key", F.col("key").cast("int"))

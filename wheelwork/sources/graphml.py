@@ -7,7 +7,7 @@ lists like ``[1, 2]`` too. What cannot be cast is null.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 _DATA = "data array<struct<_key:string,_VALUE:string>>"
 # fixed values of the format: its types by SQL type
 TYPES = {"boolean": "boolean", "int": "int", "bigint": "long", "float": "float", "double": "double", "string": "string"}
-#: Nodes and edges of a file, about.
+# types whose text, or JSON, has nothing that XML asks to escape
+_WHOLE = ("boolean", "tinyint", "smallint", "int", "bigint")
+PLAIN = {*_WHOLE, *(f"array<{k}>" for k in _WHOLE), "float", "double", "date"}
+#: Nodes or edges of a file, at most.
 LINES = 250_000
 HEAD = """<?xml version="1.0" encoding="UTF-8"?>
 <graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">"""
@@ -71,31 +74,48 @@ def _escaped(text: Column) -> Column:
     return out
 
 
+def _text(df: DataFrame, name: str) -> Column:
+    """A column as text for XML: arrays, structs and maps as JSON."""
+    kind = dict(df.dtypes)[name]
+    text = F.to_json(name) if kind.startswith(("array", "struct", "map")) else F.col(f"`{name}`").cast("string")
+    return text if kind in PLAIN else _escaped(text)
+
+
 def _data(df: DataFrame, names: list[str], numbers: dict[str, str]) -> Column:
     parts = []
     for name in names:
-        text = F.to_json(name) if dict(df.dtypes)[name].startswith(("array", "struct", "map")) else F.col(f"`{name}`").cast("string")
-        parts.append(F.when(text.isNotNull(), F.concat(F.lit(f'<data key="{numbers[name]}">'), _escaped(text), F.lit("</data>"))))
+        text = _text(df, name)
+        parts.append(F.when(text.isNotNull(), F.concat(F.lit(f'<data key="{numbers[name]}">'), text, F.lit("</data>"))))
     return F.concat_ws("", *parts) if parts else F.lit("")
 
 
-def write(nodes: DataFrame, edges: DataFrame, folder: str, files: int | None = None) -> None:
-    """Nodes (node and attributes) and edges (u, v, key and attributes) as text files.
-
-    Without ``files`` there is one for every ``LINES`` nodes and edges, and 8 at least, so that a
-    task's part stays as it is when the graph grows. The files in the order of their names, one after the other, are one GraphML document;
-    ``read`` takes the folder. Nulls are left out.
-    """
+def _document(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """The lines (at, value) of a document's four parts: head, nodes, edges and end."""
     spark = nodes.sparkSession
     own, other = [c for c in nodes.columns if c != "node"], [c for c in edges.columns if c not in ("u", "v", "key")]
     n_own, n_other = {c: f"d{i}" for i, c in enumerate(own)}, {c: f"d{i + len(own)}" for i, c in enumerate(other)}
     key = lambda df, c, number, of: f'<key id="{number}" for="{of}" attr.name="{c}" attr.type="{TYPES.get(dict(df.dtypes)[c], "string")}"/>'
     head = [HEAD, *(key(nodes, c, n, "node") for c, n in n_own.items()), *(key(edges, c, n, "edge") for c, n in n_other.items()), '<graph edgedefault="directed">']
-    ends = spark.createDataFrame([(0, "", "\n".join(head)), (3, "", "</graph></graphml>")], "part int, at string, value string")
-    node = F.concat(F.lit('<node id="'), _escaped(F.col("node").cast("string")), F.lit('">'), _data(nodes, own, n_own), F.lit("</node>"))
-    end = lambda c: _escaped(F.col(c).cast("string"))
-    edge = F.concat(F.lit('<edge source="'), end("u"), F.lit('" target="'), end("v"), F.lit('" id="'), end("key"), F.lit('">'), _data(edges, other, n_other), F.lit("</edge>"))
-    lines = ends.unionAll(nodes.select(F.lit(1), F.col("node").cast("string"), node)).unionAll(edges.select(F.lit(2), F.col("u").cast("string"), edge))
+    once = lambda text: spark.range(0, 1, 1, 1).select(F.lit("").alias("at"), F.lit(text).alias("value"))
+    node = F.concat(F.lit('<node id="'), _text(nodes, "node"), F.lit('">'), _data(nodes, own, n_own), F.lit("</node>"))
+    edge = F.concat(F.lit('<edge source="'), _text(edges, "u"), F.lit('" target="'), _text(edges, "v"), F.lit('" id="'), _text(edges, "key"), F.lit('">'), _data(edges, other, n_other), F.lit("</edge>"))
+    lines = nodes.select(F.col("node").cast("string").alias("at"), node.alias("value")), edges.select(F.col("u").cast("string").alias("at"), edge.alias("value"))
+    return [once("\n".join(head)), *lines, once("</graph></graphml>")]
+
+
+def write(nodes: DataFrame, edges: DataFrame, folder: str, files: int | None = None, compression: str = "none") -> None:
+    """Nodes (node and attributes) and edges (u, v, key and attributes) as text files.
+
+    Each partition of nodes and edges is written as it stands, nothing is shuffled; a file has ``LINES``
+    nodes or edges at most, so that a reading task's part stays as it is when the graph grows. With ``files``,
+    lines are ordered and dealt to so many. The files in the order of their names, one after the other, are one GraphML
+    document (with ``compression="gzip"`` still one gzip file); ``read`` takes the folder. Nulls are left out.
+    """
+    parts = _document(nodes, edges)
     if files is None:
-        files = max(8, math.ceil((nodes.count() + edges.count()) / LINES))
-    lines.repartitionByRange(files, "part", "at", F.xxhash64("value")).sortWithinPartitions("part", "at", "value").select("value").write.mode("errorifexists").text(folder)
+        # a union has its parts' partitions in this order, and files are named by them
+        lines, most = reduce(DataFrame.unionAll, parts), LINES
+    else:
+        lines, most = reduce(DataFrame.unionAll, [p.select(F.lit(i).alias("part"), "at", "value") for i, p in enumerate(parts)]), 0
+        lines = lines.repartitionByRange(files, "part", "at", F.xxhash64("value")).sortWithinPartitions("part", "at", "value")
+    lines.select("value").write.mode("errorifexists").option("maxRecordsPerFile", most).option("compression", compression).text(folder)
